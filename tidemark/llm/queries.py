@@ -107,10 +107,10 @@ WITH RECURSIVE w AS (
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
   FROM w
 ), sized AS (SELECT doc_id, len(s) AS n, s FROM s), e AS (SELECT doc_id, n, unnest(s) AS g FROM sized),
-both AS (
+shared AS (
   SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
   GROUP BY ALL
-), links AS (SELECT a, b FROM both WHERE 100 * k >= 80 * (na + nb - k)),
+), links AS (SELECT a, b FROM shared WHERE 100 * k >= 80 * (na + nb - k)),
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 c AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT z.doc_id, z.n AS n_shingles, least(z.doc_id, coalesce(c.b, z.doc_id)) AS component_id FROM sized z LEFT JOIN c ON c.a = z.doc_id
