@@ -117,5 +117,41 @@ SELECT z.doc_id, z.n AS n_shingles, least(z.doc_id, coalesce(c.b, z.doc_id)) AS
 """
 
 
+def _levels() -> str:
+    """The four levels of the template tree, one after the other."""
+    out = []
+    for k in range(1, 5):
+        own = f"branch[{k}]"
+        out.append(f"m{k} AS (SELECT host, template FROM l{k - 1} WHERE {own} IS NOT NULL AND {own} <> '*' GROUP BY ALL HAVING count(DISTINCT {own}) > {url_filter.MOST_LITERALS})")
+        out.append(
+            f"l{k} AS (SELECT l.host, l.branch, l.labelled, l.hits, CASE WHEN {own} IS NULL THEN l.template ELSE list_append(l.template, CASE WHEN m.host IS NULL THEN {own} ELSE '*' END) END AS template "
+            f"FROM l{k - 1} l LEFT JOIN m{k} m ON m.host = l.host AND m.template = l.template)"
+        )
+    return ",\n".join(out)
+
+
+OP6_SQL = rf"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages
+), rules(says, h, pre) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+r AS (
+  SELECT p.page_id, arg_max(h || pre, length(h || pre)) AS rule, arg_max(says, length(h || pre)) AS ruled FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY p.page_id
+), s AS (
+  SELECT p.page_id, host, path, rule, ruled, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+(\.[A-Za-z0-9]{{1,5}})?$|^[0-9a-fA-F-]{{8,}}$|([^0-9]*[0-9]){{4}}') THEN '*' ELSE x END) AS parts
+  FROM p LEFT JOIN r ON r.page_id = p.page_id
+), j AS (SELECT *, CASE WHEN len(parts) > {url_filter.DEPTH} THEN list_append(parts[1:{url_filter.DEPTH}], '**') ELSE parts END AS branch FROM s),
+l0 AS (SELECT host, branch, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS hits, CAST([] AS VARCHAR[]) AS template FROM j GROUP BY host, branch),
+{_levels()},
+t AS (SELECT host, branch, labelled, hits, CASE WHEN len(branch) > {url_filter.DEPTH} THEN list_append(template, '**') ELSE template END AS template FROM l{url_filter.DEPTH}),
+f AS (SELECT host, template, sum(labelled) AS labelled, sum(hits) AS hits FROM t GROUP BY ALL),
+k AS (
+  SELECT *, CASE WHEN labelled > 0 AND hits / labelled <= {url_filter.CLASSES[0]} THEN 'low' WHEN labelled > 0 AND hits / labelled >= {url_filter.CLASSES[1]} THEN 'high' ELSE 'own:' || array_to_string(template, '/') END AS alike,
+  CASE WHEN len(template) > 0 THEN list_prepend('*', template[2:]) ELSE template END AS parent FROM f
+), bad AS (SELECT host, parent, alike FROM k GROUP BY ALL HAVING (sum(hits) + {url_filter.PRIOR}) / (sum(labelled) + 2 * {url_filter.PRIOR}) >= {url_filter.PURITY}),
+rejected AS (SELECT DISTINCT t.host, t.branch FROM t JOIN k ON k.host = t.host AND k.template = t.template JOIN bad ON bad.host = k.host AND bad.parent = k.parent AND bad.alike = k.alike)
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.ruled, CASE WHEN x.host IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM j LEFT JOIN rejected x ON x.host = j.host AND x.branch = j.branch
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1_SQL, "op7_ngram_jaccard_join": OP7_SQL}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op6_url_filters": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL}
