@@ -18,30 +18,56 @@ BITS = 4
 RANGES_PER_PARTITION, MOST_RANGES = 4, 20_000
 
 
+#: Up to so many filled bins, an empty bin looks its donor up among them; beyond, it tries one bin after the other.
+FEW = 48
+_orders: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def donor_orders(bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each bin a random order of all bins, the same for all texts, and the place of each bin in it."""
+    if bins not in _orders:
+        at = np.arange(bins, dtype=np.uint64)
+        order = np.argsort(mix(at[:, None] * np.uint64(1 << 32) + at), axis=1)
+        _orders[bins] = order.astype(np.int32), np.argsort(order, axis=1).astype(np.int32)
+    return _orders[bins]
+
+
 def signatures(texts: list[str], bins: int = BINS, bits: int = BITS) -> np.ndarray:
     """Low `bits` bits of the least shingle hash of each bin, one row per text, as bytes below 16; 255 in all bins of a text without words.
 
     A shingle's high hash bits choose its bin. An empty bin takes the value of
-    the first non-empty bin in a random sequence of its own, which is the same
-    for all texts.
+    the first filled bin in a random order of its own, which is the same for
+    all texts.
     """
     out = np.full((len(texts), bins), 255, np.uint8)
     shift = np.uint64(64 - (bins.bit_length() - 1))
+    order, place = donor_orders(bins)
+    many = np.zeros(len(texts), bool)
     for i, s in enumerate(shingles(texts)):
         if len(s):
             s = np.sort(s)  # by bin, and within a bin by value
             b = (s >> shift).astype(np.int64)
             first = np.flatnonzero(np.diff(b, prepend=-1))
-            out[i, b[first]] = (mix(s[first]) & np.uint64((1 << bits) - 1)).astype(np.uint8)
-    row, empty = np.nonzero((out == 255) & (out != 255).any(axis=1)[:, None])
-    filled = out != 255
-    attempt = 0
-    while len(row):
-        donor = (mix(empty.astype(np.uint64) * np.uint64(1 << 32) + np.uint64(attempt)) >> shift).astype(np.int64)
-        hit = filled[row, donor]
-        out[row[hit], empty[hit]] = out[row[hit], donor[hit]]
-        row, empty = row[~hit], empty[~hit]
-        attempt += 1
+            own = out[i]
+            own[b[first]] = (mix(s[first]) & np.uint64((1 << bits) - 1)).astype(np.uint8)
+            if len(first) <= FEW:
+                empty = np.flatnonzero(own == 255)
+                own[empty] = own[b[first]][place[np.ix_(empty, b[first])].argmin(axis=1)]
+            else:
+                many[i] = True
+    rows = np.flatnonzero(many)
+    for a in range(0, len(rows), 256):
+        some = out[rows[a : a + 256]]
+        flat, donors = some.ravel(), order.ravel()
+        empty = np.flatnonzero(flat == 255)
+        row, cell = empty - empty % bins, (empty % bins) * bins
+        filled, attempt = flat.copy(), 0
+        while len(empty):
+            got = filled[row + donors[cell + attempt]]
+            left = got == 255
+            flat[empty[~left]] = got[~left]
+            empty, row, cell, attempt = empty[left], row[left], cell[left], attempt + 1
+        out[rows[a : a + 256]] = some
     return out
 
 
