@@ -49,7 +49,10 @@ def e4(t: Tables) -> DataFrame:
     return t["part"].select("p_partkey", ev.asset_key(F.col("p_name"), {"ring|bolt": "fastener"}).alias("asset"))
 
 
-@query("e5_documents", f"WITH b AS (SELECT page_id, {TO_TEXT.format(chr(39).join(['regexp_extract(html, ', '<article[^>]*>(.*?)</article>', ', 1, ', 's', ')']))} AS body FROM pages) SELECT page_id, CASE WHEN length(body) < 70 THEN 'BODY_TOO_SHORT' END AS reject, sha256(body) AS content_hash FROM b")
+ARTICLE = "regexp_extract(html, '<article[^>]*>(.*?)</article>', 1, 's')"
+
+
+@query("e5_documents", f"WITH b AS (SELECT page_id, {TO_TEXT.format(ARTICLE)} AS body FROM pages) SELECT page_id, CASE WHEN length(body) < 70 THEN 'BODY_TOO_SHORT' END AS reject, sha256(body) AS content_hash FROM b")
 def e5(t: Tables) -> DataFrame:
     body = tx.html_to_text(F.regexp_extract("html", r"(?s)<article[^>]*>(.*?)</article>", 1))
     return t["pages"].select("page_id", body.alias("body")).select("page_id", F.when(F.length("body") < 70, "BODY_TOO_SHORT").alias("reject"), F.sha2("body", 256).alias("content_hash"))

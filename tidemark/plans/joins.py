@@ -9,7 +9,7 @@ from ..operators import asof
 from .registry import Tables, query
 
 
-@query("j1_join_series", "SELECT a.obs_date, a.value AS value_a, b.value AS value_b FROM v_daily a JOIN v_daily b ON a.obs_date = b.obs_date WHERE a.series_id = '1-URGENT' AND b.series_id = '5-LOW'".replace("a.value AS", "round(a.value, 8) AS").replace("b.value AS", "round(b.value, 8) AS"))
+@query("j1_join_series", "SELECT a.obs_date, round(a.value, 8) AS value_a, round(b.value, 8) AS value_b FROM v_daily a JOIN v_daily b ON a.obs_date = b.obs_date WHERE a.series_id = '1-URGENT' AND b.series_id = '5-LOW'")
 def j1(t: Tables) -> DataFrame:
     one = lambda s, n: t.daily.where(F.col("series_id") == s).select("obs_date", F.round("value", 8).alias(n))
     return one("1-URGENT", "value_a").join(one("5-LOW", "value_b"), "obs_date")
@@ -22,9 +22,9 @@ def j2(t: Tables) -> DataFrame:
 
 
 @query("j3_asof_backward", """
-SELECT s.series_id, s.day, d.obs_date AS seen_date, round(d.value, 8) AS seen_value FROM v_spine s
-ASOF LEFT JOIN v_daily d ON s.series_id = d.series_id AND s.day >= d.obs_date
-""".replace("d.obs_date AS", "CASE WHEN s.day - d.obs_date <= 7 THEN d.obs_date END AS").replace("round(d.value, 8)", "CASE WHEN s.day - d.obs_date <= 7 THEN round(d.value, 8) END"))
+SELECT s.series_id, s.day, CASE WHEN s.day - d.obs_date <= 7 THEN d.obs_date END AS seen_date, CASE WHEN s.day - d.obs_date <= 7 THEN round(d.value, 8) END AS seen_value
+FROM v_spine s ASOF LEFT JOIN v_daily d ON s.series_id = d.series_id AND s.day >= d.obs_date
+""")
 def j3(t: Tables) -> DataFrame:
     right = t.daily.select("series_id", "obs_date", F.col("obs_date").alias("seen_date"), F.round("value", 8).alias("seen_value"))
     return asof.asof_join(t.spine, right, ["series_id"], "day", "obs_date", ["seen_date", "seen_value"], 7)
