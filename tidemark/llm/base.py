@@ -15,8 +15,10 @@ from ..session import ship
 #: Rows of an Arrow batch: with long texts, Spark's default of 10,000 would fill a worker's memory.
 BATCH_ROWS = 1000
 #: Characters that one numpy pass works on; a longer text makes a pass of its own.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 SHINGLE_WORDS = 5
+#: Rows, of a few numbers each, that one task writes to a table of known size.
+ROWS_PER_FILE = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,9 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, so that a lost executor costs no recomputation."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    Where the number of rows is known to be at most `rows`, a file gets ROWS_PER_FILE of them.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_PER_FILE + 1)
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,8 +15,8 @@ from .components import components
 
 #: Similarity 4/5: sets of sizes r and s that link differ in at most r + s - 2 * ceil(4 (r + s) / 9) elements.
 PERCENT = 80
-#: A signature of more documents than this is left out by those that others still lead to.
-COMMON = 64
+#: A key of more documents than this is left out by those that others still lead to.
+COMMON = 4
 #: Segments beyond those that the pigeonhole principle needs, as a share of them.
 SLACK = 0.2
 #: Signatures of whole segments need about so many elements in each; otherwise fewer segments with deletions serve.
@@ -108,7 +108,7 @@ def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, size and a 128-bit hash of each document's shingle set."""
+    """doc_id, size and a 128-bit hash of each document's shingle set, and for each of its bands the number of empty segments."""
 
     def run(batch: dict) -> Iterator[dict]:
         doc, text = batch["doc_id"].to_pylist(), texts_of(batch["text"])
@@ -119,9 +119,10 @@ def set_table(docs: DataFrame) -> DataFrame:
                 "n_shingles": list(map(len, sets)),
                 "h1": signed(np.array([mix(s).sum() for s in sets], np.uint64)),
                 "h2": signed(np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum() for s in sets], np.uint64)),
+                "empties": [[x for k in bands_of(len(s)) for x in (k, empties(s, k))] for s in sets],
             }
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, empties array<int>")
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def signature_rows(docs: DataFrame) -> DataFrame:
             keys, ids = [], []
             for i, s in zip(doc[a:b], shingle_sets(text[a:b])):
                 for k in bands_of(len(s)):
-                    keys.append((signatures(s, k) & np.uint64(0xFFFFFFFFFFFFFFC0)) | np.uint64(k % 64))
+                    keys.append((signatures(s, k) & np.uint64(0xFFFFFFFFFFFFFFC0)) | np.uint64(k))
                     ids.append(np.full(len(keys[-1]), i, np.int64))
             if keys:
                 keys, ids = signed(np.concatenate(keys)), np.concatenate(ids)
@@ -143,68 +144,74 @@ def signature_rows(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, "key bigint, doc_id bigint")
 
 
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """(key, doc_id, lead) of keys that two or more rows have, lead being the least doc_id; sorted by Spark, then one pass."""
+def shared_keys(rows: DataFrame, common: int) -> DataFrame:
+    """(key, doc_id, lead, hot) of keys that two or more rows have: lead is the least doc_id, hot whether more than `common` have it.
+
+    Spark sorts the rows, and one pass finds the runs; it holds `common` rows between batches at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_doc = lead = None  # the row before, not yet written unless `wrote`
-        wrote = False
+        held_key, held_doc = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of a run that may go on and is not yet hot
+        hot_key, hot_lead = None, 0  # of a hot run that may go on
+        schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("lead", pa.int64()), ("hot", pa.bool_())])
+
+        def out(key: np.ndarray, doc: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held_key, held_doc, hot_key, hot_lead
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(starts, len(key)))
+            lead, n = doc[starts], size.copy()
+            if hot_key is not None and key[0] == hot_key:
+                lead[0], n[0] = hot_lead, common + 1
+            keep = np.repeat(n > 1, size)
+            if not whole:
+                if n[-1] > common:
+                    hot_key, hot_lead, held_key, held_doc = key[-1], lead[-1], key[:0], doc[:0]
+                else:
+                    hot_key, held_key, held_doc = None, key[starts[-1] :], doc[starts[-1] :]
+                    keep[starts[-1] :] = False
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(doc[keep]), pa.array(np.repeat(lead, size)[keep]), pa.array(np.repeat(n > common, size)[keep])], schema=schema)
+
         for batch in batches:
-            key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(key):
-                continue
-            same = key[1:] == key[:-1]
-            first = np.concatenate([[True], ~same])
-            start = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-            leads = doc[start]
-            again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            out = [[], [], []]
-            if last_key is not None and key[0] == last_key:
-                head = start == 0
-                leads = np.where(head, lead, leads)
-                again |= head
-                if not wrote:
-                    out = [[last_key], [last_doc], [lead]]
-            wrote = bool(again[-1])
-            last_key, last_doc, lead = key[-1], doc[-1], leads[-1]
-            arrays = [np.concatenate([np.array(o, np.int64), x[again]]) for o, x in zip(out, (key, doc, leads))]
-            if len(arrays[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["key", "doc_id", "lead"])
-
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = cut(rows.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "key bigint, doc_id bigint, lead bigint"))
-    small_batches(rows.sparkSession)
+            if batch.num_rows:
+                yield from out(np.concatenate([held_key, batch.column(0).to_numpy()]), np.concatenate([held_doc, batch.column(1).to_numpy()]), False)
+        if len(held_key):
+            yield from out(held_key, held_doc, True)
+
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = cut(rows.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "key bigint, doc_id bigint, lead bigint, hot boolean"))
+    small_batches(spark)
     return out
 
 
-def without_common(shared: DataFrame, docs: DataFrame, common: int) -> DataFrame:
-    """Leaves out keys of more than `common` documents where the pigeonhole principle can spare them.
+def of_band(i: int):
+    """Item i of the plan of the band in column `band` (64 bands reach sets of some billions)."""
+    return F.create_map(*[F.lit(x) for k in range(64) for x in (k, int(plan(k)[i]))])[F.col("band")]
+
+
+def without_common(shared: DataFrame, bands: DataFrame, n: int) -> DataFrame:
+    """shared with (band, size, empty, dropped) of each document, less hot keys where the pigeonhole principle can spare them.
 
     Linked sets agree in all segments but H at most, so in more than `spare` of
-    them. A document with no more common and empty segments than that shares
-    another one with each of its partners, and its common keys can go. Keys of
-    bands with deletions stay.
+    them, empty ones included. If a document's hot keys and empty segments are no
+    more than that, it shares others with each of its partners, and its hot keys
+    go; `dropped` is their number, null if the document keeps them.
     """
-    frequent = cut(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > common).select("key"))
-    if frequent.isEmpty():
-        return shared
-    marked = shared.join(frequent.withColumn("frequent", F.lit(True)), "key", "left")
-    hot = marked.where("frequent").select("doc_id", (F.col("key").bitwiseAND(63)).alias("band"))
-    counts = cut(hot.groupBy("doc_id", "band").agg(F.count(F.lit(1)).alias("n")))
-
-    def spare(batch: dict) -> Iterator[dict]:
-        doc, text = batch["doc_id"].to_pylist(), texts_of(batch["text"])
-        for a, b in runs(text):
-            got = [(i, k % 64, plan(k)[2] - empties(s, k)) for i, s in zip(doc[a:b], shingle_sets(text[a:b])) for k in bands_of(len(s)) if not plan(k)[1]]
-            if got:
-                yield dict(zip(("doc_id", "band", "spare"), map(list, zip(*got))))
+    shared = shared.withColumn("band", F.col("key").bitwiseAND(63).cast("int"))
+    hot = shared.groupBy("doc_id", "band").agg(F.count_if("hot").cast("int").alias("hot_keys"))
+    light = (of_band(1) == 0) & (F.col("hot_keys") + F.col("empty") <= of_band(2))
+    state = cut(hot.join(bands, ["doc_id", "band"]).select("doc_id", "band", "size", "empty", F.when(light, F.col("hot_keys")).alias("dropped")), n)
+    left = cut(shared.join(state, ["doc_id", "band"]).where("not hot or dropped is null"), n)
+    leads = left.where("hot").groupBy("key").agg(F.min("doc_id").alias("own_lead"))
+    return left.join(leads, "key", "left").withColumn("lead", F.coalesce("own_lead", "lead")).drop("own_lead", "hot")
 
-    some = only(docs.select("doc_id", "text"), counts.select("doc_id").distinct(), "doc_id")
-    room = map_batches(some, spare, "doc_id bigint, band bigint, spare int")
-    light = cut(counts.join(room, ["doc_id", "band"]).where("n <= spare").select("doc_id", "band", F.lit(True).alias("light")))
-    left = cut(marked.withColumn("band", F.col("key").bitwiseAND(63)).join(light, ["doc_id", "band"], "left").where("frequent is null or light is null").select("key", "doc_id"))
-    return cut(left.groupBy("key").agg(F.min("doc_id").alias("lead")).join(left.select("key", "doc_id"), "key").select("key", "doc_id", "lead"))
+
+def least_shared(total, empty, dropped):  # noqa: ANN001, ANN201
+    """Keys left that linked sets with `total` elements share at least: segments, less those that they can differ in, that are empty in both, and whose keys were dropped."""
+    differ = total - 2 * F.floor((4 * total + 8) / 9)
+    return F.when(of_band(1) == 0, F.greatest(F.lit(1), of_band(0) - differ - empty - dropped)).otherwise(1)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -230,44 +237,38 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     good.append(i)
         yield {"a": [a[i] for i in good], "b": [b[i] for i in good]}
 
-    return cut(map_batches(both.select("a", "b", "text_a", "text_b"), run, "a bigint, b bigint"))
+    checked = map_batches(both.select("a", "b", "text_a", "text_b"), run, "a bigint, b bigint")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")  # a row holds two texts
+    out = cut(checked)
+    small_batches(docs.sparkSession)
+    return out
 
 
-def linked(shared: DataFrame, docs: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
-    """Links that connect the same documents as all links do.
+def linked(shared: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """(node, component) of documents with links, as all links connect them.
 
-    A round pairs each document with the lead that it shares most keys with;
-    keys whose documents are connected then need no more. After `rounds`, all pairs that
-    share a key and are not connected are tried.
+    First each document is paired with the lead that it shares most keys with.
+    Then all pairs that are not connected and share as many keys as they need
+    are tried; few are left, as a common passage makes few keys in common.
     """
-    spark = shared.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    tried = links
-    for r in range(rounds + 1):
-        if r == 0:
-            # at first nothing is connected, and each key's lead is its least document
-            left = shared
-        else:
-            nodes = cut(components(links, "a", "b").withColumnRenamed("node", "doc_id"))
-            left = shared.select("key", "doc_id").join(nodes, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            split = left.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct("component", "doc_id")).alias("first")).where("least < most")
-            left = cut(left.join(cut(split.select("key", "least", F.col("first.doc_id").alias("lead"))), "key"))
-        if r < rounds:
-            apart = left.where("doc_id != lead") if r == 0 else left.where("component != least")
-            best = apart.groupBy("doc_id", "lead").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
-            pairs = best.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
-        else:
-            x, y = left.alias("x"), left.alias("y")
-            pairs = x.join(y, "key").where("x.component < y.component").select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti") if r else pairs)
-        if pairs.isEmpty():
-            if r == rounds or r == 0:
-                break
-            continue
-        tried = tried.union(pairs) if r else pairs
-        found = verified(pairs, docs, percent)
-        links = links.union(found) if r else found
-    return links
+    shared = cut(shared, n)
+    own = least_shared(2 * F.col("size"), F.col("empty"), F.coalesce("dropped", F.lit(0)))
+    lead_counts = shared.where("doc_id != lead").groupBy("doc_id", "lead", "band").agg(F.count(F.lit(1)).alias("n"), F.max(own).alias("need")).where("2 * n >= need")
+    best = lead_counts.groupBy("doc_id").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
+    tried = cut(best.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")), n)
+    links = verified(tried, docs, percent)
+    nodes = cut(components(links, "a", "b"))
+    placed = shared.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    split = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+    left = cut(placed.join(split, "key").select("key", "doc_id", "band", "component", "size", "empty", "dropped"), n)
+    x, y = left.alias("x"), left.drop("band").alias("y")
+    apart = x.join(y, "key").where("x.component != y.component and x.doc_id < y.doc_id and 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)")
+    need = least_shared(F.col("x.size") + F.col("y.size"), F.least("x.empty", "y.empty"), F.coalesce(F.least("x.dropped", "y.dropped"), F.lit(0)))
+    pairs = apart.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), "band").agg(F.count(F.lit(1)).alias("n"), F.max(need).alias("need")).where("n >= need").select("a", "b").distinct()
+    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+    if pairs.isEmpty():
+        return nodes
+    return components(links.union(verified(pairs, docs, percent)), "a", "b")
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
@@ -287,9 +288,11 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, common: int = COMMON
     others = copies.where("doc_id != lead").select("doc_id").distinct()
     bare = docs.select("doc_id", "text").where("doc_id is not null")
     firsts = bare.join(F.broadcast(others) if others.count() <= 2_000_000 else others, "doc_id", "left_anti")
-    shared = without_common(shared_keys(signature_rows(firsts)), firsts, common)
-    links = linked(shared, firsts, percent)
-    top = components(links, "a", "b")
+    pairs = F.explode(F.expr("transform(sequence(0, size(empties) div 2 - 1), i -> struct(empties[2 * i] AS band, empties[2 * i + 1] AS empty))"))
+    bands = sets.where("n_shingles > 3").select("doc_id", F.col("n_shingles").cast("int").alias("size"), pairs.alias("b")).select("doc_id", "size", "b.*")
+    shared = shared_keys(signature_rows(firsts), common)
+    n = shared.count()
+    top = linked(without_common(shared, bands, n), firsts, percent, n)
     copied = copies.join(top.select(F.col("node").alias("lead"), "component"), "lead", "left").select("doc_id", F.coalesce("component", "lead").alias("component"))
     place = cut(copied.union(top.join(copies, top["node"] == copies["doc_id"], "left_anti").select(F.col("node").alias("doc_id"), "component")))
     return sets.join(place.groupBy("doc_id").agg(F.min("component").alias("component")), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
