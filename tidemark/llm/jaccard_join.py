@@ -19,6 +19,8 @@ PERCENT = 80
 COMMON = 4
 #: Segments beyond those that the pigeonhole principle needs, as a share of them.
 SLACK = 0.2
+#: Bits of a set's sketch.
+SKETCH_BITS = 1024
 #: Signatures of whole segments need about so many elements in each; otherwise fewer segments with deletions serve.
 LEAST_ELEMENTS = 2.2
 
@@ -103,12 +105,18 @@ def signatures(s: np.ndarray, k: int) -> np.ndarray:
     return whole if (size == 0).sum() > spare else whole[size > 0]
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the elements by SKETCH_BITS hash buckets. Two sets differ in at least as many elements as their sketches in bits."""
+    odd = np.bincount((mix(s ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
     return map(np.unique, shingles(texts))
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, size and a 128-bit hash of each document's shingle set, and for each of its bands the number of empty segments."""
+    """doc_id, size, a 128-bit hash and a sketch of each document's shingle set, and for each of its bands the number of empty segments."""
 
     def run(batch: dict) -> Iterator[dict]:
         doc, text = batch["doc_id"].to_pylist(), texts_of(batch["text"])
@@ -119,10 +127,11 @@ def set_table(docs: DataFrame) -> DataFrame:
                 "n_shingles": list(map(len, sets)),
                 "h1": signed(np.array([mix(s).sum() for s in sets], np.uint64)),
                 "h2": signed(np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum() for s in sets], np.uint64)),
+                "sketch": [sketch(s) for s in sets],
                 "empties": [[x for k in bands_of(len(s)) for x in (k, empties(s, k))] for s in sets],
             }
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, empties array<int>")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sketch array<bigint>, empties array<int>")
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
@@ -216,7 +225,7 @@ def least_shared(total, empty, dropped):  # noqa: ANN001, ANN201
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of documents whose shingle sets have 100 * intersection >= percent * union."""
-    some = only(docs.select("doc_id", "text"), pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id")
+    some = only(docs.select("doc_id", "text"), pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "doc_id")
     both = pairs.join(some.toDF("a", "text_a"), "a").join(some.toDF("b", "text_b"), "b")
 
     def run(batch: dict) -> Iterator[dict]:
@@ -244,12 +253,22 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def linked(shared: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose sketches do not show more differences than linked sets of their sizes have."""
+    own = sets.select("doc_id", "n_shingles", "sketch")
+    both = pairs.join(own.toDF("a", "size_a", "sketch_a"), "a").join(own.toDF("b", "size_b", "sketch_b"), "b")
+    bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    total = F.col("size_a") + F.col("size_b")
+    return both.where(bits <= total - 2 * F.floor((4 * total + 8) / 9)).select("a", "b")
+
+
+def linked(shared: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
     """(node, component) of documents with links, as all links connect them.
 
     First each document is paired with the lead that it shares most keys with.
     Then all pairs that are not connected and share as many keys as they need
-    are tried; few are left, as a common passage makes few keys in common.
+    are tried; few are left, as a common passage makes few keys in common and
+    sketches tell near copies that are not near enough.
     """
     shared = cut(shared, n)
     own = least_shared(2 * F.col("size"), F.col("empty"), F.coalesce("dropped", F.lit(0)))
@@ -265,7 +284,7 @@ def linked(shared: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFram
     apart = x.join(y, "key").where("x.component != y.component and x.doc_id < y.doc_id and 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)")
     need = least_shared(F.col("x.size") + F.col("y.size"), F.least("x.empty", "y.empty"), F.coalesce(F.least("x.dropped", "y.dropped"), F.lit(0)))
     pairs = apart.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), "band").agg(F.count(F.lit(1)).alias("n"), F.max(need).alias("need")).where("n >= need").select("a", "b").distinct()
-    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+    pairs = cut(near_enough(pairs.join(tried, ["a", "b"], "left_anti"), sets))
     if pairs.isEmpty():
         return nodes
     return components(links.union(verified(pairs, docs, percent)), "a", "b")
@@ -292,7 +311,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, common: int = COMMON
     bands = sets.where("n_shingles > 3").select("doc_id", F.col("n_shingles").cast("int").alias("size"), pairs.alias("b")).select("doc_id", "size", "b.*")
     shared = shared_keys(signature_rows(firsts), common)
     n = shared.count()
-    top = linked(without_common(shared, bands, n), firsts, percent, n)
+    top = linked(without_common(shared, bands, n), sets, firsts, percent, n)
     copied = copies.join(top.select(F.col("node").alias("lead"), "component"), "lead", "left").select("doc_id", F.coalesce("component", "lead").alias("component"))
     place = cut(copied.union(top.join(copies, top["node"] == copies["doc_id"], "left_anti").select(F.col("node").alias("doc_id"), "component")))
     return sets.join(place.groupBy("doc_id").agg(F.min("component").alias("component")), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
