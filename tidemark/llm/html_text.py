@@ -23,7 +23,7 @@ RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes".s
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Elements that never hold main text, and words of a class, id or role that say so.
-APART = frozenset("head script style noscript template nav header footer aside form button select textarea dialog menu iframe svg canvas object noembed noframes xmp datalist".split())
+APART = frozenset("head script style noscript template nav header footer aside button select textarea dialog menu iframe svg canvas object noembed noframes xmp datalist".split())
 APART_WORDS = re.compile(
     r"^(ads?|adverts?|advertisement|advertising|adbox|adslot|banner|sponsor(ed)?|promo(tion)?s?|nav|navbar|navigation|menus?|menubar|sidebar|side|rail|aside|footer|header|masthead|"
     r"topbar|toolbar|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|toast|comments?|commentlist|replies|reply|disqus|discussion|responses|share|sharing|social|related|recommended|"
@@ -34,41 +34,44 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that wrap whole pages: their class words say nothing about a part of the page.
+WHOLE = frozenset("html body".split())
 
 
-def _named(attributes: str) -> tuple[bool, bool]:
-    """Whether the attributes say that an element is apart from the main text, or that it is the main text."""
-    apart = main = False
+def _named(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether the attributes say that an element is hidden, that it is apart from the main text, or that it is the main text."""
+    hidden = apart = main = False
     for name, *value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(value).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            apart = True
+            hidden = True
         elif name in ("class", "id", "role"):
             words = [w for x in value.split() for w in (x, *re.split(r"[-_]+", x))]
             apart |= any(map(APART_WORDS.match, words))
             main |= name == "role" and value in MAIN_WORDS
-    return apart, main
+    return hidden, apart, main
 
 
 class Node:
-    """A stretch of text between tags: its path from the root, block, and whether that is apart from or within the main element."""
+    """A stretch of text between tags: path of blocks from the root, block, whether that is apart, the marked element it is in (0: none), and the form (0: none)."""
 
-    __slots__ = ("path", "block", "text", "apart", "main", "link")
+    __slots__ = ("path", "block", "text", "apart", "main", "link", "form")
 
-    def __init__(self, path: str, block: int, text: str, apart: bool, main: bool, link: bool) -> None:
-        self.path, self.block, self.text, self.apart, self.main, self.link = path, block, text, apart, main, link
+    def __init__(self, path: str, block: int, text: str, apart: bool, main: int, link: bool, form: int) -> None:
+        self.path, self.block, self.text, self.apart, self.main, self.link, self.form = path, block, text, apart, main, link, form
 
 
 def text_nodes(page: str) -> list[Node]:
     """Texts of the page in order. Unclosed and stray tags are taken as browsers do in the main cases."""
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]  # tag, path, apart, main, link
+    # tag, path, apart by what it is, apart by a class word, innermost marked element, link, form
+    stack: list[tuple[str, str, bool, bool, int, bool, int]] = [("", "", False, False, 0, False, 0)]
     nodes: list[Node] = []
-    block, at, n = 0, 0, len(page)
+    block, at, n, marked, forms = 0, 0, len(page), 0, 0
 
     def add(text: str) -> None:
         if text:
-            _, path, apart, main, link = stack[-1]
-            nodes.append(Node(path, block, text, apart, main, link))
+            _, path, hard, soft, main, link, form = stack[-1]
+            nodes.append(Node(path, block, text, hard or soft, main, link, form))
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -101,59 +104,85 @@ def text_nodes(page: str) -> list[Node]:
                     break
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
-        _, path, apart, main, link = stack[-1]
-        named, is_main = _named(m[3]) if m[3] else (False, False)
+        _, path, hard, soft, main, link, form = stack[-1]
+        hidden, named, is_main = _named(m[3]) if m[3] else (False, False, False)
         # a heading in an article's own header belongs to it
-        inner = tag == "header" and main
         if tag in HEADINGS and stack[-1][0] == "header" and main:
-            apart = any(s[2] for s in stack[:-1])
-        stack.append((tag, f"{path}/{tag}", apart or named or tag in APART or inner, main or is_main or tag in ("article", "main"), link or tag == "a"))
+            hard, soft = stack[-2][2:4]
+        if is_main or tag in ("article", "main"):
+            # the words and forms around the outermost marked element are those of wrappers
+            if not main:
+                soft, form = False, 0
+            marked += 1
+            main = marked
+        if tag == "form":
+            forms += 1
+            form = form or forms
+        hard |= tag in APART or hidden and tag not in WHOLE
+        stack.append((tag, f"{path}/{tag}" if tag in BLOCK or tag in APART else path, hard, soft or named and tag not in WHOLE, main, link or tag == "a", form))
         if tag in RAW_TAGS:
             end = next((x for x in RAW.finditer(page, at) if x[1].lower() == tag), None)
             add(page[at : end.start() if end else n])
             at = end.start() if end else n
+    return _within_forms(nodes)
+
+
+def _within_forms(nodes: list[Node]) -> list[Node]:
+    """A form is apart, unless it wraps the page: it holds more of the text that is not apart than all that is outside it."""
+    size: dict[int, int] = {}
+    for x in nodes:
+        if not x.apart:
+            size[x.form] = size.get(x.form, 0) + len(x.text.strip())
+    total = sum(size.values())
+    for x in nodes:
+        x.apart |= x.form > 0 and 2 * size.get(x.form, 0) <= total
     return nodes
 
 
-def content_paths(nodes: list[Node]) -> set[tuple[str, bool, bool]]:
-    """Tag paths (with apart and main) whose fused ratio passes the threshold.
+def content_paths(nodes: list[Node]) -> set[tuple[str, bool, int]]:
+    """Tag paths (with apart and the marked element) whose fused ratio passes the threshold.
+
+    Paths end at the innermost block, so that inline tags and links of a
+    sentence count with it. Text length and punctuation are summed per path and
+    divided by the number of its blocks; both ratios are smoothed along the page
+    over neighbouring paths, and fused by their product; the share of link text
+    weighs against a path. Paths apart from the main text never pass. The
+    threshold is the deviation of the ratios.
 
-    Text length and punctuation are summed per path and divided by the number of
-    its nodes; both ratios are smoothed along the page over neighbouring paths,
-    and fused by their product. Links weigh against a path, and paths apart from
-    the main text never pass. If the page marks its main element, each path in
-    it stands a whole unit above all others, so that short headings pass and
-    long footers do not; else the threshold is the deviation of the ratios.
+    A mark is a prior. Each marked element, and all text outside of them, holds
+    a share s of the evidence (length by punctuation, less links) of the one
+    that holds most. In a marked element length and punctuation count with the
+    power (1 - s)^2: in the one that holds most only links decide, a teaser
+    gets no favour. Outside, ratios are weighted by s.
     """
-    sums: dict[tuple[str, bool, bool], list[float]] = {}
+    sums: dict[tuple[str, bool, int], list] = {}
     for x in nodes:
         text = x.text.strip()
-        if text:
-            s = sums.setdefault((x.path, x.apart, x.main), [0.0, 0.0, 0.0, 0.0])
+        if text and not x.apart:
+            s = sums.setdefault((x.path, x.apart, x.main), [0.0, 0.0, set(), 0.0])
             s[0] += len(text)
             s[1] += len(PUNCTUATION.findall(text))
-            s[2] += 1
+            s[2].add(x.block)
             s[3] += len(text) * x.link
     if not sums:
         return set()
     keys = list(sums)
-    length, marks, count, links = np.array([sums[k] for k in keys]).T
+    length, marks, count, links = np.array([(a, b, len(c), d) for a, b, c, d in sums.values()]).T
     kernel = np.array([0.25, 0.5, 0.25])
     smooth = lambda v: np.convolve(np.pad(v, 1, "edge"), kernel, "valid")
-    own = (length / count) * (1 + marks / count) * (1 - links / length)
-    fused = 0.5 * own + 0.5 * smooth(length / count) * smooth(1 + marks / count) * (1 - links / length)
-    apart, main = np.array([k[1] for k in keys]), np.array([k[2] for k in keys])
-    fused = np.where(apart, 0.0, fused)
-    top = fused.max()
-    if top <= 0 and not (main & ~apart).any():
+    plain = 1 - links / length
+    fused = 0.5 * (length / count) * (1 + marks / count) + 0.5 * smooth(length / count) * smooth(1 + marks / count)
+    top = (fused * plain).max()
+    if top <= 0:
         return set()
-    ratio = fused / max(top, 1e-12)
-    if (main & ~apart).any():
-        passed = ratio + main > 1 - 1e-9 * main
-        passed &= main | (ratio > 1)
-    else:
-        passed = ratio >= min(ratio[ratio > 0].std(), 0.9) if (ratio > 0).sum() > 1 else ratio > 0
-    return {k for k, p, a in zip(keys, passed, apart) if p and not a}
+    _, place = np.unique([k[2] for k in keys], return_inverse=True)
+    evidence = np.bincount(place, length * (1 + marks / count) * plain)
+    share = (evidence / evidence.max())[place]
+    ratio = np.minimum(fused / top, 1) * plain
+    main = np.array([k[2] > 0 for k in keys])
+    score = np.where(main, np.minimum(fused / top, 1) ** (1 - share) ** 2 * plain, ratio * share)
+    least = min(ratio[ratio > 0].std(), 0.9) if (ratio > 0).sum() > 1 else 0.0
+    return {k for k, x in zip(keys, score) if x > 0 and x >= least}
 
 
 def main_text(page: str) -> str:
