@@ -126,12 +126,26 @@ j AS (SELECT r.*, s.direction AS d, s.event_key AS e, row_number() OVER (PARTITI
 SELECT forecast, pos, evidence_id, CASE WHEN d IS NULL THEN 'UNKNOWN_EVIDENCE' WHEN ni > 1 THEN 'DUPLICATE_EVIDENCE' WHEN d <> 'UP' THEN 'WRONG_DIRECTION' WHEN ne > 1 THEN 'DUPLICATE_EVENT' WHEN pos >= 3 THEN 'TOO_MANY' END AS code FROM j
 """)
 def e15(t: Tables) -> DataFrame:
+    return reason_codes(t, t["events"].where("event_id % 3 = 0"))
+
+
+def reason_codes(t: Tables, events: DataFrame) -> DataFrame:
     k = F.col("event_id")
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    r = t["events"].where("event_id % 3 = 0").select(F.col("user_id").alias("forecast"), pos.alias("pos"), F.when(k % 11 == 0, -1).when(k % 13 == 0, k - k % 150).otherwise(k).alias("evidence_id"), F.lit("UP").alias("direction"))
+    r = events.select(F.col("user_id").alias("forecast"), pos.alias("pos"), F.when(k % 11 == 0, -1).when(k % 13 == 0, k - k % 150).otherwise(k).alias("evidence_id"), F.lit("UP").alias("direction"))
     return ev.validate_reasons(r, t.signals, "forecast", "pos").select("forecast", "pos", "evidence_id", "code")
 
 
+# e15_validate_reasons and its SQL take every third event; this takes all
+@query("e15_validate_all_reasons", """
+WITH r AS (SELECT user_id AS forecast, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS pos, CASE WHEN event_id % 11 = 0 THEN -1 WHEN event_id % 13 = 0 THEN event_id - event_id % 150 ELSE event_id END AS evidence_id FROM events),
+j AS (SELECT r.*, s.direction AS d, s.event_key AS e, row_number() OVER (PARTITION BY forecast, evidence_id ORDER BY pos) AS ni, row_number() OVER (PARTITION BY forecast, s.event_key ORDER BY pos) AS ne FROM r LEFT JOIN v_signals s ON s.id = r.evidence_id)
+SELECT forecast, pos, evidence_id, CASE WHEN d IS NULL THEN 'UNKNOWN_EVIDENCE' WHEN ni > 1 THEN 'DUPLICATE_EVIDENCE' WHEN d <> 'UP' THEN 'WRONG_DIRECTION' WHEN ne > 1 THEN 'DUPLICATE_EVENT' WHEN pos >= 3 THEN 'TOO_MANY' END AS code FROM j
+""")
+def e15_all(t: Tables) -> DataFrame:
+    return reason_codes(t, t["events"])
+
+
 @query("e16_cards", "SELECT event_key, direction, min(id) AS id FROM v_signals WHERE importance >= 2 AND direction <> 'NEUTRAL' GROUP BY ALL")
 def e16(t: Tables) -> DataFrame:
     used = t.signals.where("importance >= 2 and direction != 'NEUTRAL'").select("id")

@@ -75,6 +75,24 @@ def s9(t: Tables) -> DataFrame:
     return t["pages"].select("page_id", F.explode(scans.feed_items(F.col("html"), "p", 3)).alias("item"))
 
 
+# s9_feed_items and its SQL take 3 items a page; these take the reference's 30 of a feed and 200 of a sitemap, with their places
+def items_in_order(t: Tables, cap: int) -> DataFrame:
+    return t["pages"].select("page_id", F.posexplode(scans.feed_items(F.col("html"), "p", cap)).alias("pos", "item"))
+
+
+ITEMS = "WITH r AS (SELECT page_id, regexp_extract_all(html, '<p[^>]*>(.*?)</p>', 1, 's')[1:{}] AS r FROM pages) SELECT page_id, CAST(generate_subscripts(r, 1) - 1 AS INT) AS pos, unnest(r) AS item FROM r"
+
+
+@query("s9_feed_items_30", ITEMS.format(30))
+def s9_feed(t: Tables) -> DataFrame:
+    return items_in_order(t, 30)
+
+
+@query("s9_sitemap_items_200", ITEMS.format(200))
+def s9_sitemap(t: Tables) -> DataFrame:
+    return items_in_order(t, 200)
+
+
 @query("s10_recent_context", "WITH r AS (SELECT * FROM v_two WHERE a IS NOT NULL AND b IS NOT NULL ORDER BY obs_date DESC LIMIT 8) SELECT count(*) AS n, min(obs_date) AS first_day, max(obs_date) AS last_day, round(min_by(a, obs_date), 8) AS first_a, round(max_by(a, obs_date), 8) AS last_a, round(min_by(b, obs_date), 8) AS first_b, round(max_by(b, obs_date), 8) AS last_b FROM r HAVING count(*) >= 5")
 def s10(t: Tables) -> DataFrame:
     got = scans.recent_context(t.two, "obs_date", ["a", "b"], 8, 5)
