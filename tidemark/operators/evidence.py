@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,12 +49,14 @@ def asset_key(text: Column, aliases: dict[str, str]) -> Column:
     return slug
 
 
-def dedup_multi(df: DataFrame, keys: list[str], order: list[str], id_col: str, rounds: int = 60) -> DataFrame:
+def dedup_multi(df: DataFrame, keys: list[str], order: list[str], id_col: str) -> DataFrame:
     """Ids kept by greedy deduplication over several keys: the first row wins, and a row that is dropped does not take its keys.
 
     Works on (row, key) pairs, so a hot key costs linear time: a round keeps rows
     that are the earliest undecided ones on all their keys, and drops those that
-    share a key with a kept row; each round is written. Null keys match nothing.
+    share a key with a kept row; each round is written. The least undecided row
+    is always kept, so rounds go on until none is left, however long the chain.
+    Null keys match nothing.
     """
     spark = df.sparkSession
     root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
@@ -63,24 +66,24 @@ def dedup_multi(df: DataFrame, keys: list[str], order: list[str], id_col: str, r
         x.write.parquet(path)
         return spark.read.schema(x.schema).parquet(path)
 
-    rank = F.struct(*dict.fromkeys([*order, id_col]))
-    pairs = df.select(F.col(id_col).alias("id"), rank.alias("rank"), F.explode(F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(k).cast("string"))) for i, k in enumerate(keys)]))).alias("key"))
-    keyless = df.where(" and ".join(f"{k} is null" for k in keys)).select(F.col(id_col).alias("id"))
-    left, kept = cut(pairs), [keyless]
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    # of rows with one id the first counts, as the id itself is a key
+    one = df.groupBy(F.col(id_col).alias("id")).agg(F.min(F.struct(F.struct(*dict.fromkeys([*order, id_col])).alias("rank"), F.struct(*keys).alias("keys"))).alias("_r")).select("id", "_r.*")
+    by_key = F.array_compact(F.array(*[F.when(F.col(f"keys.{k}").isNotNull(), F.concat(F.lit(f"{i}:"), F.col(f"keys.{k}").cast("string"))) for i, k in enumerate(keys)]))
+    of = lambda x: x.withColumnRenamed("id", "_id")
+    same_id = F.col("id").eqNullSafe(F.col("_id"))
+    keyless = one.where(F.size(by_key) == 0).select("id")
+    left, kept = cut(one.select("id", "rank", F.explode(by_key).alias("key"))), [keyless]
+    while not left.isEmpty():
         first = left.groupBy("key").agg(F.min("rank").alias("least"))
         marked = left.join(first, "key").withColumn("first", F.col("rank") == F.col("least"))
         won = cut(marked.groupBy("id").agg(F.bool_and("first").alias("all_first")).where("all_first").select("id"))
-        taken = cut(left.join(won, "id", "left_semi").select("key").distinct())
+        taken = cut(left.join(of(won), same_id, "left_semi").select("key").distinct())
         lost = left.join(taken, "key", "left_semi").select("id").distinct()
         kept.append(won)
-        left = cut(left.join(lost, "id", "left_anti"))
-    out = kept[0]
-    for k in kept[1:]:
-        out = out.union(k)
-    return out
+        if len(kept) > 20:  # the plan must not grow with the rounds
+            kept = [cut(reduce(DataFrame.union, kept))]
+        left = cut(left.join(of(lost), same_id, "left_anti"))
+    return reduce(DataFrame.union, kept)
 
 
 def dedup_signals(df: DataFrame, keys: list[str], order: list[Column], id_col: str) -> DataFrame:

@@ -60,8 +60,12 @@ def e5(t: Tables) -> DataFrame:
 
 @query("e6_dedup_multi")
 def e6(t: Tables) -> DataFrame:
-    docs = t["documents"].select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content"), F.concat_ws(":", "source", F.substring("text", 1, 60)).alias("opening"))
-    return ev.dedup_multi(docs, ["content", "opening"], ["doc_id"], "doc_id").select(F.col("id").alias("doc_id"))
+    # as in the reference, a source and the hash of its whole text, and a source and the hash of all its segments (here lines)
+    text = F.coalesce("text", F.lit(""))
+    segments = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    key = lambda x: F.to_json(F.struct("source", F.sha2(x, 256).alias("hash")))
+    docs = t["documents"].select("doc_id", key(text).alias("content"), key(F.to_json(segments)).alias("segments"))
+    return ev.dedup_multi(docs, ["content", "segments"], ["doc_id"], "doc_id").select(F.col("id").alias("doc_id"))
 
 
 @query("e7_dedup_signals", "SELECT event_key, measurement_key, min_by(id, {'p': published_at, 'i': id}) AS id, CAST(count(*) - 1 AS INT) AS verified_by FROM v_signals GROUP BY ALL")
