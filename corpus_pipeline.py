@@ -17,16 +17,24 @@ from tidemark.llm.queries import table, tokenizer
 LEAST_CERTAINTY = 0.9
 
 
+def carried(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], list]:
+    """docs with all columns but doc_id and text under reserved names, so that none clashes with an operator's; the columns to carry; and how they get their names back."""
+    own = {c: c if c in ("doc_id", "text") else f"_own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*own.values()), tuple(own.values()), [F.col(name).alias(c) for c, name in own.items()]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those whose language is in doubt."""
     model = language_id.fit(docs)
-    return language_id.identify(docs, model, tuple(docs.columns)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CERTAINTY)).select(*docs.columns)
+    rows, names, back = carried(docs)
+    return language_id.identify(rows, model, names).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CERTAINTY)).select(*back)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose predicted quality is 0."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model, tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    rows, names, back = carried(docs)
+    return quality.score_documents(rows, model, names).where("predicted = 1").select(*back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
