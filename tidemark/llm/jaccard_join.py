@@ -7,11 +7,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import cut, map_batches, mix, only, runs, shingles, signed, small_batches, texts_of
 from .components import components
+from .differences import pairs_around_leads
 
 #: Similarity 4/5: sets of sizes r and s that link differ in at most r + s - 2 * ceil(4 (r + s) / 9) elements.
 PERCENT = 80
@@ -19,6 +20,8 @@ PERCENT = 80
 COMMON = 4
 #: Segments beyond those that the pigeonhole principle needs, as a share of them.
 SLACK = 0.2
+#: Times that documents with too few shared keys are left out before pairs are sought in common keys.
+KEY_ROUNDS = 2
 #: Bits of a set's sketch.
 SKETCH_BITS = 1024
 #: Signatures of whole segments need about so many elements in each; otherwise fewer segments with deletions serve.
@@ -262,13 +265,63 @@ def near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(bits <= total - 2 * F.floor((4 * total + 8) / 9)).select("a", "b")
 
 
-def linked(shared: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+def met_in_rare_keys(left: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components of which one dropped its common keys, and which share as many of the others as they need.
+
+    Its keys are of a few documents each, so pairs are at most a few for every key and document.
+    """
+    x, y = left.where("dropped is not null").alias("x"), left.drop("band").alias("y")
+    once = F.expr("x.component != y.component and (y.dropped is null or x.doc_id < y.doc_id)") & (5 * F.least("x.size", "y.size") >= 4 * F.greatest("x.size", "y.size"))
+    need = least_shared(F.col("x.size") + F.col("y.size"), F.least("x.empty", "y.empty"), F.coalesce(F.least("x.dropped", "y.dropped"), F.lit(0)))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & once).groupBy(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), "band").agg(F.count(F.lit(1)).alias("n"), F.max(need).alias("need"))
+    return met.where("n >= need").select("a", "b")
+
+
+def with_enough_keys(heavy: DataFrame, n: int) -> DataFrame:
+    """heavy (key, doc_id, band, component, size, empty) less documents that share too few keys with other components to link in a band, and `need`, the keys that those left need at least.
+
+    Once is enough for right results; a second time sees what the first has left over.
+    """
+    for _ in range(KEY_ROUNDS):
+        stats = heavy.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("size").alias("largest")).where("least < most").select("key", "largest")
+        placed = cut(heavy.drop("need").join(stats, "key"), n)
+        own = placed.groupBy("doc_id", "band").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("empty").alias("empty"), F.max("largest").alias("largest"))
+        partner = F.least("largest", F.floor(F.col("size") * 5 / 4))
+        own = own.withColumn("need", least_shared(F.col("size") + partner, F.col("empty"), F.lit(0)).cast("int")).where("n >= need").select("doc_id", "band", "need")
+        heavy = cut(placed.drop("largest").join(own, ["doc_id", "band"]), n)
+    return heavy
+
+
+def met_in_common_keys(heavy: DataFrame, docs: DataFrame, percent: int, common: int, n: int) -> DataFrame:
+    """(a, b): pairs of different components among documents that kept their common keys (key, doc_id, band, component, size, empty).
+
+    Documents of a common key have its most central document, the one with most
+    documents in its keys, as lead, and are paired by their differences to it.
+    Two documents that share `need` of their keys share one of the first
+    K + 1 - need of each one's K keys in one order of all keys; only these count.
+    Keys of the most central leads come first, so that few leads serve all keys.
+    """
+    heavy = with_enough_keys(heavy, n)
+    sizes = cut(heavy.groupBy("key").agg(F.count(F.lit(1)).alias("n")), n)
+    score = heavy.join(sizes.where(F.col("n") > common), "key").groupBy("doc_id").agg(F.sum("n").alias("score"))
+    scored = cut(heavy.join(score, "doc_id", "left").withColumn("score", F.coalesce("score", F.lit(0))), n)
+    central = scored.groupBy("key").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("lead"), F.max("score").alias("lead_score"), (F.count(F.lit(1)) > common).alias("hot"))
+    w = Window.partitionBy("doc_id", "band")  # a document's keys in a band, one for each segment
+    place = F.row_number().over(w.orderBy(F.desc("hot"), F.desc("lead_score"), "lead", "key"))
+    early = cut(scored.join(central, "key").withColumn("place", place).withColumn("keys", F.count(F.lit(1)).over(w)).where("place <= keys + 1 - need"), n)
+    around = pairs_around_leads(early.where("hot").select("lead", "doc_id", "component"), docs, percent)
+    x, y = early.where("not hot").alias("x"), early.where("not hot").alias("y")
+    few = x.join(y, F.expr("x.key = y.key and x.component != y.component and x.doc_id < y.doc_id and 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)"))
+    return around.union(few.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")))
+
+
+def linked(shared: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, common: int, n: int) -> DataFrame:
     """(node, component) of documents with links, as all links connect them.
 
     First each document is paired with the lead that it shares most keys with.
-    Then all pairs that are not connected and share as many keys as they need
-    are tried; few are left, as a common passage makes few keys in common and
-    sketches tell near copies that are not near enough.
+    Then all pairs that are not connected and may link are tried: by the number of
+    keys they share, or, where keys are common, by their differences to a lead;
+    sketches tell most of those that are not near enough.
     """
     shared = cut(shared, n)
     own = least_shared(2 * F.col("size"), F.col("empty"), F.coalesce("dropped", F.lit(0)))
@@ -280,10 +333,7 @@ def linked(shared: DataFrame, sets: DataFrame, docs: DataFrame, percent: int, n:
     placed = shared.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
     left = cut(placed.join(split, "key").select("key", "doc_id", "band", "component", "size", "empty", "dropped"), n)
-    x, y = left.alias("x"), left.drop("band").alias("y")
-    apart = x.join(y, "key").where("x.component != y.component and x.doc_id < y.doc_id and 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)")
-    need = least_shared(F.col("x.size") + F.col("y.size"), F.least("x.empty", "y.empty"), F.coalesce(F.least("x.dropped", "y.dropped"), F.lit(0)))
-    pairs = apart.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), "band").agg(F.count(F.lit(1)).alias("n"), F.max(need).alias("need")).where("n >= need").select("a", "b").distinct()
+    pairs = met_in_rare_keys(left).union(met_in_common_keys(left.where("dropped is null").drop("dropped"), docs, percent, common, n)).distinct()
     pairs = cut(near_enough(pairs.join(tried, ["a", "b"], "left_anti"), sets))
     if pairs.isEmpty():
         return nodes
@@ -311,7 +361,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, common: int = COMMON
     bands = sets.where("n_shingles > 3").select("doc_id", F.col("n_shingles").cast("int").alias("size"), pairs.alias("b")).select("doc_id", "size", "b.*")
     shared = shared_keys(signature_rows(firsts), common)
     n = shared.count()
-    top = linked(without_common(shared, bands, n), sets, firsts, percent, n)
+    top = linked(without_common(shared, bands, n), sets, firsts, percent, common, n)
     copied = copies.join(top.select(F.col("node").alias("lead"), "component"), "lead", "left").select("doc_id", F.coalesce("component", "lead").alias("component"))
     place = cut(copied.union(top.join(copies, top["node"] == copies["doc_id"], "left_anti").select(F.col("node").alias("doc_id"), "component")))
     return sets.join(place.groupBy("doc_id").agg(F.min("component").alias("component")), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
