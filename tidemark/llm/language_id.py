@@ -9,15 +9,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import code_points, map_batches, mix, runs, texts_of
+from .base import code_points, map_batches, mix, texts_of
 
 #: Documents of each language that the fit counts, chosen by a hash of their id, about as many of each.
 FIT_ROWS = 3_000
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
-#: Languages at most; the matrix has BUCKETS x languages numbers. The most frequent ones are learned.
-MOST_LANGUAGES = 200
+#: Languages of one matrix of BUCKETS x languages numbers (26 MB). All languages are learned; more of them are scored one block after the other.
+BLOCK = 100
+#: Characters that one pass works on, and numbers that it gathers at once.
+PIECE_CHARS, GATHERED = 1 << 19, 1 << 21
 _tables: list[np.ndarray] = []
 
 
@@ -33,18 +35,43 @@ def letters() -> np.ndarray:
     return _tables[0]
 
 
-def grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray], np.ndarray]]:
-    """For ranges of texts: first and last, where each text begins, hashed n-grams of each order at each place, and letters per text.
+def pieces(texts: list[str], size: int) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """Texts, each between two spaces, in runs of about `size` characters: text numbers, strings, and how many places of each string begin grams of its own.
+
+    A longer text is cut; a piece has some more characters, for the grams that begin at its end.
+    """
+    of, parts, own, held = [], [], [], 0
+    for i, text in enumerate(texts):
+        padded = f" {text} "
+        for a in range(0, len(padded), size):
+            n = min(size, len(padded) - a)
+            if held and held + n > size:
+                yield of, parts, own
+                of, parts, own, held = [], [], [], 0
+            of.append(i)
+            parts.append(padded[a : a + n + ORDERS[-1] - 1])
+            own.append(n)
+            held += n
+    if of:
+        yield of, parts, own
+
+
+def grams(texts: list[str], size: int = PIECE_CHARS) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """For runs of pieces of texts: the text and the beginning of each piece, hashed n-grams of each order at each place, and letters per piece.
 
     Letters are lower-cased, all else is a space; grams within a run of spaces
-    do not count (-1), so that punctuation and digits weigh nothing.
+    do not count (-1), so that punctuation and digits weigh nothing. A gram lies
+    within its text and the space on either side, so texts do not depend on each other.
     """
-    for a, b in runs(texts):
-        flat, starts = code_points(texts[a:b])
+    for of, parts, own in pieces(texts, size):
+        flat, starts = code_points(parts)
         c = letters()[np.minimum(flat, 0x10FFFF)]
         letter = c != 32
-        total = np.concatenate([[0], np.cumsum(letter)])
-        n_letters = total[starts[1:]] - total[starts[:-1]]
+        counted = letter.copy()
+        first, own_n, length = starts[:-1], np.array(own), np.diff(starts) - 1
+        for j in range(ORDERS[-1]):  # what follows a piece's own places, but for its last space
+            counted[np.minimum(first + own_n + j, first + length)] = False
+        total = np.concatenate([[0], np.cumsum(counted)])
         out, key = [], c.astype(np.uint64)
         for n in ORDERS:
             if n > 1:
@@ -52,89 +79,123 @@ def grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, list[np.ndar
             good = letter[: len(key)].copy()
             if n > 1:
                 good |= letter[n - 1 :]
-            hashed = (mix(key + np.uint64(n << 60)) % np.uint64(BUCKETS)).astype(np.int64)
             full = np.full(len(c), -1, np.int64)
-            full[: len(key)] = np.where(good, hashed, -1)
+            full[: len(key)] = np.where(good, (mix(key + np.uint64(n << 60)) % np.uint64(BUCKETS)).astype(np.int64), -1)
+            end = np.minimum(own_n, length - n + 1)
+            for j in range(ORDERS[-1] + 1):
+                full[first + np.clip(end + j, 0, length)] = -1  # the last of these is the space between pieces
             out.append(full)
-        yield a, b, starts, out, n_letters
+        yield np.array(of), starts[:-1], out, total[starts[1:]] - total[starts[:-1]]
 
 
 @dataclass(frozen=True)
-class LanguageModel:
+class LanguageBlock:
     languages: tuple[str, ...]
     #: Log probability in each language (row) of each bucket; the last column, for grams that do not count, is zero.
     logs: np.ndarray
-    prior: np.ndarray
-
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and its posterior probability; `und` and 0 for a text without letters or if no language was learned."""
-        names, scores = np.array([*self.languages, "und"], object), []
-        best: list[np.ndarray] = []
-        for _, _, starts, keys, n_letters in grams(texts):
-            if not self.languages:
-                best.append(np.full(len(n_letters), -1))
-                scores.append(np.zeros(len(n_letters)))
-                continue
-            sums = np.tile(self.prior, (len(n_letters), 1))
+
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihood of each text in each language, and letters of each text."""
+        out, n_letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        for of, starts, keys, found in grams(texts, min(PIECE_CHARS, GATHERED // max(len(self.languages), 1))):
+            np.add.at(n_letters, of, found)
             for k in keys:
-                for j in range(len(self.languages)):
-                    sums[:, j] += np.add.reduceat(self.logs[j][k], starts[:-1])
-            top = sums.argmax(axis=1)
-            p = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-            best.append(np.where(n_letters > 0, top, -1))
-            scores.append(np.where(n_letters > 0, p, 0.0))
-        if not best:
-            return [], np.zeros(0)
-        return list(names[np.concatenate(best)]), np.concatenate(scores)
+                np.add.at(out, of, np.add.reduceat(np.take(self.logs, k, axis=1), starts, axis=1).T)
+        return out, n_letters
 
 
-def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+@dataclass(frozen=True)
+class LanguageModel:
+    blocks: tuple[LanguageBlock, ...]
 
+    @property
+    def languages(self) -> tuple[str, ...]:
+        return tuple(x for b in self.blocks for x in b.languages)
 
-def fit(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageModel:
-    """Count n-grams of about `rows` documents of each language that are not held out; null ids, texts and languages are left out.
 
-    Counts are added up by Spark; a row per language and bucket that occurs comes to the driver.
-    """
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = tuple(sorted(r["lang"] for r in sizes))
-    if not languages:
-        return LanguageModel((), np.zeros((0, BUCKETS + 1)), np.zeros(0))
-    rate = F.create_map([F.lit(x) for r in sizes for x in (r["lang"], int((1 << 30) * min(1.0, rows / r["count"])))])
-    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < rate[F.col("lang")]).select("lang", "text")
+def held_out(doc_id: str = "doc_id"):
+    """Whether the fit must not see a document; a null id is not held out (and not learned from either)."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def fit_block(some: DataFrame, languages: tuple[str, ...]) -> LanguageBlock:
+    """Counts are added up by Spark; a row per language and bucket that occurs comes to the driver."""
 
     def count(batch: dict) -> Iterator[dict]:
-        lang, text = np.array(batch["lang"].to_pylist(), object), texts_of(batch["text"])
-        for x in languages:
-            sums = np.zeros(BUCKETS + 1, np.int64)
-            for _, _, _, keys, _ in grams([t for t, y in zip(text, lang) if y == x]):
+        by: dict[str, list[str]] = {}
+        for lang, text in zip(batch["lang"].to_pylist(), texts_of(batch["text"])):
+            by.setdefault(lang, []).append(text)
+        for lang, texts in by.items():
+            sums = np.zeros(BUCKETS, np.int64)
+            for _, _, keys, _ in grams(texts):
                 for k in keys:
-                    sums += np.bincount(k[k >= 0], minlength=BUCKETS + 1)
+                    sums += np.bincount(k[k >= 0], minlength=BUCKETS)
             if len(at := np.flatnonzero(sums)):
-                yield {"lang": [x] * len(at), "bucket": at, "n": sums[at]}
+                yield {"lang": [lang] * len(at), "bucket": at, "n": sums[at]}
 
     counts = np.full((len(languages), BUCKETS + 1), SMOOTHING)
     place = {x: i for i, x in enumerate(languages)}
-    got = map_batches(some, count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = map_batches(some.where(F.col("lang").isin(*languages)), count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts[got["lang"].map(place).to_numpy(int), got["bucket"].to_numpy(int)] += got["n"].to_numpy(float)
     logs = np.log(counts / counts[:, :-1].sum(axis=1, keepdims=True))
     logs[:, -1] = 0
-    return LanguageModel(languages, logs, np.full(len(languages), -np.log(len(languages))))
+    return LanguageBlock(languages, logs)
+
+
+def fit(docs: DataFrame, rows: int = FIT_ROWS, block: int = BLOCK) -> LanguageModel:
+    """Count n-grams of about `rows` documents of each language that are not held out; null ids, texts and languages are left out.
+
+    Every language that such a document has is learned, `block` of them at a time; all weigh the same.
+    """
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
+    names = sorted(sizes)
+    if not names:
+        return LanguageModel(())
+    rate = F.create_map([F.lit(x) for lang, n in sizes.items() for x in (lang, int((1 << 30) * min(1.0, rows / n)))])
+    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < rate[F.col("lang")]).select("lang", "text")
+    return LanguageModel(tuple(fit_block(some, tuple(names[a : a + block])) for a in range(0, len(names), block)))
 
 
 def identify(docs: DataFrame, model: LanguageModel, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred and score of every row's whole text, and the columns named in extra; repeated rows stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
-
-    def run(batch: dict) -> Iterator[dict]:
-        text = texts_of(batch["text"])
-        kept = {c: batch[c].to_pylist() for c in ("doc_id", *extra)}
-        for a in range(0, len(text), 500):
-            lang, score = sent.value.predict(text[a : a + 500])
-            yield {c: v[a : a + 500] for c, v in kept.items()} | {"lang_pred": lang, "score": score}
-
-    cols = list(dict.fromkeys(["doc_id", "text", *extra]))
-    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in dict.fromkeys(["doc_id", *extra]))
-    return map_batches(docs.select(*cols), run, ddl + ", lang_pred string, score double")
+    """doc_id, lang_pred and score (posterior probability) of every row's whole text, and the columns named in extra; repeated rows stay.
+
+    `und` and 0 for a null text, one without letters, or if no language was learned.
+    Each block of languages is a map over the rows, which carries the best
+    language so far, its log likelihood, and the log of the sum of all.
+    """
+    cols = list(dict.fromkeys(["doc_id", *extra]))
+    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
+    state = "_text string, _best string, _top double, _all double"
+    rows = docs.select(*cols, F.col("text").alias("_text"), F.lit("und").alias("_best"), F.lit(float("-inf")).alias("_top"), F.lit(float("-inf")).alias("_all"))
+
+    def step(block: LanguageBlock, last: bool):  # noqa: ANN202
+        sent = docs.sparkSession.sparkContext.broadcast(block)  # BUCKETS x BLOCK numbers at most
+
+        def run(batch: dict) -> Iterator[dict]:
+            text = texts_of(batch["_text"])
+            kept = {c: batch[c].to_pylist() for c in (*cols, "_best")}
+            before, total = batch["_top"].to_numpy(), batch["_all"].to_numpy()
+            names = np.array(sent.value.languages, object)
+            for a in range(0, len(text), 500):
+                b = slice(a, a + 500)
+                sums, n_letters = sent.value.sums(text[b])
+                top = sums.max(axis=1)
+                every = np.logaddexp(total[b], top + np.log(np.exp(sums - top[:, None]).sum(axis=1)))
+                better = (top > before[b]) & (n_letters > 0)
+                best, high = np.where(better, names[sums.argmax(axis=1)], np.array(kept["_best"][b], object)), np.where(better, top, before[b])
+                out = {c: kept[c][b] for c in cols}
+                if last:
+                    score = np.exp(np.where(n_letters > 0, high - every, -np.inf))
+                    yield out | {"lang_pred": list(best), "score": score}
+                else:
+                    yield out | {"_text": text[b], "_best": list(best), "_top": high, "_all": every}
+
+        return run
+
+    if not model.blocks:
+        return rows.select(*cols, F.col("_best").alias("lang_pred"), F.lit(0.0).alias("score"))
+    for i, block in enumerate(model.blocks):
+        last = i == len(model.blocks) - 1
+        rows = map_batches(rows, step(block, last), ddl + (", lang_pred string, score double" if last else ", " + state))
+    return rows
