@@ -115,7 +115,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-STATE = "bin bigint, done boolean, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+STATE = "bin bigint, first boolean, done boolean, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 def _pack_task(level: int, capacity: int, final: bool):
@@ -139,9 +139,12 @@ def _pack_task(level: int, capacity: int, final: bool):
         fill = np.bincount(packed, weights=sizes).astype(np.int64)
         # a bin without room for the smallest item of the task may still find a smaller one elsewhere, so it stays
         done = np.full(len(fill), True) if final else capacity - fill <= NEARLY_FULL
-        base = (level << 56) + (TaskContext.get().partitionId() << 28)
+        base = (level << 44) + (TaskContext.get().partitionId() << 24)  # room for a million tasks of 16 million bins
         of = packed[item]
+        first = np.zeros(len(of), bool)
+        first[np.unique(of, return_index=True)[1]] = True
         t = t.set_column(t.schema.get_field_index("bin"), "bin", pa.array(of + base, pa.int64()))
+        t = t.set_column(t.schema.get_field_index("first"), "first", pa.array(first, pa.bool_()))
         t = t.set_column(t.schema.get_field_index("done"), "done", pa.array(done[of], pa.bool_()))
         yield from t.to_batches(max_chunksize=10_000)
 
@@ -154,25 +157,27 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Each partition packs its own pieces by best fit, from large to small; bins
     with at most NEARLY_FULL tokens of room are emitted, and the others go as
     items to the next round, where each task takes those of several partitions.
-    Rounds go on until one task holds all that is left or a round joins nothing;
-    tasks are of about GROUP_PIECES pieces however large the input.
+    Rounds go on until one task holds all that is left, or a round joins nothing:
+    bins are counted exactly, and each round deals them out anew. Tasks are of about
+    GROUP_PIECES pieces however large the input. Null ids and repeated rows are
+    pieces like others; an empty table gives none.
     """
     spark = pieces.sparkSession
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    state = pieces.select(F.lit(0).cast("bigint").alias("bin"), F.lit(False).alias("done"), *cols)
+    state = pieces.select(F.lit(0).cast("bigint").alias("bin"), F.lit(False).alias("first"), F.lit(False).alias("done"), *cols)
     emitted, level, groups, bins_before = [], 0, None, None
     while True:
-        final = level > 0 and (groups == 1 or level >= 12)
+        final = level > 0 and groups == 1
         state = cut(state.mapInArrow(_pack_task(level, capacity, final), STATE))
         emitted.append(state.where("done"))
         rest = state.where("not done")
         if final:
             break
-        n, bins = rest.agg(F.count(F.lit(1)), F.approx_count_distinct("bin")).first()
+        n, bins = rest.agg(F.count(F.lit(1)), F.count_if("first")).first()
         if not n:
             break
         groups = -(-n // GROUP_PIECES)
-        if groups > 1 and bins_before and bins > 0.95 * bins_before:
+        if groups > 1 and bins == bins_before:
             emitted.append(rest)
             break
         bins_before = bins
