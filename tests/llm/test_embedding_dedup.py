@@ -61,3 +61,20 @@ def test_suffix_bound_loses_no_pair():
     got = {(int(i), int(j)) for x, y in ed.tile_links(a, b, basis, 0.98, False) for i, j in zip(x, y)}
     want = {(i, j) for i in range(60) for j in range(60) if ed.unit(a)[i] @ ed.unit(b)[j] >= 0.98}
     assert got == want and want
+
+
+def test_equal_vectors_repeated_and_null_ids(spark):
+    v, w, u = [1.0, 2.0, 3.0], [1.0, 2.0, 3.05], [-3.0, 1.0, 0.0]
+    rows = [(1, v, 0), (2, v, 0), (3, v, 0), (4, w, 0), (5, u, 0), (5, u, 1), (6, u, 1), (7, u, 0), (7, u, 0), (None, v, 0), (None, v, 0), (8, v, 2), (9, v, 2)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in ed.near_duplicates(df).collect()), key=str)
+    want = [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 3, 5, True), (5, 3, 5, True), (6, 1, 5, False), (7, 4, 5, False), (7, 4, 5, False)]
+    assert got == sorted([*want, (None, 0, None, True), (None, 0, None, True), (8, 1, 8, True), (9, 1, 8, False)], key=str)
+
+
+def test_many_equal_vectors_are_one_class(spark):
+    df = spark.range(20_000).selectExpr("id AS vec_id", "array(1F, 2F, cast(id % 2 AS float)) AS embedding", "1 AS label")
+    classes, members = ed.classes_of(ed.placed_vectors(df, {3: np.eye(3)}))
+    assert classes.count() == 2 and members.count() == 20_000
+    got = ed.near_duplicates(df)
+    assert got.where("n_links = 9999").count() == 20_000 and {r[0] for r in got.select("component_id").distinct().collect()} == {0, 1}

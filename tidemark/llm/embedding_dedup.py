@@ -60,6 +60,8 @@ def bases(moments: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
 
 
 TILE = "label int, d int, tile bigint, low double, high double, n int, ids binary, vectors binary"
+#: Classes of equal vectors whose members may be joined by sending the classes to every task (40 bytes each).
+FEW_CLASSES = 500_000
 
 
 def number_type(vectors: DataFrame) -> str:
@@ -67,8 +69,8 @@ def number_type(vectors: DataFrame) -> str:
     return "f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "f8"
 
 
-def tiles(vectors: DataFrame, basis: dict[int, np.ndarray]) -> DataFrame:
-    """Blocks of up to TILE_ROWS vectors of one label, neighbours on the first axis. Vectors that cannot link are left out."""
+def placed_vectors(vectors: DataFrame, basis: dict[int, np.ndarray]) -> DataFrame:
+    """The vectors that can link, as bytes, with their place on the first axis and a digest that equal ones share."""
 
     kind = number_type(vectors)
 
@@ -84,9 +86,30 @@ def tiles(vectors: DataFrame, basis: dict[int, np.ndarray]) -> DataFrame:
             "vector": [x.astype(kind).tobytes() for _, x in at],
         }
 
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(map_batches(vectors.select("vec_id", "label", "embedding"), place, "label int, d int, first double, vec_id bigint, vector binary"))
-    ordered = placed.repartitionByRange(n, "label", "d", "first", "vec_id").sortWithinPartitions("label", "d", "first", "vec_id")
+    placed = map_batches(vectors.select("vec_id", "label", "embedding"), place, "label int, d int, first double, vec_id bigint, vector binary")
+    return cut(placed.withColumn("digest", F.sha2("vector", 256)))
+
+
+def classes_of(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Equal vectors of a label as one class (cls, label, d, first, rep, n, vector), and its members (vec_id, cls, rep, n).
+
+    rep is the least vec_id. Vectors are aggregated before they are dealt out, so
+    a class of any size stays one row.
+    """
+    by = ["label", "d", "digest"]
+    classes = placed.groupBy(*by).agg(F.min("first").alias("first"), F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("vector").alias("vector"))
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()))
+    several = classes.where("n > 1").select(*by, "cls", "rep", "n")
+    single = classes.where("n = 1").select(F.col("rep").alias("vec_id"), "cls", "rep", "n")
+    few = several.count() <= FEW_CLASSES
+    return classes, single.union(placed.select("vec_id", *by).join(F.broadcast(several) if few else several, by).select("vec_id", "cls", "rep", "n"))
+
+
+def tiles(classes: DataFrame) -> DataFrame:
+    """Blocks of up to TILE_ROWS classes of one label, neighbours on the first axis; ids holds cls, rep and n of each."""
+
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = classes.repartitionByRange(n, "label", "d", "first", "cls").sortWithinPartitions("label", "d", "first", "cls")
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -100,12 +123,12 @@ def tiles(vectors: DataFrame, basis: dict[int, np.ndarray]) -> DataFrame:
             nonlocal made, rows
             label, d, *_ = rows[0]
             first = [r[2] for r in rows]
-            out = dict(zip(names, (label, d, made, min(first), max(first), len(rows), np.array([r[3] for r in rows], np.int64).tobytes(), b"".join(r[4] for r in rows))))
+            out = dict(zip(names, (label, d, made, min(first), max(first), len(rows), np.array([r[3:6] for r in rows], np.int64).tobytes(), b"".join(r[6] for r in rows))))
             made, rows = made + 1, []
             return pa.RecordBatch.from_pylist([out], schema=kinds)
 
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("label", "d", "first", "vec_id", "vector"))):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("label", "d", "first", "cls", "rep", "n", "vector"))):
                 if rows and (len(rows) == TILE_ROWS or rows[0][:2] != r[:2]):
                     yield flush()
                 rows.append(r)
@@ -159,15 +182,16 @@ def unite(least: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def compare(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: float, same: bool) -> dict:
-    """Per row with links: their number within this pair of tiles, and one row that it is connected to (never all pairs)."""
+    """Per class (cls, rep, n in ids) with links to others: the vectors of those in this pair of tiles, and the rep of one that it is connected to (never all pairs)."""
     ids = ids_a if same else np.concatenate([ids_a, ids_b])
     shift, counts, least = 0 if same else len(ids_a), np.zeros(len(ids), np.int64), np.arange(len(ids))
+    weight = ids[:, 2].astype(float)  # sums below 2**53 are exact
     for i, j in tile_links(a, b, basis, threshold, same):
         j = j + shift
-        counts += np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+        counts += (np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))).astype(np.int64)
         least = unite(least, i, j)
     at = np.flatnonzero(counts)
-    return {"vec_id": ids[at], "n_links": counts[at], "to_id": ids[least[at]]}
+    return {"cls": ids[at, 0], "rep": ids[at, 1], "n_links": counts[at], "to_rep": ids[least[at], 1]}
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -176,14 +200,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     Rows link if their labels are equal and not null and their cosine is at
     least threshold. Rows whose embedding is null, zero, or holds null or
     non-finite components link with nothing, nor do embeddings of different
-    lengths. vec_id is taken as a key: repeated rows count as other vectors
-    with the same id, and the result has one row per id. Null ids are left out
-    of links and keep a row of their own.
+    lengths. Equal vectors of a label are compared as one class with their number.
+    Rows of one vec_id are other vectors, but one node of the links: each of
+    them gets the sum of their links. Rows with a null id link with nothing,
+    have no component and are kept. An empty table gives no rows; other columns
+    are not read.
     """
     spark = vectors.sparkSession
     vectors = vectors.select("vec_id", F.col("label").cast("int").alias("label"), "embedding")
     basis = bases(second_moments(vectors))
-    blocks = cut(tiles(vectors.where("vec_id is not null"), basis))
+    classes, members = classes_of(placed_vectors(vectors.where("vec_id is not null"), basis))
+    blocks = cut(tiles(classes))
     reach = float(np.sqrt(max(2 - 2 * threshold, 0))) + SLACK  # unit vectors with that cosine are no further apart on any axis
     near = blocks.select("label", "d", "tile", "low", "high").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / reach), F.floor((F.col("high") + reach) / reach))))
     x, y = near.alias("x"), near.alias("y")
@@ -197,24 +224,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     kind = number_type(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("vec_id", pa.int64()), ("n_links", pa.int64()), ("to_id", pa.int64())])
+        schema = pa.schema([("cls", pa.int64()), ("rep", pa.int64()), ("n_links", pa.int64()), ("to_rep", pa.int64())])
         for batch in batches:
             for r in range(batch.num_rows):
                 one = {c: batch.column(c)[r].as_py() for c in ("a", "b", "d", "ids_a", "vectors_a", "ids_b", "vectors_b")}
-                ids = [np.frombuffer(one[c], np.int64) for c in ("ids_a", "ids_b")]
+                ids = [np.frombuffer(one[c], np.int64).reshape(-1, 3) for c in ("ids_a", "ids_b")]
                 rows = [np.frombuffer(one[c], kind).astype(float).reshape(-1, one["d"]) for c in ("vectors_a", "vectors_b")]
                 got = compare(ids[0], rows[0], ids[1], rows[1], basis[one["d"]], threshold, one["a"] == one["b"])
                 yield pa.RecordBatch.from_arrays([pa.array(got[c], pa.int64()) for c in schema.names], schema=schema)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row holds two tiles
-    found = cut(both.mapInArrow(run, "vec_id bigint, n_links bigint, to_id bigint"))
+    found = cut(both.mapInArrow(run, "cls bigint, rep bigint, n_links bigint, to_rep bigint"))
     small_batches(spark)
-    counts = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
-    nodes = components(found.select("vec_id", "to_id"), "vec_id", "to_id")
-    result = vectors.groupBy("vec_id").agg(F.count(F.lit(1)).alias("rows")).join(counts, "vec_id", "left").join(nodes.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    per_class = found.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+    linked = members.join(per_class, "cls", "left").where("n > 1 or n_links is not null")
+    counts = linked.groupBy("vec_id").agg(F.sum(F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    nodes = components(found.select(F.col("rep").alias("a"), F.col("to_rep").alias("b")).union(members.where("vec_id != rep").select("rep", "vec_id")), "a", "b")
+    result = vectors.select("vec_id").join(counts, "vec_id", "left").join(nodes.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     return result.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),
-        (F.col("vec_id") == F.coalesce("component", "vec_id")).alias("kept"),
+        F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(True)).alias("kept"),
     )
