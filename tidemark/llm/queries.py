@@ -117,17 +117,29 @@ SELECT z.doc_id, z.n AS n_shingles, least(z.doc_id, coalesce(c.b, z.doc_id)) AS
 """
 
 
+#: Levels of the template tree that the SQL spells out; paths of the given tables have two segments.
+SQL_LEVELS = 4
+
+
 def _levels() -> str:
-    """The four levels of the template tree, one after the other."""
-    out = []
-    for k in range(1, 5):
-        own = f"branch[{k}]"
-        out.append(f"m{k} AS (SELECT host, template FROM l{k - 1} WHERE {own} IS NOT NULL AND {own} <> '*' GROUP BY ALL HAVING count(DISTINCT {own}) > {url_filter.MOST_LITERALS})")
+    """The levels of the template tree, one after the other: rows that go on, their children, siblings that are alike, and the next level."""
+    u, out = url_filter, []
+    smooth = f"({{0}}.hits + {u.PRIOR}) / ({{0}}.labelled + 2 * {u.PRIOR})"
+    for k in range(SQL_LEVELS):
         out.append(
-            f"l{k} AS (SELECT l.host, l.branch, l.labelled, l.hits, CASE WHEN {own} IS NULL THEN l.template ELSE list_append(l.template, CASE WHEN m.host IS NULL THEN {own} ELSE '*' END) END AS template "
-            f"FROM l{k - 1} l LEFT JOIN m{k} m ON m.host = l.host AND m.template = l.template)"
+            f"s{k} AS (SELECT *, count(*) OVER (PARTITION BY host, template) AS branches, sum(n) OVER (PARTITION BY host, template) AS total, branch[{k + 1}] AS own, coalesce(branch[{k + 2}], '') AS follows FROM l{k}),\n"
+            f"r{k} AS (SELECT * FROM s{k} WHERE own IS NOT NULL AND branches > 1),\n"
+            f"e{k} AS (SELECT host, branch, labelled, hits, list_concat(template, branch[{k + 1}:]) AS template FROM s{k} WHERE own IS NULL OR branches = 1),\n"
+            f"c{k} AS (SELECT host, template, own, sum(n) AS n, sum(labelled) AS labelled, sum(hits) AS hits, sum(n) < {u.RARE} * any_value(total) AS rare FROM r{k} WHERE own <> '*' GROUP BY ALL),\n"
+            f"b{k} AS (SELECT c.host, c.template, c.own, any_value(c.n) AS n, any_value(c.labelled) AS labelled, any_value(c.hits) AS hits, r.follows, sum(r.n) / any_value(c.n) AS p FROM r{k} r JOIN c{k} c ON c.host = r.host AND c.template = r.template AND c.own = r.own AND NOT c.rare GROUP BY c.host, c.template, c.own, r.follows),\n"
+            f"m{k} AS (SELECT x.host, x.template, x.own, y.own AS other, y.n AS other_n FROM b{k} x JOIN b{k} y ON x.host = y.host AND x.template = y.template AND x.follows = y.follows AND (y.n > x.n OR y.n = x.n AND y.own < x.own) "
+            f"WHERE NOT (x.labelled > 0 AND y.labelled > 0 AND abs({smooth.format('x')} - {smooth.format('y')}) > {u.APART}) "
+            f"GROUP BY ALL HAVING round(sum(sqrt(x.p * y.p)), 9) >= {u.ALIKE} AND round(coalesce(sum(sqrt(x.p * y.p)) FILTER (x.follows NOT IN ('*', '')), 0), 9) >= {u.NAMED}),\n"
+            f"d{k} AS (SELECT host, template, own, other AS lead FROM m{k} QUALIFY row_number() OVER (PARTITION BY host, template, own ORDER BY other_n DESC, other) = 1),\n"
+            f"l{k + 1} AS (SELECT r.host, r.branch, r.n, r.labelled, r.hits, list_append(r.template, CASE WHEN c.rare THEN '*' ELSE coalesce(d.lead, r.own) END) AS template FROM r{k} r LEFT JOIN c{k} c ON c.host = r.host AND c.template = r.template AND c.own = r.own LEFT JOIN d{k} d ON d.host = r.host AND d.template = r.template AND d.own = r.own)"
         )
-    return ",\n".join(out)
+    union = " UNION ALL ".join([*(f"SELECT * FROM e{k}" for k in range(SQL_LEVELS)), f"SELECT host, branch, labelled, hits, template FROM l{SQL_LEVELS}"])
+    return ",\n".join(out) + f",\nt AS ({union})"
 
 
 OP6_SQL = rf"""
@@ -136,19 +148,15 @@ WITH p AS (
 ), rules(says, h, pre) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 r AS (
   SELECT p.page_id, arg_max(h || pre, length(h || pre)) AS rule, arg_max(says, length(h || pre)) AS ruled FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY p.page_id
-), s AS (
-  SELECT p.page_id, host, path, rule, ruled, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+(\.[A-Za-z0-9]{{1,5}})?$|^[0-9a-fA-F-]{{8,}}$|([^0-9]*[0-9]){{4}}') THEN '*' ELSE x END) AS parts
+), j AS (
+  SELECT p.page_id, host, path, rule, ruled, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+(\.[A-Za-z0-9]{{1,5}})?$|^[0-9a-fA-F-]{{8,}}$|([^0-9]*[0-9]){{4}}') THEN '*' ELSE x END) AS branch
   FROM p LEFT JOIN r ON r.page_id = p.page_id
-), j AS (SELECT *, CASE WHEN len(parts) > {url_filter.DEPTH} THEN list_append(parts[1:{url_filter.DEPTH}], '**') ELSE parts END AS branch FROM s),
-l0 AS (SELECT host, branch, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS hits, CAST([] AS VARCHAR[]) AS template FROM j GROUP BY host, branch),
+),
+l0 AS (SELECT host, branch, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS hits, CAST([] AS VARCHAR[]) AS template FROM j GROUP BY host, branch),
 {_levels()},
-t AS (SELECT host, branch, labelled, hits, CASE WHEN len(branch) > {url_filter.DEPTH} THEN list_append(template, '**') ELSE template END AS template FROM l{url_filter.DEPTH}),
-f AS (SELECT host, template, sum(labelled) AS labelled, sum(hits) AS hits FROM t GROUP BY ALL),
-k AS (
-  SELECT *, CASE WHEN labelled > 0 AND hits / labelled <= {url_filter.CLASSES[0]} THEN 'low' WHEN labelled > 0 AND hits / labelled >= {url_filter.CLASSES[1]} THEN 'high' ELSE 'own:' || array_to_string(template, '/') END AS alike,
-  CASE WHEN len(template) > 0 THEN list_prepend('*', template[2:]) ELSE template END AS parent FROM f
-), bad AS (SELECT host, parent, alike FROM k GROUP BY ALL HAVING (sum(hits) + {url_filter.PRIOR}) / (sum(labelled) + 2 * {url_filter.PRIOR}) >= {url_filter.PURITY}),
-rejected AS (SELECT DISTINCT t.host, t.branch FROM t JOIN k ON k.host = t.host AND k.template = t.template JOIN bad ON bad.host = k.host AND bad.parent = k.parent AND bad.alike = k.alike)
+f AS (SELECT host, template, count(*) > 1 AS many, sum(labelled) AS labelled, sum(hits) AS hits, count(*) FILTER (labelled > 0) AS voters, coalesce(sum(hits / labelled) FILTER (labelled > 0), 0) AS votes FROM t GROUP BY ALL),
+bad AS (SELECT host, template FROM f WHERE round((CASE WHEN many THEN votes ELSE hits END + {url_filter.PRIOR}) / (CASE WHEN many THEN voters ELSE labelled END + 2 * {url_filter.PRIOR}), 9) >= {url_filter.PURITY}),
+rejected AS (SELECT DISTINCT t.host, t.branch FROM t JOIN bad ON bad.host = t.host AND bad.template = t.template)
 SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.ruled, CASE WHEN x.host IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM j LEFT JOIN rejected x ON x.host = j.host AND x.branch = j.branch
 """
 
