@@ -83,8 +83,9 @@ def latest(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) ->
 
 
 def event_groups(df: DataFrame, key: str, id_col: str) -> DataFrame:
-    """Sorted ids of each event, which has one vote however many there are."""
-    return df.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(id_col)), lambda x: x.cast("string")), ",").alias("ids"), F.count(F.lit(1)).alias("n"), F.lit(1).alias("votes"))
+    """All ids of each event, as rows, with one vote for each event: that of its least id. No event is gathered in one row."""
+    first = df.groupBy(key).agg(F.min(id_col).alias("_first"))
+    return df.select(key, id_col).join(first, key).select(key, id_col, (F.col(id_col) == F.col("_first")).cast("int").alias("vote"))
 
 
 def representatives(df: DataFrame, by: list[str], id_col: str, structured: str, importance: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Detectors of secrets and personal data, as (id, pattern), in order; patterns without lookaround.
 DETECTORS = [
     ("PRIVATE_KEY", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
@@ -58,14 +59,6 @@ def dedup_multi(df: DataFrame, keys: list[str], order: list[str], id_col: str) -
     is always kept, so rounds go on until none is left, however long the chain.
     Null keys match nothing.
     """
-    spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-
-    def cut(x: DataFrame) -> DataFrame:
-        path = f"{root}/tables/dedup-{uuid.uuid4().hex}"
-        x.write.parquet(path)
-        return spark.read.schema(x.schema).parquet(path)
-
     # of rows with one id the first counts, as the id itself is a key
     one = df.groupBy(F.col(id_col).alias("id")).agg(F.min(F.struct(F.struct(*dict.fromkeys([*order, id_col])).alias("rank"), F.struct(*keys).alias("keys"))).alias("_r")).select("id", "_r.*")
     by_key = F.array_compact(F.array(*[F.when(F.col(f"keys.{k}").isNotNull(), F.concat(F.lit(f"{i}:"), F.col(f"keys.{k}").cast("string"))) for i, k in enumerate(keys)]))
@@ -87,11 +80,8 @@ def dedup_multi(df: DataFrame, keys: list[str], order: list[str], id_col: str) -
 
 
 def dedup_signals(df: DataFrame, keys: list[str], order: list[Column], id_col: str) -> DataFrame:
-    """The first signal of each key, with the ids of the others as its verification."""
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    ranked = df.withColumn("_n", rn)
-    others = F.sort_array(F.collect_list(F.when(F.col("_n") > 1, F.col(id_col))))
-    return ranked.groupBy(*keys).agg(F.max(F.when(F.col("_n") == 1, F.col(id_col))).alias(id_col), F.size(others).alias("verified_by"))
+    """The first signal of each key, and how many later ones verify it; combines before it shuffles."""
+    return df.groupBy(*keys).agg(F.min_by(id_col, F.struct(*order)).alias(id_col), (F.count(F.lit(1)) - 1).cast("int").alias("verified_by"))
 
 
 def dedup_url(df: DataFrame, url: str, order: str) -> DataFrame:
@@ -114,6 +104,56 @@ def category_checks(categories: DataFrame, signals: DataFrame, category: str, ve
     return categories.join(got, category, "left").select(category, F.coalesce("verified", F.lit(0)).alias("verified"), status.alias("status"))
 
 
+def build_documents(pages: DataFrame, id_col: str, relevant: str, hours: int = 72, body_chars: int = 70, paragraph_chars: int = 55, most: int = 3) -> DataFrame:
+    """Pages (id_col, url, html, published_at, fetched_at) as documents, with the first reason to reject one, null if it is good.
+
+    Identity is the article number in the url; text published after the fetch, or
+    more than `hours` before it, is not current; the article's paragraphs make the
+    body, whose hash identifies the content. Up to `most` relevant paragraphs are
+    segments (id, text), whose ids hold their place and hash. A page without an article has an empty body.
+    """
+    from ..functions.text import html_to_text
+
+    article = F.regexp_extract(F.coalesce("url", F.lit("")), r"/([0-9]{3,})(?:[./?#]|$)", 1)
+    markup = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?s)<article[^>]*>(.*?)</article>", 1)
+    found = F.filter(F.transform(F.regexp_extract_all(markup, F.lit(r"(?s)<p[^>]*>(.*?)</p>"), F.lit(1)), html_to_text), lambda x: x != "")
+    parsed = pages.withColumn("document_id", F.concat(F.lit("doc-"), article)).withColumn("_paras", found)
+    parsed = parsed.withColumn("_body", F.array_join("_paras", "\n")).withColumn("_some", F.slice(F.filter("_paras", lambda x: (F.length(x) >= paragraph_chars) & F.regexp_like(x, F.lit(relevant))), 1, most))
+    late = F.col("published_at").isNull() | (F.col("published_at") > F.col("fetched_at")) | (F.col("published_at") < F.col("fetched_at") - F.make_dt_interval(hours=F.lit(hours)))
+    reject = F.when(article == "", "UNSUPPORTED_ARTICLE_URL").when(late, "ARTICLE_PUBLICATION_TIME_UNVERIFIED").when(F.length("_body") < body_chars, "ARTICLE_BODY_NOT_READ").when(F.size("_some") == 0, "UNRELATED_ARTICLE")
+    segment = lambda x, i: F.struct(F.concat(F.lit("s"), (i + 1).cast("string"), F.lit("-"), F.substring(F.sha2(x, 256), 1, 12)).alias("id"), x.alias("text"))
+    return parsed.select(id_col, reject.alias("reject"), "document_id", F.sha2("_body", 256).alias("content_hash"), F.transform("_some", segment).alias("segments"))
+
+
+def evidence_gate(signals: DataFrame, by: list[str], categories: int, fresh_market: Column, supply: Column) -> DataFrame:
+    """Codes of the rules that the signals of each group break: all categories there, a fresh market signal, two sources of supply signals, no opposite primary ones."""
+    n = signals.groupBy(*by).agg(
+        F.count_distinct("category").alias("_c"), F.count_if(fresh_market).alias("_m"), F.count_distinct(F.when(supply, F.col("source"))).alias("_s"),
+        *[F.count_if((F.col("direction") == d) & (F.col("importance") == 3)).alias(f"_{d}") for d in ("UP", "DOWN")],
+    )
+    codes = F.array(F.when(F.col("_c") < categories, "CATEGORIES"), F.when(F.col("_m") == 0, "NO_FRESH_MARKET"), F.when(F.col("_s") < 2, "PUBLISHERS"), F.when((F.col("_UP") > 0) & (F.col("_DOWN") > 0), "CONFLICT"))
+    return n.select(*by, F.array_join(F.array_compact(codes), ",").alias("codes"))
+
+
+def admit_packages(signals: DataFrame, package: list[str], at: str, event: str, unconfirmed: Column, claims_more: Column, now: Column, most: int = 6) -> DataFrame:
+    """Codes of the rules that each package of signals breaks; none admits it.
+
+    One to `most` signals, one per event; made (by its last signal) not in the
+    future and less than 24 hours ago; no signal more than 72 hours older than
+    the package; what is unconfirmed may be neither a fact nor of high importance (claims_more).
+    """
+    made = signals.groupBy(*package).agg(F.max(at).alias("_made"))
+    n = signals.join(made, package).groupBy(*package).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_distinct(event).alias("_e"), F.max("_made").alias("_made"),
+        F.count_if(F.col(at) < F.col("_made") - F.expr("INTERVAL 72 HOURS")).alias("_old"), F.count_if(unconfirmed & claims_more).alias("_claims"),
+    )
+    codes = F.array(
+        F.when(~F.col("_n").between(1, most), "COUNT"), F.when(F.col("_e") < F.col("_n"), "DUPLICATE_EVENT"), F.when(F.col("_made") > now, "PACKAGE_FUTURE"),
+        F.when(F.col("_made") <= now - F.expr("INTERVAL 24 HOURS"), "PACKAGE_STALE"), F.when(F.col("_old") > 0, "SIGNAL_STALE"), F.when(F.col("_claims") > 0, "CONFIRMATION"),
+    )
+    return n.select(*package, F.array_join(F.array_compact(codes), ",").alias("codes"))
+
+
 def validate_reasons(reasons: DataFrame, signals: DataFrame, forecast: str, order: str, most: int = 3) -> DataFrame:
     """Reasons with the first code that they fail, null if they are right: known id, once, right direction, one per event, at most `most`."""
     known = signals.select(F.col("id").alias("evidence_id"), F.col("direction").alias("_d"), F.col("event_key").alias("_e"))

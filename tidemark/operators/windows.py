@@ -72,15 +72,14 @@ def rolling_corr(df: DataFrame, keys: list[str], order: str, a: str, b: str, k:
 
 
 def expanding_percentile(df: DataFrame, keys: list[str], order: str, value: str, strict: bool = True) -> DataFrame:
-    """Share of strictly earlier rows with a smaller (strict) or no larger value; null for the first row."""
-    now, old = df.select(*keys, order, value).alias("n"), df.select(*keys, F.col(order).alias("_o"), F.col(value).alias("_v")).alias("o")
-    on = [F.col(f"n.{k}") == F.col(f"o.{k}") for k in keys]
-    cond = F.col("n." + order) > F.col("o._o")
-    for c in on:
-        cond = cond & c
-    less = F.col("o._v") < F.col("n." + value) if strict else F.col("o._v") <= F.col("n." + value)
-    got = now.join(old, cond, "left").groupBy(*[F.col(f"n.{k}").alias(k) for k in keys], F.col("n." + order).alias(order), F.col("n." + value).alias(value))
-    return got.agg(F.count("o._v").alias("earlier"), F.count_if(less).alias("_below")).withColumn("percentile", F.when(F.col("earlier") > 0, F.col("_below") / F.col("earlier"))).drop("_below")
+    """Share of strictly earlier rows with a smaller (strict) or no larger value; null for the first row.
+
+    One window over each series, whose length the calendar bounds; no pairs of rows are made.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.unix_date(order)).rangeBetween(Window.unboundedPreceding, -1)
+    held = F.collect_list(value).over(w)
+    below = F.size(F.filter(held, lambda x: x < F.col(value) if strict else x <= F.col(value)))
+    return df.select(*keys, order, value, F.size(held).cast("bigint").alias("earlier"), F.when(F.size(held) > 0, below / F.size(held)).alias("percentile"))
 
 
 def trailing_state(df: DataFrame, keys: list[str], order: str, value: str, k: int = 20) -> DataFrame:

@@ -101,7 +101,7 @@ def a15(t: Tables) -> DataFrame:
     return t.vintage.groupBy("series_id").agg(F.min(days).alias("min_days"), F.median(days).alias("median_days"), F.max(days).alias("max_days"))
 
 
-@query("a16_event_groups", "SELECT event_key, array_to_string(list_sort(list(id)), ',') AS ids, count(*) AS n, 1 AS votes FROM v_signals GROUP BY ALL")
+@query("a16_event_groups", "SELECT event_key, id, CAST(id = min(id) OVER (PARTITION BY event_key) AS INT) AS vote FROM v_signals")
 def a16(t: Tables) -> DataFrame:
     return agg.event_groups(t.signals, "event_key", "id")
 

@@ -20,9 +20,10 @@ def now():
     return F.lit("2024-01-06").cast("timestamp_ntz")
 
 
-@query("e1_priority", "SELECT doc_id, CASE WHEN regexp_matches(h, ' the .* is ') THEN 3 WHEN regexp_matches(h, ' und | les ') THEN 2 WHEN regexp_matches(h, ' de ') THEN 1 ELSE 0 END AS priority FROM (SELECT doc_id, substr(text, 1, 180) AS h FROM documents)")
+@query("e1_priority", "SELECT doc_id, CASE WHEN regexp_matches(h, ' the .* is ') THEN 3 WHEN regexp_matches(h, ' und | les ') THEN 2 WHEN regexp_matches(h, ' de ') THEN 1 ELSE 0 END AS priority FROM (SELECT doc_id, string_split(text, chr(10))[1] AS h FROM documents)")
 def e1(t: Tables) -> DataFrame:
-    return t["documents"].select("doc_id", ev.priority(F.substring("text", 1, 180), TESTS).alias("priority"))
+    # documents have no headline; their whole first line stands for it
+    return t["documents"].select("doc_id", ev.priority(F.get(F.split("text", "\n"), F.lit(0)), TESTS).alias("priority"))
 
 
 PARAS = "SELECT page_id, CAST(generate_subscripts(p, 1) - 1 AS INT) AS pos, unnest(p) AS text FROM (SELECT page_id, list_transform(regexp_extract_all(html, '<p>(.*?)</p>', 1, 's'), lambda x: " + TO_TEXT.format("x") + ") AS p FROM pages)"
@@ -49,13 +50,22 @@ def e4(t: Tables) -> DataFrame:
     return t["part"].select("p_partkey", ev.asset_key(F.col("p_name"), {"ring|bolt": "fastener"}).alias("asset"))
 
 
-ARTICLE = "regexp_extract(html, '<article[^>]*>(.*?)</article>', 1, 's')"
+# pages have no publication time; the page number stands for hours before the fetch, of which those beyond 72 are too old
+AGE = "page_id % 97"
+RELEVANT = "(?i)the|der|les|que"
 
 
-@query("e5_documents", f"WITH b AS (SELECT page_id, {TO_TEXT.format(ARTICLE)} AS body FROM pages) SELECT page_id, CASE WHEN length(body) < 70 THEN 'BODY_TOO_SHORT' END AS reject, sha256(body) AS content_hash FROM b")
+@query("e5_documents", rf"""
+WITH m AS (SELECT page_id, {AGE} AS age, regexp_extract(url, '/([0-9]{{3,}})(?:[./?#]|$)', 1) AS article, regexp_extract(html, '<article[^>]*>(.*?)</article>', 1, 's') AS markup FROM pages),
+p AS (SELECT *, list_filter(list_transform(regexp_extract_all(markup, '<p[^>]*>(.*?)</p>', 1, 's'), lambda x: {TO_TEXT.format("x")}), lambda x: x <> '') AS paras FROM m),
+b AS (SELECT *, array_to_string(paras, chr(10)) AS body, list_filter(paras, lambda x: length(x) >= 55 AND regexp_matches(x, '{RELEVANT}'))[1:3] AS relevant FROM p)
+SELECT page_id, CASE WHEN article = '' THEN 'UNSUPPORTED_ARTICLE_URL' WHEN age > 72 THEN 'ARTICLE_PUBLICATION_TIME_UNVERIFIED' WHEN length(body) < 70 THEN 'ARTICLE_BODY_NOT_READ' WHEN len(relevant) = 0 THEN 'UNRELATED_ARTICLE' END AS reject,
+  'doc-' || article AS document_id, sha256(body) AS content_hash, array_to_string(list_transform(relevant, lambda x, i: 's' || CAST(i AS VARCHAR) || '-' || substr(sha256(x), 1, 12)), ',') AS segment_ids FROM b
+""")
 def e5(t: Tables) -> DataFrame:
-    body = tx.html_to_text(F.regexp_extract("html", r"(?s)<article[^>]*>(.*?)</article>", 1))
-    return t["pages"].select("page_id", body.alias("body")).select("page_id", F.when(F.length("body") < 70, "BODY_TOO_SHORT").alias("reject"), F.sha2("body", 256).alias("content_hash"))
+    age = F.make_dt_interval(hours=(F.col("page_id") % 97).cast("int"))
+    pages = t["pages"].select("page_id", "url", "html", (now() - age).alias("published_at"), now().alias("fetched_at"))
+    return ev.build_documents(pages, "page_id", RELEVANT).select("page_id", "reject", "document_id", "content_hash", F.array_join(F.transform("segments", lambda x: x["id"]), ",").alias("segment_ids"))
 
 
 @query("e6_dedup_multi")
@@ -99,14 +109,10 @@ def e11(t: Tables) -> DataFrame:
     return ev.category_checks(names, t.signals, "category", F.col("structured") & (F.col("importance") == 3))
 
 
-@query("e12_evidence_gate", "SELECT event_date, array_to_string(list_filter([CASE WHEN count(DISTINCT category) < 5 THEN 'CATEGORIES' END, CASE WHEN count(DISTINCT source) < 2 THEN 'PUBLISHERS' END, CASE WHEN count(*) FILTER (direction = 'UP') > 0 AND count(*) FILTER (direction = 'DOWN') > 0 THEN 'CONFLICT' END], lambda x: x IS NOT NULL), ',') AS codes FROM v_signals GROUP BY ALL")
+@query("e12_evidence_gate", "SELECT event_date, array_to_string(list_filter([CASE WHEN count(DISTINCT category) < 5 THEN 'CATEGORIES' END, CASE WHEN count(*) FILTER (category = 'purchase' AND value > 0 AND published_at >= CAST(event_date AS TIMESTAMP) + INTERVAL 12 HOUR) = 0 THEN 'NO_FRESH_MARKET' END, CASE WHEN count(DISTINCT source) FILTER (category IN ('click', 'signup')) < 2 THEN 'PUBLISHERS' END, CASE WHEN count(*) FILTER (direction = 'UP' AND importance = 3) > 0 AND count(*) FILTER (direction = 'DOWN' AND importance = 3) > 0 THEN 'CONFLICT' END], lambda x: x IS NOT NULL), ',') AS codes FROM v_signals GROUP BY ALL")
 def e12(t: Tables) -> DataFrame:
-    from ..operators.quality import reasons
-
-    g = t.signals.groupBy("event_date").agg(F.count_distinct("category").alias("c"), F.count_distinct("source").alias("s"), F.count_if(F.col("direction") == "UP").alias("u"), F.count_if(F.col("direction") == "DOWN").alias("d"))
-    codes = reasons({"CATEGORIES": F.col("c") < 5, "PUBLISHERS": F.col("s") < 2})
-    conflict = F.array_compact(F.array(F.when((F.col("u") > 0) & (F.col("d") > 0), "CONFLICT")))
-    return g.select("event_date", F.array_join(F.concat(codes, conflict), ",").alias("codes"))
+    fresh = (F.col("category") == "purchase") & (F.col("value") > 0) & (F.col("published_at") >= F.col("event_date").cast("timestamp_ntz") + F.expr("INTERVAL 12 HOURS"))
+    return ev.evidence_gate(t.signals, ["event_date"], 5, fresh, F.col("category").isin("click", "signup"))
 
 
 @query("e13_conclusion_gate", "SELECT event_key, CASE WHEN count(*) FILTER (direction = 'UP' AND importance = 3) > 0 AND count(*) FILTER (direction = 'DOWN' AND importance = 3) > 0 THEN 'SIDEWAYS' WHEN count(*) FILTER (direction = 'UP' AND importance = 3) > 0 THEN 'UP' WHEN count(*) FILTER (direction = 'DOWN' AND importance = 3) > 0 THEN 'DOWN' ELSE 'NONE' END AS conclusion, count(*) FILTER (direction = 'NEUTRAL') AS counter_evidence FROM v_signals GROUP BY ALL")
@@ -124,15 +130,6 @@ def e14(t: Tables) -> DataFrame:
     return said.join(c.alias("u"), F.expr("u.conv_id = r.conv_id and u.turn < r.turn and u.text = r.text"), "left_anti").select("conv_id", "turn")
 
 
-@query("e15_validate_reasons", """
-WITH r AS (SELECT user_id AS forecast, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS pos, CASE WHEN event_id % 11 = 0 THEN -1 WHEN event_id % 13 = 0 THEN event_id - event_id % 150 ELSE event_id END AS evidence_id FROM events WHERE event_id % 3 = 0),
-j AS (SELECT r.*, s.direction AS d, s.event_key AS e, row_number() OVER (PARTITION BY forecast, evidence_id ORDER BY pos) AS ni, row_number() OVER (PARTITION BY forecast, s.event_key ORDER BY pos) AS ne FROM r LEFT JOIN v_signals s ON s.id = r.evidence_id)
-SELECT forecast, pos, evidence_id, CASE WHEN d IS NULL THEN 'UNKNOWN_EVIDENCE' WHEN ni > 1 THEN 'DUPLICATE_EVIDENCE' WHEN d <> 'UP' THEN 'WRONG_DIRECTION' WHEN ne > 1 THEN 'DUPLICATE_EVENT' WHEN pos >= 3 THEN 'TOO_MANY' END AS code FROM j
-""")
-def e15(t: Tables) -> DataFrame:
-    return reason_codes(t, t["events"].where("event_id % 3 = 0"))
-
-
 def reason_codes(t: Tables, events: DataFrame) -> DataFrame:
     k = F.col("event_id")
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
@@ -140,13 +137,12 @@ def reason_codes(t: Tables, events: DataFrame) -> DataFrame:
     return ev.validate_reasons(r, t.signals, "forecast", "pos").select("forecast", "pos", "evidence_id", "code")
 
 
-# e15_validate_reasons and its SQL take every third event; this takes all
-@query("e15_validate_all_reasons", """
+@query("e15_validate_reasons", """
 WITH r AS (SELECT user_id AS forecast, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS pos, CASE WHEN event_id % 11 = 0 THEN -1 WHEN event_id % 13 = 0 THEN event_id - event_id % 150 ELSE event_id END AS evidence_id FROM events),
 j AS (SELECT r.*, s.direction AS d, s.event_key AS e, row_number() OVER (PARTITION BY forecast, evidence_id ORDER BY pos) AS ni, row_number() OVER (PARTITION BY forecast, s.event_key ORDER BY pos) AS ne FROM r LEFT JOIN v_signals s ON s.id = r.evidence_id)
 SELECT forecast, pos, evidence_id, CASE WHEN d IS NULL THEN 'UNKNOWN_EVIDENCE' WHEN ni > 1 THEN 'DUPLICATE_EVIDENCE' WHEN d <> 'UP' THEN 'WRONG_DIRECTION' WHEN ne > 1 THEN 'DUPLICATE_EVENT' WHEN pos >= 3 THEN 'TOO_MANY' END AS code FROM j
 """)
-def e15_all(t: Tables) -> DataFrame:
+def e15(t: Tables) -> DataFrame:
     return reason_codes(t, t["events"])
 
 
@@ -157,11 +153,18 @@ def e16(t: Tables) -> DataFrame:
     return cards.where("n = 1").select("event_key", "direction", "id")
 
 
-@query("e17_admit_package", f"SELECT user_id, array_to_string(list_filter([CASE WHEN count(*) NOT BETWEEN 1 AND 60 THEN 'COUNT' END, CASE WHEN count(DISTINCT measurement_key || event_key) < count(*) THEN 'KEYS' END, CASE WHEN max(published_at) < {NOW} - INTERVAL 24 HOUR THEN 'PACKAGE_AGE' END], lambda x: x IS NOT NULL), ',') AS codes FROM v_signals GROUP BY ALL")
+# packages of six: the signals of a user, in order; a third of them is unconfirmed
+@query("e17_admit_package", f"""
+WITH r AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY published_at, id) - 1) / 7) AS BIGINT) AS package FROM v_signals),
+g AS (SELECT user_id, package, max(published_at) AS made FROM r GROUP BY ALL)
+SELECT r.user_id, r.package, array_to_string(list_filter([CASE WHEN count(*) NOT BETWEEN 1 AND 6 THEN 'COUNT' END, CASE WHEN count(DISTINCT event_key) < count(*) THEN 'DUPLICATE_EVENT' END, CASE WHEN any_value(made) > {NOW} THEN 'PACKAGE_FUTURE' END, CASE WHEN {NOW} - any_value(made) >= INTERVAL 24 HOUR THEN 'PACKAGE_STALE' END,
+  CASE WHEN count(*) FILTER (published_at < made - INTERVAL 72 HOUR) > 0 THEN 'SIGNAL_STALE' END, CASE WHEN count(*) FILTER (id % 3 = 0 AND (structured OR importance = 3)) > 0 THEN 'CONFIRMATION' END], lambda x: x IS NOT NULL), ',') AS codes
+FROM r JOIN g ON g.user_id = r.user_id AND g.package = r.package GROUP BY r.user_id, r.package
+""")
 def e17(t: Tables) -> DataFrame:
-    g = t.signals.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.concat("measurement_key", "event_key")).alias("k"), F.max("published_at").alias("last"))
-    codes = F.array_compact(F.array(F.when(~F.col("n").between(1, 60), "COUNT"), F.when(F.col("k") < F.col("n"), "KEYS"), F.when(F.col("last") < now() - F.expr("INTERVAL 24 HOURS"), "PACKAGE_AGE")))
-    return g.select("user_id", F.array_join(codes, ",").alias("codes"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("published_at", "id"))
+    s = t.signals.withColumn("package", F.floor((place - 1) / 7))
+    return ev.admit_packages(s, ["user_id", "package"], "published_at", "event_key", F.col("id") % 3 == 0, F.col("structured") | (F.col("importance") == 3), now())
 
 
 @query("e18_merge_evidence", "WITH a AS (SELECT * FROM v_signals WHERE structured), x AS (SELECT * FROM v_signals s WHERE NOT structured AND importance = 3 AND NOT EXISTS (SELECT 1 FROM v_signals u WHERE u.event_key = s.event_key AND u.event_date = s.event_date AND u.importance = 1)) SELECT x.event_key, count(DISTINCT x.id) AS external, count(DISTINCT a.id) AS overlapping, count(DISTINCT a.id) FILTER (a.direction <> x.direction AND a.direction <> 'NEUTRAL' AND x.direction <> 'NEUTRAL') > 0 AS conflict FROM x LEFT JOIN a ON a.event_key = x.event_key GROUP BY ALL")
@@ -218,8 +221,10 @@ def e24(t: Tables) -> DataFrame:
     return ev.verify_history(d, index, "doc_id", "text")
 
 
-@query("e25_fuzz_grid", "SELECT a.s_suppkey AS down, b.s_suppkey AS flat, 100 - a.s_suppkey - b.s_suppkey AS up, a.s_suppkey + b.s_suppkey <= 100 AS valid FROM supplier a, supplier b WHERE a.s_suppkey <= 100 AND b.s_suppkey <= 100")
+@query("e25_fuzz_grid", "WITH k AS (SELECT o_orderkey % 101 AS down, o_custkey % 101 AS flat, count(*) AS orders FROM orders GROUP BY ALL) SELECT CAST(a.i AS BIGINT) AS down, CAST(b.i AS BIGINT) AS flat, CAST(100 - a.i - b.i AS BIGINT) AS up, coalesce(k.orders, 0) AS orders, a.i + b.i <= 100 AS valid FROM range(101) a(i) CROSS JOIN range(101) b(i) LEFT JOIN k ON k.down = a.i AND k.flat = b.i")
 def e25(t: Tables) -> DataFrame:
-    k = t["supplier"].where("s_suppkey <= 100").select("s_suppkey")
-    grid = k.withColumnRenamed("s_suppkey", "down").crossJoin(F.broadcast(k.withColumnRenamed("s_suppkey", "flat"))).withColumn("up", 100 - F.col("down") - F.col("flat"))
+    """All triples from 0 to 100, the 5,151 valid ones and the others, with the orders that ask for them."""
+    asked = t["orders"].groupBy((F.col("o_orderkey") % 101).alias("down"), (F.col("o_custkey") % 101).alias("flat")).agg(F.count(F.lit(1)).alias("orders"))
+    every = t.spark.range(101).withColumnRenamed("id", "down").withColumn("flat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(100).cast("bigint"))))
+    grid = every.join(asked, ["down", "flat"], "left").select("down", "flat", (100 - F.col("down") - F.col("flat")).alias("up"), F.coalesce("orders", F.lit(0)).alias("orders"))
     return grid.withColumn("valid", valid_percentages(["down", "flat", "up"]))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -10,14 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.probability import classify
 from ..operators import quality as q
+from ..session import shared_dir
 from ..sources import scans, stores
 from .registry import Tables, query
 
 
 def scratch(t: Tables, name: str) -> str:
     """A new place under the folder that all executors share."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("s1_read_vintage", "SELECT obs_date, release_date, CASE WHEN value >= 1000 THEN value END AS value, '5-LOW' AS series_id FROM v_pit WHERE series_id = '5-LOW'")
@@ -56,26 +55,43 @@ def s6(t: Tables) -> DataFrame:
     return scans.release_cells(t.pit, ["series_id"], "obs_date", "available_at", "value")
 
 
+CELLS = {"stock": ("A", "F"), "inputs": ("N", "O")}
+
+
+@query("s6b_release_tables", "SELECT week, available_at, stock, inputs FROM (SELECT release, week, release + 1 AS available_at, max(CASE WHEN s1 = 'A' AND s2 = 'F' THEN v END) AS stock, max(CASE WHEN s1 = 'N' AND s2 = 'O' THEN v END) AS inputs FROM (SELECT CAST(o_orderdate AS DATE) AS release, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS week, l_returnflag AS s1, l_linestatus AS s2, CAST(round(sum(l_quantity)) AS DOUBLE) AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL) GROUP BY ALL) WHERE stock IS NOT NULL AND inputs IS NOT NULL QUALIFY row_number() OVER (PARTITION BY week ORDER BY release) = 1")
+def s6b(t: Tables) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    cells = t["orders"].join(t["lineitem"], F.col("o_orderkey") == F.col("l_orderkey")).groupBy(day.alias("release"), F.col("l_returnflag").alias("stub1"), F.col("l_linestatus").alias("stub2")).agg(F.format_number(F.sum("l_quantity"), 0).alias("value"))
+    tables = cells.withColumns({"week": F.to_date(F.date_trunc("quarter", "release")), "available_at": F.date_add("release", 1)})
+    return scans.release_tables(tables, CELLS, "release", "week", "available_at")
+
+
 @query("s7_read_positions", "SELECT week, long_qty, short_qty FROM v_positions")
 def s7(t: Tables) -> DataFrame:
-    path = scratch(t, "positions")
-    t.positions.select(F.col("week").cast("string"), F.col("long_qty").cast("string"), F.col("short_qty").cast("string")).write.json(path)
-    raw = t.spark.read.schema("week string, long_qty string, short_qty string").option("mode", "FAILFAST").json(path)
-    return raw.select(F.col("week").cast("date"), F.col("long_qty").cast("bigint"), F.col("short_qty").cast("bigint"))
+    path, numbers = scratch(t, "positions"), ["long_qty", "short_qty"]
+    t.positions.select(F.lit("022651").alias("code"), F.col("week").cast("string"), *[F.col(c).cast("string") for c in numbers]).write.json(path)
+    return scans.read_positions(t.spark, path, {"code": "022651"}, "week", numbers)
 
 
-@query("s8_table_rows", "WITH r AS (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1, 's') AS r FROM pages), e AS (SELECT page_id, unnest(r) AS cell, generate_subscripts(r, 1) - 1 AS pos FROM r) SELECT page_id, CAST(pos AS INT) AS pos, trim(regexp_replace(cell, '<[^>]*>', '', 'g')) AS cell, first_value(trim(regexp_replace(cell, '<[^>]*>', '', 'g'))) OVER (PARTITION BY page_id ORDER BY pos) AS header FROM e")
+@query("s8_table_rows", "SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity) - 1 AS INT) AS pos, l_returnflag AS \"group\", CAST(l_linenumber AS VARCHAR) AS area, CASE WHEN l_quantity > 10 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS price FROM lineitem")
 def s8(t: Tables) -> DataFrame:
-    cells = t["pages"].select("page_id", F.posexplode(scans.price_rows(F.col("html"))).alias("pos", "cell"))
+    """A page for each order, whose table names a return flag only where it changes, and has no price where little was sold."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity"]
+    before = F.lag("l_returnflag").over(Window.partitionBy("l_orderkey").orderBy(*order))  # an order has a few lines
+    cell = lambda kind, x: F.concat(F.lit(f'<td class="{kind}">'), x, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), F.when(before.eqNullSafe(F.col("l_returnflag")), "").otherwise(cell("s1", F.concat(F.lit("<b>"), F.col("l_returnflag"), F.lit("</b>")))), cell("s2", F.col("l_linenumber").cast("string")), F.when(F.col("l_quantity") > 10, cell("d1", F.col("l_quantity").cast("bigint").cast("string"))).otherwise(F.lit("")), F.lit("</tr>"))
+    rows = t["lineitem"].select("l_orderkey", F.struct(*order, row.alias("row")).alias("r"))
+    pages = rows.groupBy("l_orderkey").agg(F.concat(F.lit("<table>"), F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["row"]), "\n"), F.lit("</table>")).alias("html"))
+    return scans.table_rows(pages, ["l_orderkey"], "html", "s1", {"area": "s2", "price": "d1"})
+
+
+@query("s8b_list_items", "WITH r AS (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1, 's') AS r FROM pages), e AS (SELECT page_id, unnest(r) AS cell, generate_subscripts(r, 1) - 1 AS pos FROM r) SELECT page_id, CAST(pos AS INT) AS pos, trim(regexp_replace(cell, '<[^>]*>', '', 'g')) AS cell, first_value(trim(regexp_replace(cell, '<[^>]*>', '', 'g'))) OVER (PARTITION BY page_id ORDER BY pos) AS header FROM e")
+def s8b(t: Tables) -> DataFrame:
+    cells = t["pages"].select("page_id", F.posexplode(scans.list_items(F.col("html"))).alias("pos", "cell"))
     return scans.carry_down(cells.withColumn("header", F.when(F.col("pos") == 0, F.col("cell"))), ["page_id"], "pos", "header")
 
 
-@query("s9_feed_items", "WITH r AS (SELECT page_id, regexp_extract_all(html, '<p[^>]*>(.*?)</p>', 1, 's')[1:3] AS r FROM pages) SELECT page_id, unnest(r) AS item FROM r")
-def s9(t: Tables) -> DataFrame:
-    return t["pages"].select("page_id", F.explode(scans.feed_items(F.col("html"), "p", 3)).alias("item"))
-
-
-# s9_feed_items and its SQL take 3 items a page; these take the reference's 30 of a feed and 200 of a sitemap, with their places
+# 30 items of a feed and 200 of a sitemap, with their places
 def items_in_order(t: Tables, cap: int) -> DataFrame:
     return t["pages"].select("page_id", F.posexplode(scans.feed_items(F.col("html"), "p", cap)).alias("pos", "item"))
 
@@ -83,7 +99,7 @@ def items_in_order(t: Tables, cap: int) -> DataFrame:
 ITEMS = "WITH r AS (SELECT page_id, regexp_extract_all(html, '<p[^>]*>(.*?)</p>', 1, 's')[1:{}] AS r FROM pages) SELECT page_id, CAST(generate_subscripts(r, 1) - 1 AS INT) AS pos, unnest(r) AS item FROM r"
 
 
-@query("s9_feed_items_30", ITEMS.format(30))
+@query("s9_feed_items", ITEMS.format(30))
 def s9_feed(t: Tables) -> DataFrame:
     return items_in_order(t, 30)
 

@@ -44,8 +44,50 @@ def release_cells(df: DataFrame, keys: list[str], week: str, available: str, val
     return df.groupBy(*keys, week).agg(F.min_by(F.struct(value, available), F.struct(available, value)).alias("_r")).select(*keys, week, "_r.*")
 
 
-def price_rows(html: Column) -> Column:
-    """Rows of cells of all tables of a page."""
+def release_tables(df: DataFrame, cells: dict[str, tuple[str, str]], release: str, week: str, available: str) -> DataFrame:
+    """Cells (stub1, stub2, value: text) of many release tables as one row per week: the cells picked by their two labels, from the earliest available release that has all of them.
+
+    Numbers may have thousands separators; a table that lacks a picked cell, or in which it is no number, is left out.
+    """
+    number = F.expr("try_cast(replace(value, ',', '') AS double)")
+    pick = lambda k: F.max(F.when((F.trim("stub1") == k[0]) & (F.trim("stub2") == k[1]), number))
+    tables = df.groupBy(release, week, available).agg(*[pick(k).alias(name) for name, k in cells.items()])
+    whole = tables.where(" and ".join(f"{name} is not null" for name in cells))
+    return whole.groupBy(week).agg(F.min_by(F.struct(available, *cells), F.struct(available, release)).alias("_r")).select(week, "_r.*")
+
+
+def read_positions(spark: SparkSession, path: str, constants: dict[str, str], unique: str, numbers: list[str]) -> DataFrame:
+    """JSON records of text fields: `unique` (a date) and `numbers` (bigint), in which every one of `constants` has its value.
+
+    A malformed line, a text that is no number or negative, a repeated date or another constant is an error.
+    """
+    from pyspark.errors import PySparkValueError
+
+    fields = [*constants, unique, *numbers]
+    raw = spark.read.schema(", ".join(f"`{c}` string" for c in fields)).option("mode", "FAILFAST").json(path)
+    bad = lambda c: F.expr(f"try_cast(`{c}` AS bigint)").isNull() | (F.expr(f"try_cast(`{c}` AS bigint)") < 0)
+    checks = {**{c: F.count_if(~F.col(c).eqNullSafe(F.lit(v))) for c, v in constants.items()}, **{c: F.count_if(bad(c)) for c in numbers}}
+    # one aggregation; a date that comes twice is counted by its own
+    wrong = raw.agg(*[v.alias(c) for c, v in checks.items()]).first().asDict() if checks else {}
+    wrong[unique] = raw.groupBy(unique).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.expr(f"try_cast(`{unique}` AS date)").isNull()).limit(1).count()
+    if any(wrong.values()):
+        raise PySparkValueError(f"records break their rules: {', '.join(c for c, n in wrong.items() if n)}")
+    return raw.select(F.col(unique).cast("date").alias(unique), *[F.col(c).cast("bigint").alias(c) for c in numbers])
+
+
+def table_rows(pages: DataFrame, keys: list[str], html: str, group: str, cells: dict[str, str]) -> DataFrame:
+    """Rows (keys, pos, group, cells) of the tables of each page, by the class of their td or th: a cell of class `group` heads the rows below it, too.
+
+    cells names columns by class. Tags are stripped; a missing cell is null. A page without rows gives none.
+    """
+    text = lambda row, kind: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(row, rf"""(?s)<t[dh]\b[^>]*class=["']{kind}["'][^>]*>(.*?)</t[dh]>""", 1), r"<[^>]*>", "")), F.lit(""))
+    rows = pages.select(*keys, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?s)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("pos", "_row"))
+    named = rows.select(*keys, "pos", text(F.col("_row"), group).alias("group"), *[text(F.col("_row"), kind).alias(c) for c, kind in cells.items()])
+    return carry_down(named, keys, "pos", "group")
+
+
+def list_items(html: Column) -> Column:
+    """Texts of the list items of a page."""
     return F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<li>(.*?)</li>"), F.lit(1)), lambda r: F.trim(F.regexp_replace(r, r"<[^>]*>", "")))
 
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Parquet events as a stream; `ts` becomes a timestamp with zone, as watermarks need it."""
@@ -22,8 +24,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
