@@ -1,4 +1,4 @@
-"""Bootstraps of block sums. Rows are first summed by block, so the draws do not grow with the data.
+"""Bootstraps of block sums. Rows are first summed by block; blocks are stretches of the calendar or cycles in it, so neither they nor the draws grow with the rows.
 
 The generator is one linear congruence of (draw, place), which SQL can state, too.
 """

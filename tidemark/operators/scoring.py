@@ -37,16 +37,28 @@ def score(df: DataFrame, by: list[str], truth: str = "truth") -> DataFrame:
     return got.withColumn("macro_f1", f1 / 3).drop(*[f"_{k}{i}" for k in ("tp", "n") for i in range(3)])
 
 
+#: Ranges that values are cut into for ranks.
+RANK_RANGES = 64
+
+
 def binary_score(df: DataFrame, p: str, y: str) -> DataFrame:
-    """Rows, Brier, log loss, accuracy and AUC. Ranks come from counts per distinct p, so that rows are aggregated before any window."""
+    """Rows, Brier, log loss, accuracy and AUC.
+
+    Ranks come from counts per distinct p; those are ranked within ranges of p, cut
+    by quantiles, whose totals are added up, so that no task ranks all of them.
+    """
     q = F.least(F.greatest(F.col(p), F.lit(1e-12)), F.lit(1 - 1e-12))
     base = df.agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col(p) - F.col(y)) ** 2).alias("brier"), F.avg(-F.when(F.col(y) == 1, F.log(q)).otherwise(F.log(1 - q))).alias("log_loss"),
         F.avg(((F.col(p) >= 0.5).cast("int") == F.col(y)).cast("double")).alias("accuracy"), F.sum(F.col(y).cast("bigint")).alias("_pos"),
     )
     ties = df.groupBy(p).agg(F.count(F.lit(1)).alias("_c"), F.sum(F.col(y).cast("bigint")).alias("_y"))
-    before = F.sum("_c").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = ties.withColumn("_rank", F.coalesce(before, F.lit(0)) + (F.col("_c") + 1) / 2).agg(F.sum(F.col("_rank") * F.col("_y")).alias("_ranks"))
+    edges = sorted(set(df.agg(F.percentile_approx(p, [i / RANK_RANGES for i in range(1, RANK_RANGES)], 10_000)).first()[0] or []))
+    ties = ties.withColumn("_b", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(p))) if edges else F.lit(0))
+    totals = ties.groupBy("_b").agg(F.sum("_c").alias("_n"))  # RANK_RANGES rows at most
+    totals = totals.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_lower"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("_b").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_lower")
+    ranked = ties.join(F.broadcast(totals), "_b").withColumn("_rank", before + (F.col("_c") + 1) / 2).agg(F.sum(F.col("_rank") * F.col("_y")).alias("_ranks"))
     pos, neg = F.col("_pos"), F.col("n") - F.col("_pos")
     return base.crossJoin(F.broadcast(ranked)).withColumn("auc", F.when((pos > 0) & (neg > 0), (F.col("_ranks") - pos * (pos + 1) / 2) / (pos * neg))).drop("_pos", "_ranks")
 

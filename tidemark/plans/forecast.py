@@ -61,12 +61,24 @@ def _soft(p: float, c: str) -> str:
     return f"CAST(CASE WHEN now = '{c}' THEN {1 - 2 * p} ELSE {p} END AS DOUBLE)"
 
 
-@query("m3_baselines", f"WITH m AS ({MOVES}), f AS ({FREQ.format(by='series_id', k=1, moves='SELECT * FROM m')}) SELECT m.series_id, week, {', '.join(f'round({_soft(0.02, c)}, 9) AS soft_{c.lower()}' for c in CLASSES)}, {', '.join(f'round(0.1 * p_{c.lower()} + 0.9 * CAST(now = {chr(39)}{c}{chr(39)} AS DOUBLE), 9) AS blend_{c.lower()}' for c in CLASSES)} FROM m JOIN f ON f.series_id = m.series_id")
+def _of(name: str, sql: list[str]) -> str:
+    return ", ".join(f"round({x}, 9) AS {name}_{c.lower()}" for x, c in zip(sql, CLASSES))
+
+
+_TURNED = "CASE now WHEN 'UP' THEN 'DOWN' WHEN 'DOWN' THEN 'UP' ELSE 'FLAT' END"
+_ONE = [f"CAST(now = '{c}' AS DOUBLE)" for c in CLASSES]
+
+
+@query("m3_baselines", f"WITH m AS ({MOVES}), f AS ({FREQ.format(by='series_id', k=1, moves='SELECT * FROM m')}), h AS (SELECT series_id, (count(*) FILTER (now = truth) + 1) / (count(*) + 2) AS hit FROM m GROUP BY series_id) SELECT m.series_id, week, {_of('soft', [_soft(0.02, c) for c in CLASSES])}, {_of('blend', [f'0.1 * p_{c.lower()} + 0.9 * {o}' for c, o in zip(CLASSES, _ONE)])}, {_of('reversal', [f'CAST(CASE WHEN {_TURNED} = {chr(39)}{c}{chr(39)} THEN 0.96 ELSE 0.02 END AS DOUBLE)' for c in CLASSES])}, {_of('flat', ['CAST(0.02 AS DOUBLE)', 'CAST(0.96 AS DOUBLE)', 'CAST(0.02 AS DOUBLE)'])}, {_of('reliable', [f'(1 - hit) * p_{c.lower()} + hit * {o}' for c, o in zip(CLASSES, _ONE)])} FROM m JOIN f ON f.series_id = m.series_id JOIN h ON h.series_id = m.series_id")
 def m3(t: Tables) -> DataFrame:
+    """The last direction softened, blended with frequencies, reversed, always flat, and weighted by how often it was right."""
     m = moves(t)
-    both = m.join(fc.frequency(m, ["series_id"], "truth"), "series_id")
-    soft, blend = fc.soft_direction(F.col("now"), 0.02), fc.blend_onehot([F.col(p) for p in PS], F.col("now"))
-    return r9(both.select("series_id", "week", *[s.alias(f"soft_{c.lower()}") for s, c in zip(soft, CLASSES)], *[b.alias(f"blend_{c.lower()}") for b, c in zip(blend, CLASSES)]))
+    hits = m.groupBy("series_id").agg(((F.count_if(F.col("now") == F.col("truth")) + 1) / (F.count(F.lit(1)) + 2)).alias("hit"))
+    both = m.join(fc.frequency(m, ["series_id"], "truth"), "series_id").join(hits, "series_id")
+    now, freq = F.col("now"), [F.col(p) for p in PS]
+    turned = F.when(now == "UP", "DOWN").when(now == "DOWN", "UP").otherwise(now)
+    kinds = {"soft": fc.soft_direction(now, 0.02), "blend": fc.blend_onehot(freq, now), "reversal": fc.soft_direction(turned, 0.02), "flat": fc.soft_direction(F.lit("FLAT"), 0.02), "reliable": fc.blend_onehot(freq, now, F.col("hit"))}
+    return r9(both.select("series_id", "week", *[x.alias(f"{k}_{c.lower()}") for k, xs in kinds.items() for x, c in zip(xs, CLASSES)]))
 
 
 @query("m4_residual_cdf", f"WITH m AS ({MOVES}), p AS (SELECT series_id, week, -0.1 * r AS mean FROM m WHERE year = 1999), e AS (SELECT series_id, y + 0.1 * r AS residual FROM m WHERE year < 1999) SELECT p.series_id, p.week, count(*) AS n, round(count(*) FILTER (mean + residual < -0.05) / count(*), 9) AS p_down, round((count(*) - count(*) FILTER (mean + residual < -0.05) - count(*) FILTER (mean + residual > 0.05)) / count(*), 9) AS p_flat, round(count(*) FILTER (mean + residual > 0.05) / count(*), 9) AS p_up FROM p JOIN e ON e.series_id = p.series_id GROUP BY ALL")
@@ -77,64 +89,88 @@ def m4(t: Tables) -> DataFrame:
     return r9(fc.residual_cdf(points, residuals, ["series_id"], "mean", "residual", 0.05).drop("mean"))
 
 
-@query("m5_vol_historical", f"WITH m AS ({MOVES}), q AS (SELECT row_number() OVER (ORDER BY series_id, week) AS id, series_id, week, ln(abs(r) + 1e-6) AS v FROM m WHERE year = 1999), h AS (SELECT row_number() OVER (ORDER BY series_id, week) AS hid, ln(abs(r) + 1e-6) AS v, truth FROM m WHERE year < 1999), k AS (SELECT q.series_id, q.week, h.truth FROM q, h QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY abs(q.v - h.v), h.hid) <= 50) SELECT series_id, week, round(count(*) FILTER (truth = 'DOWN') / count(*), 6) AS p_down, round(count(*) FILTER (truth = 'UP') / count(*), 6) AS p_up FROM k GROUP BY ALL")
-def m5(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
+PEERS = 250
+
 
+@query("m5_vol_historical", f"WITH m AS ({MOVES}), q AS (SELECT series_id, week, ln(abs(r) + 1e-6) AS v FROM m WHERE year = 1999), h AS (SELECT series_id || '|' || week AS hid, ln(abs(r) + 1e-6) AS v, truth FROM m WHERE year < 1999), k AS (SELECT q.series_id, q.week, h.truth FROM q, h QUALIFY row_number() OVER (PARTITION BY q.series_id, q.week ORDER BY abs(q.v - h.v), h.hid) <= {PEERS}) SELECT series_id, week, round(count(*) FILTER (truth = 'DOWN') / count(*), 6) AS p_down, round(count(*) FILTER (truth = 'UP') / count(*), 6) AS p_up FROM k GROUP BY ALL")
+def m5(t: Tables) -> DataFrame:
     from ..operators.nearest import nearest_k
 
     train, test = split(t)
-    number = F.row_number().over(Window.orderBy("series_id", "week"))  # weekly rows, few whatever made them
-    vol = F.log(F.abs("r") + 1e-6)
-    q = test.select(number.alias("id"), "series_id", "week", vol.alias("qv"))
-    h = train.select(number.alias("hid"), vol.alias("hv"), "truth")
-    near = nearest_k(q, h, "id", "qv", "hid", "hv", 50).join(h, "hid").join(q, "id")
+    key, vol = F.concat_ws("|", "series_id", F.col("week").cast("string")), F.log(F.abs("r") + 1e-6)
+    q = test.select(key.alias("id"), "series_id", "week", vol.alias("qv"))
+    h = train.select(key.alias("hid"), vol.alias("hv"), "truth")
+    near = nearest_k(q, h, "id", "qv", "hid", "hv", PEERS).join(h, "hid").join(q, "id")
     n = F.count(F.lit(1))
     return near.groupBy("series_id", "week").agg(F.round(F.count_if(F.col("truth") == "DOWN") / n, 6).alias("p_down"), F.round(F.count_if(F.col("truth") == "UP") / n, 6).alias("p_up"))
 
 
+FOLDS = [1998, 1999, 2000]
+FEATURES = ["r", "abs_r"]
+
+
+def folds(t: Tables) -> DataFrame:
+    """Weekly rows with two features in the roles of each fold; a label is known a week after the next one ends."""
+    from ..operators.datasets import walk_forward
+
+    rows = moves(t).withColumns({"abs_r": F.abs("r"), "known": F.date_add("week", 14)})
+    return walk_forward(rows, FOLDS, "week", "known")
+
+
 @query("m6_logistic")
 def m6(t: Tables) -> DataFrame:
-    train, test = split(t)
-    return fc.fit_logistic(train, test, ["r", "abs_r"], "truth").select("series_id", "week", *PS)
+    return fc.per_fold(folds(t), lambda train, _, test: fc.fit_logistic(train, test, FEATURES, "truth")).select("fold", "series_id", "week", *PS)
 
 
 @query("m7_linear")
 def m7(t: Tables) -> DataFrame:
-    train, test = split(t)
-    ridge = fc.fit_linear(train, test, ["r", "abs_r"], "y").withColumnRenamed("predicted", "ridge")
-    return fc.fit_linear(train, ridge, ["r", "abs_r"], "y", mixing=0.5).select("series_id", "week", "ridge", F.col("predicted").alias("elastic_net"))
+    def fit(train: DataFrame, cal: DataFrame, test: DataFrame) -> DataFrame:
+        ridge = fc.linear_distribution(train, cal, test.select("fold", "series_id", "week", *FEATURES), ["series_id"], FEATURES, "y", 0.05, 0.01)
+        net = fc.fit_linear(train, ridge.withColumnRenamed("predicted", "ridge"), FEATURES, "y", 0.001, 0.25)
+        return net.select("fold", "series_id", "week", "ridge", *PS, F.col("predicted").alias("elastic_net"))
+
+    return fc.per_fold(folds(t), fit)
+
+
+def moved(df: DataFrame) -> DataFrame:
+    return df.withColumns({"moved": (F.col("truth") != "FLAT").cast("int"), "up": F.when(F.col("truth") != "FLAT", (F.col("truth") == "UP").cast("int"))})
 
 
 @query("m8_boosted")
 def m8(t: Tables) -> DataFrame:
-    train, test = split(t)
-    train = train.withColumn("moved", (F.col("truth") != "FLAT").cast("int"))
-    return fc.fit_gbt(train, test, ["r", "abs_r"], "moved").select("series_id", "week", F.col("p_one").alias("p_move"))
+    fit = lambda train, _, test: fc.fit_gbt(moved(train), [test], FEATURES, "moved")[0]
+    return fc.per_fold(folds(t), fit).select("fold", "series_id", "week", F.col("p_one").alias("p_move"))
 
 
 @query("m9_hurdle")
 def m9(t: Tables) -> DataFrame:
+    """Move, then up given move, both calibrated on the fold's CAL rows, and composed to three classes."""
     from ..functions.probability import compose
 
-    train, test = split(t)
-    moved = train.withColumn("moved", (F.col("truth") != "FLAT").cast("int"))
-    first = fc.fit_gbt(moved, test, ["r", "abs_r"], "moved").withColumnRenamed("p_one", "p_move")
-    up = train.where("truth != 'FLAT'").withColumn("up", (F.col("truth") == "UP").cast("int"))
-    both = fc.fit_gbt(up, first, ["r", "abs_r"], "up")
-    return both.select("series_id", "week", *[c.alias(p) for c, p in zip(compose("p_move", "p_one"), PS)])
+    def fit(train: DataFrame, cal: DataFrame, test: DataFrame) -> DataFrame:
+        for label, out in (("moved", "p_move"), ("up", "p_up_moved")):
+            own_cal, own = fc.fit_logistic_binary(moved(train), [moved(cal), test], FEATURES, label)
+            test = fc.calibrate_binary(own_cal, own, "p_one", label).drop("p_one").withColumnRenamed("calibrated", out)
+        return test.select("fold", "series_id", "week", *[c.alias(p) for c, p in zip(compose("p_move", "p_up_moved"), PS)])
+
+    return fc.per_fold(folds(t), fit)
+
+
+def given_probabilities(t: Tables) -> DataFrame:
+    """Probabilities of model m1 with their year as TEST of its fold and CAL of the next one."""
+    rows = t.probs.where("model = 'm1'").select("row_id", "year", *PS, "truth")
+    both = F.explode(F.array(F.struct(F.col("year").alias("fold"), F.lit("TEST").alias("role")), F.struct((F.col("year") + 1).alias("fold"), F.lit("CAL").alias("role"))))
+    return rows.select("row_id", *PS, "truth", both.alias("at")).select("at.*", "row_id", *PS, "truth")
 
 
 @query("m10_platt")
 def m10(t: Tables) -> DataFrame:
-    b = t.binary
-    return fc.platt(b.where("doc_id % 2 = 0"), b.where("doc_id % 2 = 1"), "p", "y").select("doc_id", "calibrated")
+    return fc.per_fold(given_probabilities(t), lambda _, cal, test: fc.calibrate_classes(cal, test, tuple(PS), "truth")).select("fold", "row_id", *PS)
 
 
 @query("m11_isotonic")
 def m11(t: Tables) -> DataFrame:
-    b = t.binary
-    return fc.isotonic(b.where("doc_id % 2 = 0"), b.where("doc_id % 2 = 1"), "p", "y").select("doc_id", "calibrated")
+    return fc.per_fold(given_probabilities(t), lambda _, cal, test: fc.calibrate_classes(cal, test, tuple(PS), "truth", "isotonic")).select("fold", "row_id", *PS)
 
 
 HAT = "CASE WHEN p_down >= p_flat AND p_down >= p_up THEN 'DOWN' WHEN p_flat >= p_up THEN 'FLAT' ELSE 'UP' END"
@@ -174,7 +210,7 @@ def m17(t: Tables) -> DataFrame:
     return r9(sc.band_check(t.probs, ["model"], 0.55, 0.65), 6)
 
 
-PAIRED = f"WITH l AS (SELECT row_id, year, model, {BRIER} AS loss FROM v_probs) SELECT a.row_id, a.year, a.loss AS loss_a, b.loss AS loss_b, a.loss - b.loss AS difference FROM l a JOIN l b ON a.row_id = b.row_id AND a.model = 'm1' AND b.model = 'm2'"
+PAIRED = f"WITH l AS (SELECT row_id, year, day, model, {BRIER} AS loss FROM v_probs) SELECT a.row_id, a.year, a.day, a.loss AS loss_a, b.loss AS loss_b, a.loss - b.loss AS difference FROM l a JOIN l b ON a.row_id = b.row_id AND a.model = 'm1' AND b.model = 'm2'"
 
 
 @query("m18_paired_losses", f"SELECT row_id, year, round(loss_a, 9) AS loss_a, round(loss_b, 9) AS loss_b, round(difference, 9) AS difference FROM ({PAIRED})")
@@ -183,12 +219,12 @@ def m18(t: Tables) -> DataFrame:
 
 
 def block_table(t: Tables) -> DataFrame:
-    """Summed differences and counts of 500 consecutive row ids."""
-    p = sc.paired_losses(t.probs, "m1", "m2", [])
-    return p.groupBy(F.floor(F.col("row_id") / 500).alias("block")).agg(F.sum("difference").alias("total"), F.count(F.lit(1)).alias("n"), F.avg("difference").alias("mean"))
+    """Summed differences and counts of blocks of 28 days, of which the calendar bounds the number."""
+    p = sc.paired_losses(t.probs, "m1", "m2", ["day"])
+    return p.groupBy(F.floor(F.datediff("day", F.lit("1992-01-01").cast("date")) / 28).alias("block")).agg(F.sum("difference").alias("total"), F.count(F.lit(1)).alias("n"), F.avg("difference").alias("mean"))
 
 
-BLOCKS = f"SELECT row_number() OVER (ORDER BY block) - 1 AS i, total, n, mean, count(*) OVER () AS blocks FROM (SELECT CAST(floor(row_id / 500) AS BIGINT) AS block, sum(difference) AS total, count(*) AS n, avg(difference) AS mean FROM ({PAIRED}) GROUP BY ALL)"
+BLOCKS = f"SELECT row_number() OVER (ORDER BY block) - 1 AS i, total, n, mean, count(*) OVER () AS blocks FROM (SELECT CAST(floor((day - DATE '1992-01-01') / 28) AS BIGINT) AS block, sum(difference) AS total, count(*) AS n, avg(difference) AS mean FROM ({PAIRED}) GROUP BY ALL)"
 DRAW = f"CAST(floor(((((draw * {boot.C} + place * {boot.A} + {boot.B}) % {boot.M}) * {boot.A} + {boot.B}) % {boot.M}) / 65536.0) AS BIGINT)"
 INTERVAL = "SELECT count(*) AS draws, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.5), 6) AS middle, round(quantile_cont(s, 0.975), 6) AS high FROM s"
 
@@ -253,9 +289,15 @@ def m27(t: Tables) -> DataFrame:
     return r.agg(F.round(F.corr("r", "c"), 6).alias("correlation"), F.round(F.avg(agree), 6).alias("class_agreement"), F.round(F.stddev_samp("c"), 6).alias("converted_std"))
 
 
-@query("m28_freeze", "SELECT count(*) AS n, CAST(sum(CAST(('0x' || substr(md5(CAST(n_nationkey AS VARCHAR) || chr(31) || n_name), 1, 12)) AS BIGINT)) AS VARCHAR) AS hash_sum, true AS unchanged FROM nation, (SELECT 1) x")
+HASHED = "CAST(sum(CAST(('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || chr(31) || {}), 1, 12)) AS BIGINT)) AS VARCHAR)"
+
+
+@query("m28_freeze", f"SELECT 'same' AS plan, count(*) AS n, {HASHED.format('c_mktsegment')} AS hash_sum, true AS unchanged FROM customer UNION ALL SELECT 'edited', count(*), {HASHED.format(chr(39) + 'BUILDING' + chr(39))}, count(*) = count(*) FILTER (c_mktsegment = 'BUILDING') FROM customer")
 def m28(t: Tables) -> DataFrame:
+    """A plan frozen by its hash, compared with itself in another order and with an edited one."""
     from ..sources.stores import check_freeze, fingerprint
 
-    plan = t["nation"].select("n_nationkey", "n_name")
-    return check_freeze(plan.orderBy(F.desc("n_name")), fingerprint(plan))
+    plan = t["customer"].select("c_custkey", "c_mktsegment")
+    frozen = fingerprint(plan)
+    same, edited = plan.repartition(3), plan.withColumn("c_mktsegment", F.lit("BUILDING"))
+    return check_freeze(same, frozen).select(F.lit("same").alias("plan"), "*").union(check_freeze(edited, frozen).select(F.lit("edited"), "*"))

@@ -25,7 +25,7 @@ VIEWS = {
     "v_positions": "SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS week, CAST(sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS BIGINT) AS long_qty, CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS BIGINT) AS short_qty, CAST(sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS BIGINT) AS spread_qty, CAST(sum(l_quantity) AS BIGINT) AS open_interest FROM lineitem GROUP BY ALL",
     "v_long": "SELECT CAST(l_shipdate AS DATE) AS day, l_returnflag AS variable, l_linestatus AS unit, avg(l_extendedprice) AS value FROM lineitem GROUP BY ALL",
     "v_cycles": "SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS cycle_date FROM orders",
-    "v_probs": "SELECT o_orderkey AS row_id, CAST(year(o_orderdate) AS INT) AS year, m.model, w.d / (w.d + w.f + w.u) AS p_down, w.f / (w.d + w.f + w.u) AS p_flat, w.u / (w.d + w.f + w.u) AS p_up, CASE o_orderstatus WHEN 'F' THEN 'DOWN' WHEN 'O' THEN 'FLAT' ELSE 'UP' END AS truth FROM orders, (VALUES ('m1', 7, 5, 3), ('m2', 3, 4, 8)) AS m(model, x, y, z), LATERAL (SELECT CAST(1 + o_orderkey % m.x AS DOUBLE) AS d, CAST(1 + o_custkey % m.y AS DOUBLE) AS f, CAST(1 + (o_orderkey + o_custkey) % m.z AS DOUBLE) AS u) AS w",
+    "v_probs": "SELECT o_orderkey AS row_id, CAST(year(o_orderdate) AS INT) AS year, CAST(o_orderdate AS DATE) AS day, m.model, w.d / (w.d + w.f + w.u) AS p_down, w.f / (w.d + w.f + w.u) AS p_flat, w.u / (w.d + w.f + w.u) AS p_up, CASE o_orderstatus WHEN 'F' THEN 'DOWN' WHEN 'O' THEN 'FLAT' ELSE 'UP' END AS truth FROM orders, (VALUES ('m1', 7, 5, 3), ('m2', 3, 4, 8)) AS m(model, x, y, z), LATERAL (SELECT CAST(1 + o_orderkey % m.x AS DOUBLE) AS d, CAST(1 + o_custkey % m.y AS DOUBLE) AS f, CAST(1 + (o_orderkey + o_custkey) % m.z AS DOUBLE) AS u) AS w",
     "v_binary": "SELECT d.doc_id, 1 / (1 + exp(-(n_chars - 1000) / 1000.0)) AS p, quality AS y FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL",
     "v_signals": "SELECT event_id AS id, 'src' || CAST(user_id % 7 AS VARCHAR) AS source, event_type AS category, event_type || '-' || CAST(user_id % 20 AS VARCHAR) AS event_key, 'k' || CAST(user_id % 5 AS VARCHAR) AS measurement_key, CASE WHEN value > 12 THEN 'UP' WHEN value < 4 THEN 'DOWN' ELSE 'NEUTRAL' END AS direction, CAST(1 + event_id % 3 AS INT) AS importance, CAST(ts AS TIMESTAMP) AS published_at, CAST(ts AS DATE) AS event_date, value, user_id, event_id % 4 = 0 AS structured FROM events",
 }
@@ -118,7 +118,7 @@ class Tables:
         rows = self["orders"].select("*", model)
         d, f, u = ((1 + e % F.col(f"m.{k}")).cast("double") for e, k in ((F.col("o_orderkey"), "x"), (F.col("o_custkey"), "y"), (F.col("o_orderkey") + F.col("o_custkey"), "z")))
         truth = F.when(F.col("o_orderstatus") == "F", "DOWN").when(F.col("o_orderstatus") == "O", "FLAT").otherwise("UP")
-        return rows.select(F.col("o_orderkey").alias("row_id"), F.year("o_orderdate").alias("year"), "m.model", (d / (d + f + u)).alias("p_down"), (f / (d + f + u)).alias("p_flat"), (u / (d + f + u)).alias("p_up"), truth.alias("truth"))
+        return rows.select(F.col("o_orderkey").alias("row_id"), F.year("o_orderdate").alias("year"), F.to_date("o_orderdate").alias("day"), "m.model", (d / (d + f + u)).alias("p_down"), (f / (d + f + u)).alias("p_flat"), (u / (d + f + u)).alias("p_up"), truth.alias("truth"))
 
     @cached_property
     def binary(self) -> DataFrame:
