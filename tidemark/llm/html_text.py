@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,10 @@ MAIN_WORDS = frozenset("main article".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
+#: Power that length and punctuation of a path keep in the element that is most likely the article.
+LEAST_POWER = 0.2
+#: Power that length and punctuation of a path keep in the element that is most likely the article.
+LEAST_POWER = 0.2
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that wrap whole pages: their class words say nothing about a part of the page.
 WHOLE = frozenset("html body".split())
@@ -53,21 +58,34 @@ def _named(attributes: str) -> tuple[bool, bool, bool]:
 
 
 class Node:
-    """A stretch of text between tags: path of blocks from the root, block, whether that is apart, the marked element it is in (0: none), and the form (0: none)."""
+    """A stretch of text between tags: number of its path of blocks from the root, block, whether that is apart, the marked element it is in (0: none), and the form (0: none)."""
 
     __slots__ = ("path", "block", "text", "apart", "main", "link", "form")
 
-    def __init__(self, path: str, block: int, text: str, apart: bool, main: int, link: bool, form: int) -> None:
+    def __init__(self, path: int, block: int, text: str, apart: bool, main: int, link: bool, form: int) -> None:
         self.path, self.block, self.text, self.apart, self.main, self.link, self.form = path, block, text, apart, main, link, form
 
 
 def text_nodes(page: str) -> list[Node]:
-    """Texts of the page in order. Unclosed and stray tags are taken as browsers do in the main cases."""
+    """Texts of the page in order. Unclosed and stray tags are taken as browsers do in the main cases.
+
+    Paths are numbered, each by its parent's number and its last tag, so that deep nesting costs no more than its tags.
+    """
     # tag, path, apart by what it is, apart by a class word, innermost marked element, link, form
-    stack: list[tuple[str, str, bool, bool, int, bool, int]] = [("", "", False, False, 0, False, 0)]
+    stack: list[tuple[str, int, bool, bool, int, bool, int]] = [("", 0, False, False, 0, False, 0)]
+    paths: dict[tuple[int, str], int] = {}
+    opened: Counter[str] = Counter()
     nodes: list[Node] = []
     block, at, n, marked, forms = 0, 0, len(page), 0, 0
 
+    def close(i: int) -> None:
+        opened.subtract(x[0] for x in stack[i:])
+        del stack[i:]
+
+    def close(i: int) -> None:
+        opened.subtract(x[0] for x in stack[i:])
+        del stack[i:]
+
     def add(text: str) -> None:
         if text:
             _, path, hard, soft, main, link, form = stack[-1]
@@ -87,9 +105,9 @@ def text_nodes(page: str) -> list[Node]:
             block += 1
         if m[1]:
             # a closing tag without an open partner is dropped; one of a block ends what is open in it
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if tag not in BLOCK and stack[i][0] in BLOCK:
                     break
@@ -98,7 +116,7 @@ def text_nodes(page: str) -> list[Node]:
         if ends:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in ends:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in BLOCK:
                     break
@@ -119,7 +137,10 @@ def text_nodes(page: str) -> list[Node]:
             forms += 1
             form = form or forms
         hard |= tag in APART or hidden and tag not in WHOLE
-        stack.append((tag, f"{path}/{tag}" if tag in BLOCK or tag in APART else path, hard, soft or named and tag not in WHOLE, main, link or tag == "a", form))
+        if tag in BLOCK or tag in APART:
+            path = paths.setdefault((path, tag), len(paths) + 1)
+        opened[tag] += 1
+        stack.append((tag, path, hard, soft or named and tag not in WHOLE, main, link or tag == "a", form))
         if tag in RAW_TAGS:
             end = next((x for x in RAW.finditer(page, at) if x[1].lower() == tag), None)
             add(page[at : end.start() if end else n])
@@ -139,7 +160,7 @@ def _within_forms(nodes: list[Node]) -> list[Node]:
     return nodes
 
 
-def content_paths(nodes: list[Node]) -> set[tuple[str, bool, int]]:
+def content_paths(nodes: list[Node]) -> set[tuple[int, bool, int]]:
     """Tag paths (with apart and the marked element) whose fused ratio passes the threshold.
 
     Paths end at the innermost block, so that inline tags and links of a
@@ -152,10 +173,10 @@ def content_paths(nodes: list[Node]) -> set[tuple[str, bool, int]]:
     A mark is a prior. Each marked element, and all text outside of them, holds
     a share s of the evidence (length by punctuation, less links) of the one
     that holds most. In a marked element length and punctuation count with the
-    power (1 - s)^2: in the one that holds most only links decide, a teaser
-    gets no favour. Outside, ratios are weighted by s.
+    power (1 - s)^2, but LEAST_POWER at least: in the one that holds most a path needs
+    little of them, a teaser gets no favour. Outside, ratios are weighted by s.
     """
-    sums: dict[tuple[str, bool, int], list] = {}
+    sums: dict[tuple[int, bool, int], list] = {}
     for x in nodes:
         text = x.text.strip()
         if text and not x.apart:
@@ -180,7 +201,7 @@ def content_paths(nodes: list[Node]) -> set[tuple[str, bool, int]]:
     share = (evidence / evidence.max())[place]
     ratio = np.minimum(fused / top, 1) * plain
     main = np.array([k[2] > 0 for k in keys])
-    score = np.where(main, np.minimum(fused / top, 1) ** (1 - share) ** 2 * plain, ratio * share)
+    score = np.where(main, np.minimum(fused / top, 1) ** np.maximum((1 - share) ** 2, LEAST_POWER) * plain, ratio * share)
     least = min(ratio[ratio > 0].std(), 0.9) if (ratio > 0).sum() > 1 else 0.0
     return {k for k, x in zip(keys, score) if x > 0 and x >= least}
 
