@@ -10,22 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_dir, ship
 
 #: Rows of an Arrow batch: with long texts, Spark's default of 10,000 would fill a worker's memory.
 BATCH_ROWS = 1000
-#: Characters that one numpy pass works on; a longer text makes a pass of its own.
+#: Characters that one numpy pass works on; a longer text makes passes of its own.
 CHUNK_CHARS = 1 << 19
 SHINGLE_WORDS = 5
 #: Rows, of a few numbers each, that one task writes to a table of known size.
 ROWS_PER_FILE = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-
-
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back, so that a lost executor costs no recomputation.
 
@@ -34,7 +29,7 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(rows // ROWS_PER_FILE + 1)
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -109,8 +104,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"]
 
 
-def word_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, begin and end of each word [^\\x20\\x09-\\x0D]+ of flat, A-Z lower-cased; flat ends with a space."""
+def raw_word_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Polynomial hash, begin and end of each word [^\\x20\\x09-\\x0D]+ of flat, A-Z lower-cased; flat ends with a space."""
     space = (flat == 32) | ((flat >= 9) & (flat <= 13))
     edges = np.flatnonzero(np.diff(space, prepend=True))
     begin, end = edges[0::2], edges[1::2]
@@ -120,7 +115,34 @@ def word_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     value ^= value >> np.uint64(29)
     value *= up
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
-    return mix((total[end] - total[begin]) * down[begin]), begin, end
+    return (total[end] - total[begin]) * down[begin], begin, end
+
+
+def word_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw, begin, end = raw_word_hashes(flat)
+    return mix(raw), begin, end
+
+
+def hashes_of_long(text: str) -> np.ndarray:
+    """Hashes of the words of one text, which is worked on in parts of CHUNK_CHARS; a word across parts is put together."""
+    out, held, size = [], np.uint64(0), 0  # held, size: hash and length of a word that may go on
+    with np.errstate(over="ignore"):
+        for a in range(0, len(text), CHUNK_CHARS):
+            flat, _ = code_points([text[a : a + CHUNK_CHARS]])
+            raw, begin, end = raw_word_hashes(flat)
+            length = end - begin
+            if size and len(begin) and begin[0] == 0:
+                raw[0] = held + raw[0] * np.uint64(pow(_BASE, size, 1 << 64))
+                length[0] += size
+            elif size:
+                out.append(np.array([held], np.uint64))
+            size = 0
+            if len(end) and end[-1] == len(flat) - 1:
+                held, size, raw = raw[-1], int(length[-1]), raw[:-1]
+            out.append(raw)
+    if size:
+        out.append(np.array([held], np.uint64))
+    return mix(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 _PLACES = mix(np.arange(1, SHINGLE_WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -132,9 +154,13 @@ def shingles(texts: list[str]) -> Iterator[np.ndarray]:
     Fewer words make one shingle of all; no words make none.
     """
     for a, b in runs(texts):
-        flat, starts = code_points(texts[a:b])
-        word, begin, _ = word_hashes(flat)
-        at = np.searchsorted(begin, starts)
+        if b - a == 1 and len(texts[a]) > CHUNK_CHARS:
+            word = hashes_of_long(texts[a])
+            at = np.array([0, len(word)])
+        else:
+            flat, starts = code_points(texts[a:b])
+            word, begin, _ = word_hashes(flat)
+            at = np.searchsorted(begin, starts)
         n = len(word) - SHINGLE_WORDS + 1
         five = np.zeros(0, np.uint64)
         if n > 0:

@@ -15,7 +15,7 @@ from .base import map_batches, mix, runs, shingles, texts_of
 BINS = 1024
 BITS = 4
 #: Ranges of doc_id for each shuffle partition, and ranges in all at most; each range is one window.
-RANGES_PER_PARTITION, MOST_RANGES = 4, 20_000
+RANGES_PER_PARTITION, MOST_RANGES, NULL_RANGES = 4, 20_000, 64
 
 
 #: Up to so many filled bins, an empty bin looks its donor up among them; beyond, it tries one bin after the other.
@@ -99,7 +99,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def with_next_text(docs: DataFrame) -> DataFrame:
     """doc_id, text and next_text, the text of the row that follows by descending doc_id; the first row's after the last.
 
-    Null ids come last. Equal ids follow each other by text. Ids are cut into
+    Null ids come last, in NULL_RANGES ranges by a hash of their text; they have no
+    order of their own. Equal ids follow each other by that hash. Other ids are cut into
     ranges by their quantiles, so that no task orders more than its range; the
     first row of each range is also dealt to the range before it.
     """
@@ -109,25 +110,33 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
     edges = np.unique(np.array(cuts, np.int64))
 
-    # Range 0 has the largest ids, the last but one the smallest, and the last one null ids.
+    # Range 0 has the largest ids, then they get smaller; the last ones have null ids.
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
+    def range_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
         none = ids.isna()
         found = len(edges) - np.searchsorted(edges, ids.fillna(0).astype("int64").to_numpy(), side="right")
-        return pd.Series(np.where(none, len(edges) + 1, found).astype("int32"))
+        return pd.Series(np.where(none, len(edges) + 1 + hashes.to_numpy() % NULL_RANGES, found).astype("int32"))
 
-    ranged = docs.withColumn("r", range_of("doc_id"))
-    tops = {x["r"]: x["top"] for x in ranged.groupBy("r").agg(F.max("doc_id").alias("top")).collect()}  # a row per range
+    ranged = docs.withColumn("h", F.xxhash64("text")).withColumn("r", range_of("doc_id", "h"))
+    # a row's place in its range: by id, then by the hash of its text, which is as good an order as any
+    top = F.max(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), -F.col("h").cast("decimal(20,0)"))).alias("top")
+    tops = {x["r"]: (x["top"][0], -int(x["top"][1])) for x in ranged.groupBy("r").agg(top).collect()}  # a row per range
     if not tops:
         return docs.withColumn("next_text", F.lit(""))
-    order = sorted(tops)
-    before = dict(zip(order[1:] + order[:1], order))
-    to = F.create_map([F.lit(x) for pair in before.items() for x in pair])
-    top = F.create_map([F.lit(x) for k in order for x in (k, tops[k])]) if any(v is not None for v in tops.values()) else None
-    is_top = F.col("r").isNull() if top is None else F.col("doc_id").eqNullSafe(top[F.col("r")])
-    is_top = is_top if top is not None else F.lit(True)
-    dealt = ranged.select("doc_id", "text", F.explode(F.when(is_top, F.array(F.struct("r", F.lit(0).alias("more")), F.struct(to[F.col("r")].alias("r"), F.lit(1).alias("more")))).otherwise(F.array(F.struct("r", F.lit(0).alias("more"))))).alias("at"))
-    w = Window.partitionBy("at.r").orderBy("at.more", F.desc_nulls_last("doc_id"), "text")
+    order = np.array(sorted(tops), np.int32)
+    before, top_id, top_hash = np.roll(order, 1), np.array([tops[r][0] for r in order]), np.array([tops[r][1] for r in order])
+
+    # The range that a row must be dealt to besides its own, if it may be the first one of its own.
+    @F.pandas_udf("int")
+    def also(r: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        at = np.searchsorted(order, r.to_numpy())
+        is_top = (ids.fillna(0).astype("int64").to_numpy() == top_id[at]) & (hashes.to_numpy() == top_hash[at])
+        return pd.Series(np.where(is_top, before[at], -1).astype("int32"))
+
+    at = F.struct("r", F.lit(0).alias("more"))
+    dealt = ranged.withColumn("to", also("r", "doc_id", "h"))
+    dealt = dealt.select("doc_id", "text", "h", F.explode(F.when(F.col("to") >= 0, F.array(at, F.struct(F.col("to").alias("r"), F.lit(1).alias("more")))).otherwise(F.array(at))).alias("at"))
+    w = Window.partitionBy("at.r").orderBy("at.more", F.desc_nulls_last("doc_id"), "h")
     return dealt.withColumn("next_text", F.lead("text").over(w)).where("at.more = 0").select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
 
 

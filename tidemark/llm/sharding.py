@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from .base import cut
 
-#: Cells that ranks are counted in: HIGH x LOW for each source, and HIGH x LOW along the interleaved order.
-HIGH, LOW = 128, 128
+#: Ranks are counted in side x side cells for each source, and along the interleaved order, so that a cell has about so many rows; side is LEAST_SIDE or more.
+ROWS_PER_CELL, LEAST_SIDE = 20_000, 128
 
 
 def _before(df: DataFrame, by: list[str], n: str) -> DataFrame:
-    """Adds `start`, the rows in earlier cells (hi, lo) of the same `by`; the windows are over HIGH and LOW rows."""
+    """Adds `start`, the rows in earlier cells (hi, lo) of the same `by`; the windows are over one side of the cells each."""
     outer = df.groupBy(*by, "hi").agg(F.sum(n).alias("hi_n"))
     w = Window.partitionBy(*by).orderBy("hi") if by else Window.orderBy("hi")
     outer = outer.withColumn("hi_start", F.sum("hi_n").over(w) - F.col("hi_n")).withColumn("whole", F.sum("hi_n").over(Window.partitionBy(*by)))
@@ -51,6 +51,10 @@ def interleave(docs: DataFrame, shards: int, seed: int = 42) -> DataFrame:
     repeated rows are rows of their own. grown_shard is null: a further shard
     moves rows between shards.
     """
+    side = LEAST_SIDE
+    n = docs.count()
+    while side * side * ROWS_PER_CELL < n:
+        side *= 2
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(
         "doc_id",
@@ -62,16 +66,16 @@ def interleave(docs: DataFrame, shards: int, seed: int = 42) -> DataFrame:
         F.xxhash64("doc_id", text, F.lit(seed)).alias("row_key"),
     )
     ranked = _numbered(
-        keyed.withColumn("hi", F.pmod(F.shiftrightunsigned("text_key", 40), F.lit(HIGH))).withColumn("lo", F.pmod(F.shiftrightunsigned("row_key", 40), F.lit(LOW))),
+        keyed.withColumn("hi", F.pmod(F.shiftrightunsigned("text_key", 40), F.lit(side))).withColumn("lo", F.pmod(F.shiftrightunsigned("row_key", 40), F.lit(side))),
         ["source", "no_source"],
         [F.col("text_key"), F.col("row_key"), F.col("doc_id")],
         "rank",
     )
     ranked = cut(ranked.drop("hi", "lo", "text_key").withColumnRenamed("whole", "source_rows"))
     share = (F.col("rank") + 0.5) / F.col("source_rows")
-    cell = F.least(F.floor(share * (HIGH * LOW)), F.lit(HIGH * LOW - 1))
+    cell = F.least(F.floor(share * (side * side)), F.lit(side * side - 1))
     placed = _numbered(
-        ranked.withColumn("share", share).withColumn("hi", F.floor(cell / LOW)).withColumn("lo", cell % LOW),
+        ranked.withColumn("share", share).withColumn("hi", F.floor(cell / side)).withColumn("lo", cell % side),
         [],
         [F.col("share"), F.col("source"), F.col("no_source"), F.col("row_key"), F.col("doc_id")],
         "place",
