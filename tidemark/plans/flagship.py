@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import classify
@@ -34,9 +34,11 @@ def flagship(t: Tables) -> DataFrame:
     pit = good.groupBy("series_id", "obs_date", "release_date").agg(F.max("value").alias("value")).withColumn("available_at", F.date_add("release_date", 1))
     spine = t.weekly.select("series_id", "week", F.date_add("week", 6).alias("day"))
     known = asof.pit_latest(spine, pit, ["series_id"], 60).where("known_value is not null").select("series_id", "week", F.col("known_value").alias("value"))
-    r = asof.calendar_lag(known, ["series_id"], "week", ["value"], 1).where("value_lag1 is not null")
-    after = known.select("series_id", F.date_sub("week", 7).alias("week"), F.col("value").alias("next_value"))
-    rows = r.join(after, ["series_id", "week"]).select("series_id", "week", F.year("week").alias("year"), classify(F.log(F.col("next_value") / F.col("value")), DEADBAND).alias("truth"))
+    # one pass over each series, whose weeks the calendar bounds, instead of joins of the same table with itself
+    by_week = Window.partitionBy("series_id").orderBy("week")
+    beside = lambda f, k: F.when(F.datediff(f("week").over(by_week), "week") == k, f("value").over(by_week))
+    rows = known.withColumns({"before": beside(F.lag, -7), "next": beside(F.lead, 7)}).where("before is not null and next is not null")
+    rows = rows.select("series_id", "week", F.year("week").alias("year"), classify(F.log(F.col("next") / F.col("value")), DEADBAND).alias("truth"))
     folds = rows.withColumn("fold", F.explode(F.array(*map(F.lit, YEARS))))
     train = folds.where((F.col("year") < F.col("fold")) & (F.date_add("week", 14) < F.make_date("fold", F.lit(1), F.lit(1))))
     from ..operators.forecast import frequency
