@@ -15,7 +15,7 @@ from ..session import shared_dir, ship
 #: Rows of an Arrow batch: with long texts, Spark's default of 10,000 would fill a worker's memory.
 BATCH_ROWS = 1000
 #: Characters that one numpy pass works on; a longer text makes passes of its own.
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 17
 SHINGLE_WORDS = 5
 #: Rows, of a few numbers each, that one task writes to a table of known size.
 ROWS_PER_FILE = 100_000
@@ -55,6 +55,7 @@ def map_batches(df: DataFrame, f: Callable[[dict], Iterable[dict]], schema: str)
             if batch.num_rows:
                 for out in f({n: batch.column(i) for i, n in enumerate(batch.schema.names)}):
                     yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()  # a worker lives on for other tasks
 
     return df.mapInArrow(run, kind)
 

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, map_batches, small_batches
+from .base import cut, map_batches
 from .components import components
 
 THRESHOLD = 0.98
@@ -59,6 +59,15 @@ def bases(moments: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     return {d: np.linalg.eigh(m)[1][:, ::-1].copy() for d, m in moments.items()}
 
 
+#: Tiles that follow each other, which go to a task together: each body travels once for so many pairs.
+GROUP_TILES_LOG2 = 3
+FOUND = pa.schema([("cls", pa.int64()), ("rep", pa.int64()), ("n_links", pa.int64()), ("to_rep", pa.int64())])
+
+
+def group_of(tile: str) -> Column:
+    return F.shiftright(tile, GROUP_TILES_LOG2)
+
+
 TILE = "label int, d int, tile bigint, low double, high double, n int, ids binary, vectors binary"
 #: Classes of equal vectors whose members may be joined by sending the classes to every task (40 bytes each).
 FEW_CLASSES = 500_000
@@ -206,7 +215,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     have no component and are kept. An empty table gives no rows; other columns
     are not read.
     """
-    spark = vectors.sparkSession
     vectors = vectors.select("vec_id", F.col("label").cast("int").alias("label"), "embedding")
     basis = bases(second_moments(vectors))
     classes, members = classes_of(placed_vectors(vectors.where("vec_id is not null"), basis))
@@ -219,23 +227,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         .where((F.col("x.tile") <= F.col("y.tile")) & (F.col("y.low") <= F.col("x.high") + reach) & (F.col("x.low") <= F.col("y.high") + reach))
         .select(F.col("x.tile").alias("a"), F.col("y.tile").alias("b")).distinct()
     )
-    body = blocks.select("tile", "d", "ids", "vectors")
-    both = cut(pairs).join(body.toDF("a", "d", "ids_a", "vectors_a"), "a").join(body.drop("d").toDF("b", "ids_b", "vectors_b"), "b")
     kind = number_type(vectors)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("cls", pa.int64()), ("rep", pa.int64()), ("n_links", pa.int64()), ("to_rep", pa.int64())])
-        for batch in batches:
-            for r in range(batch.num_rows):
-                one = {c: batch.column(c)[r].as_py() for c in ("a", "b", "d", "ids_a", "vectors_a", "ids_b", "vectors_b")}
-                ids = [np.frombuffer(one[c], np.int64).reshape(-1, 3) for c in ("ids_a", "ids_b")]
-                rows = [np.frombuffer(one[c], kind).astype(float).reshape(-1, one["d"]) for c in ("vectors_a", "vectors_b")]
-                got = compare(ids[0], rows[0], ids[1], rows[1], basis[one["d"]], threshold, one["a"] == one["b"])
-                yield pa.RecordBatch.from_arrays([pa.array(got[c], pa.int64()) for c in schema.names], schema=schema)
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row holds two tiles
-    found = cut(both.mapInArrow(run, "cls bigint, rep bigint, n_links bigint, to_rep bigint"))
-    small_batches(spark)
+    def run(table: pa.Table) -> pa.Table:
+        """All pairs of tiles in reach, of one group of tiles or between two; a tile is read once for all its pairs."""
+        left = [(r, *body_of(r)) for r in table.to_pylist()]
+        found: dict[str, list] = {c: [] for c in FOUND.names}
+        for i, (x, ids_x, rows_x) in enumerate(left):
+            for y, ids_y, rows_y in left[i:]:
+                apart = x["a"] != x["b"] and x["side"] == y["side"]
+                if apart or (x["label"], x["d"]) != (y["label"], y["d"]) or y["low"] > x["high"] + reach or x["low"] > y["high"] + reach:
+                    continue
+                got = compare(ids_x, rows_x, ids_y, rows_y, basis[x["d"]], threshold, x["tile"] == y["tile"])
+                for c in FOUND.names:
+                    found[c].append(got[c])
+        return pa.table({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in found.items()}, FOUND)
+
+    def body_of(r: dict) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(r["ids"], np.int64).reshape(-1, 3), np.frombuffer(r["vectors"], kind).astype(float).reshape(-1, r["d"])
+
+    groups = pairs.select(group_of("a").alias("a"), group_of("b").alias("b")).distinct()
+    sides = groups.select("a", "b", F.explode(F.expr("if(a = b, array(0), array(0, 1))")).alias("side")).withColumn("group", F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")))
+    bodies = cut(sides).join(blocks.withColumn("group", group_of("tile")), "group").select("a", "b", "side", "tile", "label", "d", "low", "high", "ids", "vectors")
+    found = cut(bodies.groupBy("a", "b").applyInArrow(run, "cls bigint, rep bigint, n_links bigint, to_rep bigint"))
     per_class = found.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
     linked = members.join(per_class, "cls", "left").where("n > 1 or n_links is not null")
     counts = linked.groupBy("vec_id").agg(F.sum(F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).alias("n_links"))

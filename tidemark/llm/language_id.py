@@ -19,7 +19,7 @@ SMOOTHING = 0.5
 #: Languages of one matrix of BUCKETS x languages numbers (26 MB). All languages are learned; more of them are scored one block after the other.
 BLOCK = 100
 #: Characters that one pass works on, and numbers that it gathers at once.
-PIECE_CHARS, GATHERED = 1 << 19, 1 << 21
+PIECE_CHARS, GATHERED = 1 << 17, 1 << 19
 _tables: list[np.ndarray] = []
 
 
