@@ -81,7 +81,8 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, seed: int = 7) -> QualityModel:
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+    """Whether the fit must not see a document; a null id is not held out (and not learned from either)."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def features(docs: DataFrame, keep: str) -> DataFrame:
