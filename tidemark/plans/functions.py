@@ -68,9 +68,10 @@ def f9(t: Tables) -> DataFrame:
     return t.signals.groupBy("category").agg(tx.package_id(F.collect_set("event_key")).alias("package"))
 
 
-@query("f10_normalize_region", "SELECT n_nationkey, 'NATION' AS name FROM nation")
+@query("f10_normalize_region", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 4 THEN c_mktsegment || ' Cityscape' ELSE c_mktsegment END AS name FROM customer")
 def f10(t: Tables) -> DataFrame:
-    return t["nation"].select("n_nationkey", tx.normalize_region(F.col("n_name")).alias("name"))
+    suffix = F.get(F.array(*map(F.lit, (" Province", " City 3", "_7", "", " Cityscape"))), (F.col("c_custkey") % 5).cast("int"))
+    return t["customer"].select("c_custkey", tx.normalize_region(F.concat("c_mktsegment", suffix)).alias("name"))
 
 
 
