@@ -287,7 +287,9 @@ def with_enough_keys(heavy: DataFrame, n: int) -> DataFrame:
         placed = cut(heavy.drop("need").join(stats, "key"), n)
         own = placed.groupBy("doc_id", "band").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("empty").alias("empty"), F.max("largest").alias("largest"))
         partner = F.least("largest", F.floor(F.col("size") * 5 / 4))
-        own = own.withColumn("need", least_shared(F.col("size") + partner, F.col("empty"), F.lit(0)).cast("int")).where("n >= need").select("doc_id", "band", "need")
+        # a ninth of the elements bounds the differences, and unlike most_differences never falls as they grow
+        least = of_band(0) - F.floor((F.col("size") + partner) / 9) - F.col("empty")
+        own = own.withColumn("need", F.when(of_band(1) == 0, F.greatest(F.lit(1), least)).otherwise(1).cast("int")).where("n >= need").select("doc_id", "band", "need")
         heavy = cut(placed.drop("largest").join(own, ["doc_id", "band"]), n)
     return heavy
 
