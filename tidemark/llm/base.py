@@ -21,12 +21,12 @@ SHINGLE_WORDS = 5
 ROWS_PER_FILE = 100_000
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back, so that a lost executor costs no recomputation.
+def cut(df: DataFrame, rows: int | None = None, session: SparkSession | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back, in another session if one is named, so that a lost executor costs no recomputation.
 
     Where the number of rows is known to be at most `rows`, a file gets ROWS_PER_FILE of them.
     """
-    spark = df.sparkSession
+    spark = session or df.sparkSession
     if rows is not None:
         df = df.coalesce(rows // ROWS_PER_FILE + 1)
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"

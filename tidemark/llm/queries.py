@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, fingerprints, html_text, jaccard_join, language_id, packing, quality, sharding, url_filter
+from . import bpe, decontamination, embedding_dedup, fingerprints, html_text, jaccard_join, language_id, merkle, packing, quality, ranked_search, sharding, url_filter
 
 SHARDS = 40
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -67,6 +67,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_embedding_near_dedup, op2_document_fingerprints, op3_quality_classifier, op4_language_id, op5_html_extraction,
-        op6_url_filters, op7_ngram_jaccard_join, op8_best_fit_packing, op9_bpe, op10_sharding, pipeline,
+        op6_url_filters, op7_ngram_jaccard_join, op8_best_fit_packing, op9_bpe, op10_sharding, op11_ranked_search, op12_benchmark_decontamination, op13_merkle_manifest, pipeline,
     )
     return {f.__name__: f for f in own}
 
@@ -161,5 +173,68 @@ SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.ruled, CASE WHEN x.host IS
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+f AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY ALL), z AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM z), m AS (SELECT doc_id, 10 + (90 * n * docs) // terms AS m FROM z, g),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, g WHERE t IN (SELECT t FROM q) GROUP BY t),
+s AS (SELECT item_id, f.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN f USING (t) JOIN w USING (t) JOIN m ON m.doc_id = f.doc_id GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+c AS (SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0),
+k AS (SELECT DISTINCT item_id, least(len(w), 10) AS length, array_to_string(w[i + 1 : i + 10], ' ') AS win FROM c),
+p AS (SELECT doc_id, w, unnest(range(len(w))) AS pos FROM d),
+v AS (SELECT doc_id, pos, length, array_to_string(w[pos + 1 : pos + length], ' ') AS win FROM p JOIN (SELECT DISTINCT length FROM k) ON pos + length <= len(w)),
+h AS (SELECT v.doc_id, v.pos, k.length, k.item_id FROM v JOIN k ON k.win = v.win AND k.length = v.length),
+n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + length)) AS place FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(ids, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+#: Trees as lists of digests level by level, then a climb of each leaf; crc32 is spelled out bit by bit.
+OP13_SQL = f"""
+WITH RECURSIVE own AS (
+  SELECT doc_id, lang, sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} || {_field("text")}) AS leaf,
+    sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("(n_chars + 1)")} || {_field("text")}) AS changed,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 7 = 0 AS hit
+  FROM documents
+), leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM own),
+trees(lang, level, d) AS (
+  SELECT lang, 0, list(leaf ORDER BY i) FROM leaves GROUP BY lang
+  UNION ALL SELECT lang, level + 1, list_transform(range(0, len(d), 2), lambda j: sha256(d[j + 1] || coalesce(d[j + 2], ''))) FROM trees WHERE len(d) > 1
+), subroots AS (SELECT lang, d[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM trees WHERE len(d) = 1),
+tops(level, d) AS (
+  SELECT 0, list(subroot ORDER BY i) FROM subroots
+  UNION ALL SELECT level + 1, list_transform(range(0, len(d), 2), lambda j: sha256(d[j + 1] || coalesce(d[j + 2], ''))) FROM tops WHERE len(d) > 1
+), up(doc_id, lang, leaf, i, level, folded, proof) AS (
+  SELECT doc_id, lang, leaf, i, 0, CASE WHEN hit THEN changed ELSE leaf END, '' FROM leaves
+  UNION ALL
+  SELECT doc_id, u.lang, leaf, i // 2, u.level + 1, sha256(CASE WHEN i % 2 = 0 THEN folded || coalesce(d[i + 2], '') ELSE d[i] || folded END), proof || CASE WHEN i % 2 = 0 THEN coalesce(d[i + 2], '') ELSE d[i] END
+  FROM up u JOIN trees t ON t.lang IS NOT DISTINCT FROM u.lang AND t.level = u.level WHERE len(d) > 1
+), met AS (SELECT up.doc_id, leaf, subroot, s.i, folded, proof FROM up JOIN trees t ON t.lang IS NOT DISTINCT FROM up.lang AND t.level = up.level AND len(t.d) = 1 JOIN subroots s ON s.lang IS NOT DISTINCT FROM up.lang
+), over(doc_id, leaf, subroot, i, level, folded, proof) AS (
+  SELECT doc_id, leaf, subroot, i, 0, folded, proof FROM met
+  UNION ALL
+  SELECT doc_id, leaf, subroot, i // 2, o.level + 1, sha256(CASE WHEN i % 2 = 0 THEN folded || coalesce(d[i + 2], '') ELSE d[i] || folded END), proof || CASE WHEN i % 2 = 0 THEN coalesce(d[i + 2], '') ELSE d[i] END
+  FROM over o JOIN tops t ON t.level = o.level WHERE len(d) > 1
+)
+SELECT doc_id, leaf, subroot, d[1] AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = d[1] AS verified FROM over o JOIN tops t ON t.level = o.level AND len(t.d) = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1_SQL, "op6_url_filters": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op6_url_filters": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op11_ranked_search": OP11_SQL, "op12_benchmark_decontamination": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
