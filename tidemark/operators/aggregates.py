@@ -35,12 +35,6 @@ def class_shares(df: DataFrame, by: list[str], label: str, classes: tuple[str, .
     return counts.withColumns({"least_share": F.least(*share), "greatest_share": F.greatest(*share)})
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column q<percent> each."""
-    got = df.groupBy(*by).agg(F.percentile(value, F.array(*map(F.lit, qs))).alias("_q"))
-    return got.select(*by, *[F.col("_q")[i].alias(f"q{round(q * 100)}") for i, q in enumerate(qs)])
-
-
 def matched_median(panel: DataFrame, entity: str, week: str, value: str, min_n: int) -> DataFrame:
     """Median over entities of the log return from the week before; null if fewer than min_n match."""
     from .asof import calendar_lag

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .asof import asof_join
+from .ranks import distribution, same
 
 
 def build_labels(spine: DataFrame, series: DataFrame, keys: list[str], horizon: int, slack_back: int, slack_on: int) -> DataFrame:
@@ -72,15 +74,37 @@ def audit_leakage(snapshots: DataFrame, provenance: DataFrame, keys: list[str])
 
 
 def non_overlapping(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Rows taken greedily in order of start: a row is taken if it starts after the end of the last one taken.
+    """Starts of the rows taken greedily in order of start: a row is taken if it starts after the end of the last one taken.
 
-    One fold over each key's (start, end) pairs, which are distinct days and so are bounded by the calendar.
+    Of rows with one start the one that ends first counts; a null end, or one
+    before the start, is the start. A start points to the first one after its
+    end, by its number among the starts. A round follows the pointers of all
+    that are taken and then doubles every pointer, so that rounds are the
+    logarithm of the rows taken, and a long key is joins like any other.
     """
-    days = df.select(*keys, F.col(start).alias("s"), F.col(end).alias("e")).groupBy(*keys, "s").agg(F.min("e").alias("e"))
-    seq = days.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_a"))
-    empty = F.struct(F.array().cast("array<date>").alias("taken"), F.lit(None).cast("date").alias("last"))
-    take = lambda acc, x: F.when(acc["last"].isNull() | (x["s"] > acc["last"]), F.struct(F.concat(acc["taken"], F.array(x["s"])).alias("taken"), x["e"].alias("last"))).otherwise(acc)
-    return seq.select(*keys, F.explode(F.aggregate("_a", empty, take, lambda acc: acc["taken"])).alias(start))
+    rows = df.where(F.col(start).isNotNull()).select(*keys, F.col(start).alias("_s"), F.greatest(F.col(start), F.col(end)).alias("_e"))
+    rows = cut(rows.groupBy(*keys, "_s").agg(F.min("_e").alias("_e")))
+    probes = rows.select(*keys, F.col("_s").alias("_x"), F.lit(1).alias("_w")).unionByName(rows.select(*keys, F.col("_e").alias("_x"), F.lit(0).alias("_w")))
+    table = cut(distribution(probes, keys, "_x", F.col("_w")))
+    number = table.where("n > 0").select(*keys, F.col("_x").alias("_s"), F.col("before").alias("_i"))
+    after = table.select(*keys, F.col("_x").alias("_e"), (F.col("before") + F.col("n")).alias("_to"))
+    placed = rows.alias("r").join(number.alias("n"), same("r", "n", [*keys, "_s"])).select(*[F.col(f"r.{c}").alias(c) for c in [*keys, "_s", "_e"]], "_i")
+    placed = cut(placed.alias("r").join(after.alias("n"), same("r", "n", [*keys, "_e"])).select(*[F.col(f"r.{c}").alias(c) for c in [*keys, "_s", "_i"]], "_to"))
+
+    def follow(a: DataFrame, at: str, jumps: DataFrame) -> DataFrame:
+        """Rows of a with the place that they reach from `at` in its stead; those that run out of places are gone."""
+        to = jumps.select(*keys, F.col("_i").alias(at), F.col("_to").alias("_next"))
+        return a.alias("a").join(to.alias("j"), same("a", "j", [*keys, at])).select(*[F.col("_next").alias(c) if c == at else F.col(f"a.{c}").alias(c) for c in a.columns])
+
+    there = placed.select(*keys, F.col("_i").alias("_to"))  # a pointer past the last start leads nowhere
+    jumps = placed.select(*keys, "_i", "_to").alias("j").join(there.alias("p"), same("j", "p", [*keys, "_to"]), "left_semi")
+    taken = placed.where("_i = 0").select(*keys, "_i")
+    while True:
+        more = cut(follow(taken, "_i", jumps))
+        if more.isEmpty():
+            break
+        taken, jumps = taken.unionByName(more), cut(follow(jumps, "_to", jumps))
+    return placed.alias("p").join(taken.alias("t"), same("p", "t", [*keys, "_i"]), "left_semi").select(*keys, F.col("_s").alias(start))
 
 
 def strata(df: DataFrame, day: str, target: str, distances: list[int]) -> DataFrame:

@@ -33,29 +33,31 @@ def blend_onehot(freq: list[Column], label: Column, weight: float | Column = 0.9
 
 
 def residual_cdf(points: DataFrame, residuals: DataFrame, by: list[str], mean: str, residual: str, t: float, prior: float = 0.0, how: str = "inner") -> DataFrame:
-    """Class probabilities of mean + residual over the residuals of the same fold.
+    """Class probabilities of mean + residual over the residuals of the same group.
 
-    Below -t counts strictly, above t strictly. Residuals are aggregated to distinct values first.
-    With how="left", points without residuals stay, with null probabilities.
+    Below -t counts strictly, above t strictly; null residuals are left out. A
+    point is looked up twice in the sorted distribution of its residuals. With
+    how="left", points without residuals stay, with null probabilities.
     """
-    counts = residuals.groupBy(*by, residual).agg(F.count(F.lit(1)).alias("_c"))
-    both = points.join(counts, by, how)
-    down, up = F.col(mean) + F.col(residual) < -t, F.col(mean) + F.col(residual) > t
-    got = both.groupBy(*points.columns).agg(F.sum("_c").alias("n"), F.sum(F.when(down, F.col("_c")).otherwise(0)).alias("_d"), F.sum(F.when(up, F.col("_c")).otherwise(0)).alias("_u"))
+    from .ranks import counts_of_sums
+
+    got = counts_of_sums(points, residuals, by, mean, residual, t)
+    got = got if how == "left" else got.where("n > 0")
     n = F.col("n") + 3 * prior
-    return got.select(*points.columns, "n", ((F.col("_d") + prior) / n).alias("p_down"), ((F.col("n") - F.col("_d") - F.col("_u") + prior) / n).alias("p_flat"), ((F.col("_u") + prior) / n).alias("p_up"))
+    return got.select(*points.columns, "n", ((F.col("below") + prior) / n).alias("p_down"), ((F.col("n") - F.col("below") - F.col("above") + prior) / n).alias("p_flat"), ((F.col("above") + prior) / n).alias("p_up"))
 
 
 def per_fold(folds: DataFrame, fit: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Union of fit(train, cal, test) over the folds of rows (fold, role, ...), roles as walk_forward gives them; purged rows are in none.
 
     Folds are a few test years. The rows are written once, as every fit reads them several times. A fold without TEST rows gives nothing.
+    Folds may name the columns of their results in any order.
     """
     folds = cut(folds.where(F.col("role").isin("TRAIN", "CAL", "TEST")))
     years = [r["fold"] for r in folds.where("role = 'TEST'").select("fold").distinct().orderBy("fold").collect()]
     role = lambda y, r: folds.where((F.col("fold") == y) & (F.col("role") == r))
     parts = [fit(role(y, "TRAIN"), role(y, "CAL"), role(y, "TEST")) for y in years]
-    return reduce(DataFrame.union, parts) if parts else fit(folds, folds, folds.where(F.lit(False)))
+    return reduce(DataFrame.unionByName, parts) if parts else fit(folds, folds, folds.where(F.lit(False)))
 
 
 def imputed(train: DataFrame, features: list[str], *others: DataFrame) -> list[DataFrame]:
@@ -169,7 +171,7 @@ def calibrate_classes(cal: DataFrame, test: DataFrame, ps: tuple[str, ...], trut
     if method == "platt":
         logs = {f"_l{i}": F.log(F.greatest(F.col(p), F.lit(1e-9))) for i, p in enumerate(ps)}
         got = fit_logistic(cal.withColumns(logs), test.withColumns(logs).drop(*ps), list(logs), truth).drop(*logs)
-        return got.select(*[c for c in test.columns if c not in ps], *[F.col(f"p_{k.lower()}").alias(p) for k, p in zip(CLASSES, ps)])
+        return got.select(*[c for c in test.columns if c not in ps], *[F.col(f"p_{k.lower()}").alias(p) for k, p in zip(CLASSES, ps)]).select(*test.columns)
     for i, (k, p) in enumerate(zip(CLASSES, ps)):
         own = cal.withColumn("_one", (F.col(truth) == k).cast("int"))
         test = calibrate_binary(own, test, p, "_one", "isotonic").withColumnRenamed("calibrated", f"_c{i}")

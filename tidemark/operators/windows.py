@@ -71,15 +71,18 @@ def rolling_corr(df: DataFrame, keys: list[str], order: str, a: str, b: str, k:
     return df.withColumn("rolling_corr", F.when(full, F.corr(a, b).over(w)))
 
 
-def expanding_percentile(df: DataFrame, keys: list[str], order: str, value: str, strict: bool = True) -> DataFrame:
-    """Share of strictly earlier rows with a smaller (strict) or no larger value; null for the first row.
+def expanding_percentile(df: DataFrame, keys: list[str], order: str, value: str, strict: bool = True, block: int | None = None) -> DataFrame:
+    """Share of strictly earlier rows with a smaller (strict) or no larger value; null without earlier values, and for a null value.
 
-    One window over each series, whose length the calendar bounds; no pairs of rows are made.
+    Rows without a value do not count as earlier ones. No pairs of rows and no lists are made: see `earlier_and_smaller`.
     """
-    w = Window.partitionBy(*keys).orderBy(F.unix_date(order)).rangeBetween(Window.unboundedPreceding, -1)
-    held = F.collect_list(value).over(w)
-    below = F.size(F.filter(held, lambda x: x < F.col(value) if strict else x <= F.col(value)))
-    return df.select(*keys, order, value, F.size(held).cast("bigint").alias("earlier"), F.when(F.size(held) > 0, below / F.size(held)).alias("percentile"))
+    from .ranks import earlier_and_smaller
+
+    # as many are no larger as are not larger, and larger ones are smaller with the sign turned
+    asked = df.select(*keys, order, (F.col(value) if strict else -F.col(value)).alias(value))
+    got = earlier_and_smaller(asked, keys, order, value, block)
+    share = F.when(F.col("earlier") > 0, (F.col("smaller") if strict else F.col("earlier") - F.col("smaller")) / F.col("earlier"))
+    return got.select(*keys, order, (F.col(value) if strict else -F.col(value)).alias(value), "earlier", share.alias("percentile"))
 
 
 def trailing_state(df: DataFrame, keys: list[str], order: str, value: str, k: int = 20) -> DataFrame:

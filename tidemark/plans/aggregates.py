@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.probability import classify
 from ..operators import aggregates as agg
+from ..operators import ranks
 from .registry import Tables, query
 
 TRUTH = ["DOWN", "FLAT", "UP"]
@@ -35,7 +36,7 @@ def a4(t: Tables) -> DataFrame:
 
 @query("a5_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 6) AS q5, round(quantile_cont(l_extendedprice, 0.5), 6) AS q50, round(quantile_cont(l_extendedprice, 0.95), 6) AS q95 FROM lineitem GROUP BY ALL")
 def a5(t: Tables) -> DataFrame:
-    return agg.quantiles(t["lineitem"], ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.95]).withColumns({c: F.round(c, 6) for c in ("q5", "q50", "q95")})
+    return ranks.quantiles(t["lineitem"], ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.95]).withColumns({c: F.round(c, 6) for c in ("q5", "q50", "q95")})
 
 
 @query("a6_matched_median", "SELECT a.week, CASE WHEN count(*) >= 20 THEN round(median(ln(a.value / b.value)), 6) END AS median_return, count(*) AS matched FROM v_panel a JOIN v_panel b ON a.entity = b.entity AND b.week = a.week - 7 WHERE a.value > 0 AND b.value > 0 GROUP BY ALL")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.probability import half_up_step
 from ..operators import datasets as ds
+from ..operators.ranks import quantiles
 from .registry import Tables, query
 
 KEY = ["series_id"]
@@ -36,8 +37,8 @@ def d2(t: Tables) -> DataFrame:
 
 @query("d3_freeze_threshold", f"SELECT series_id, round(greatest(0.005, floor(quantile_cont(abs(label_return), 0.33) / 0.005 + 0.5) * 0.005), 9) AS threshold FROM ({LABELS}) WHERE year(day) < 1998 GROUP BY ALL")
 def d3(t: Tables) -> DataFrame:
-    q = labels(t).where(F.year("day") < 1998).groupBy("series_id").agg(F.percentile(F.abs("label_return"), 0.33).alias("q"))
-    return q.select("series_id", F.round(half_up_step("q", 0.005, 0.005), 9).alias("threshold"))
+    q = quantiles(labels(t).where(F.year("day") < 1998).withColumn("size", F.abs("label_return")), ["series_id"], "size", [0.33])
+    return q.select("series_id", F.round(half_up_step("q33", 0.005, 0.005), 9).alias("threshold"))
 
 
 @query("d4_choose_threshold", f"""

@@ -36,10 +36,25 @@ def moves(t: Tables) -> DataFrame:
     return got.select("series_id", "week", F.year("week").alias("year"), r.alias("r"), y.alias("y"), classify(r, 0.05).alias("now"), classify(y, 0.05).alias("truth"))
 
 
-def split(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Rows before 1999 and those of 1999, with two features."""
-    m = moves(t).withColumn("abs_r", F.abs("r"))
-    return m.where("year < 1999"), m.where("year = 1999")
+FEATURES = ["r", "abs_r"]
+
+
+def folds(t: Tables) -> DataFrame:
+    """Weekly rows with two features in the roles of each fold, a fold for every year with two years before it; a label is known a week after the next one ends."""
+    from ..operators.datasets import walk_forward
+
+    rows = moves(t).withColumns({"abs_r": F.abs("r"), "known": F.date_add("week", 14)})
+    first, last = rows.agg(F.min("year"), F.max("year")).first()
+    return walk_forward(rows, list(range(first + 2, last + 1)) if first else [], "week", "known")
+
+
+#: The same roles in SQL: w has fold and role for the rows of m.
+ROLES = f"""
+m AS ({MOVES}), y AS (SELECT DISTINCT year AS fold FROM m WHERE year >= (SELECT min(year) + 2 FROM m)),
+f AS (SELECT m.*, fold, CASE WHEN year < fold - 1 THEN 'TRAIN' WHEN year = fold - 1 THEN 'CAL' ELSE 'TEST' END AS r0 FROM m JOIN y ON year <= fold),
+b AS (SELECT fold, min(week) FILTER (r0 = 'CAL') AS cal, min(week) FILTER (r0 = 'TEST') AS test FROM f GROUP BY fold),
+w AS (SELECT f.*, CASE WHEN r0 = 'TRAIN' AND week + 14 >= coalesce(cal, test) OR r0 = 'CAL' AND week + 14 >= test THEN 'PURGED' ELSE r0 END AS role FROM f JOIN b USING (fold))
+"""
 
 
 @query("m1_frequency", f"SELECT series_id, {R3} FROM ({FREQ.format(by='series_id', k=1, moves=MOVES)})")
@@ -81,40 +96,32 @@ def m3(t: Tables) -> DataFrame:
     return r9(both.select("series_id", "week", *[x.alias(f"{k}_{c.lower()}") for k, xs in kinds.items() for x, c in zip(xs, CLASSES)]))
 
 
-@query("m4_residual_cdf", f"WITH m AS ({MOVES}), p AS (SELECT series_id, week, -0.1 * r AS mean FROM m WHERE year = 1999), e AS (SELECT series_id, y + 0.1 * r AS residual FROM m WHERE year < 1999) SELECT p.series_id, p.week, count(*) AS n, round(count(*) FILTER (mean + residual < -0.05) / count(*), 9) AS p_down, round((count(*) - count(*) FILTER (mean + residual < -0.05) - count(*) FILTER (mean + residual > 0.05)) / count(*), 9) AS p_flat, round(count(*) FILTER (mean + residual > 0.05) / count(*), 9) AS p_up FROM p JOIN e ON e.series_id = p.series_id GROUP BY ALL")
+@query("m4_residual_cdf", f"WITH {ROLES}, p AS (SELECT fold, series_id, week, -0.1 * r AS mean FROM w WHERE role = 'TEST'), e AS (SELECT fold, series_id, y + 0.1 * r AS residual FROM w WHERE role IN ('TRAIN', 'CAL')) SELECT p.fold, p.series_id, p.week, count(*) AS n, round(count(*) FILTER (mean + residual < -0.05) / count(*), 9) AS p_down, round((count(*) - count(*) FILTER (mean + residual < -0.05) - count(*) FILTER (mean + residual > 0.05)) / count(*), 9) AS p_flat, round(count(*) FILTER (mean + residual > 0.05) / count(*), 9) AS p_up FROM p JOIN e ON e.fold = p.fold AND e.series_id = p.series_id GROUP BY ALL")
 def m4(t: Tables) -> DataFrame:
-    train, test = split(t)
-    points = test.select("series_id", "week", (-0.1 * F.col("r")).alias("mean"))
-    residuals = train.select("series_id", (F.col("y") + 0.1 * F.col("r")).alias("residual"))
-    return r9(fc.residual_cdf(points, residuals, ["series_id"], "mean", "residual", 0.05).drop("mean"))
+    """Every fold's test rows by the residuals of what was known before them."""
+    rows = folds(t)
+    points = rows.where("role = 'TEST'").select("fold", "series_id", "week", (-0.1 * F.col("r")).alias("mean"))
+    residuals = rows.where("role in ('TRAIN', 'CAL')").select("fold", "series_id", (F.col("y") + 0.1 * F.col("r")).alias("residual"))
+    return r9(fc.residual_cdf(points, residuals, ["fold", "series_id"], "mean", "residual", 0.05).drop("mean"))
 
 
 PEERS = 250
 
 
-@query("m5_vol_historical", f"WITH m AS ({MOVES}), q AS (SELECT series_id, week, ln(abs(r) + 1e-6) AS v FROM m WHERE year = 1999), h AS (SELECT series_id || '|' || week AS hid, ln(abs(r) + 1e-6) AS v, truth FROM m WHERE year < 1999), k AS (SELECT q.series_id, q.week, h.truth FROM q, h QUALIFY row_number() OVER (PARTITION BY q.series_id, q.week ORDER BY abs(q.v - h.v), h.hid) <= {PEERS}) SELECT series_id, week, round(count(*) FILTER (truth = 'DOWN') / count(*), 6) AS p_down, round(count(*) FILTER (truth = 'UP') / count(*), 6) AS p_up FROM k GROUP BY ALL")
+@query("m5_vol_historical", f"WITH {ROLES}, q AS (SELECT fold, series_id, week, ln(abs(r) + 1e-6) AS v FROM w WHERE role = 'TEST'), h AS (SELECT fold, series_id || '|' || week AS hid, ln(abs(r) + 1e-6) AS v, truth FROM w WHERE role IN ('TRAIN', 'CAL')), k AS (SELECT q.fold, q.series_id, q.week, h.truth FROM q JOIN h ON h.fold = q.fold QUALIFY row_number() OVER (PARTITION BY q.fold, q.series_id, q.week ORDER BY abs(q.v - h.v), h.hid) <= {PEERS}) SELECT fold, series_id, week, round(count(*) FILTER (truth = 'DOWN') / count(*), 6) AS p_down, round(count(*) FILTER (truth = 'UP') / count(*), 6) AS p_up FROM k GROUP BY ALL")
 def m5(t: Tables) -> DataFrame:
     from ..operators.nearest import nearest_k
 
-    train, test = split(t)
     key, vol = F.concat_ws("|", "series_id", F.col("week").cast("string")), F.log(F.abs("r") + 1e-6)
-    q = test.select(key.alias("id"), "series_id", "week", vol.alias("qv"))
-    h = train.select(key.alias("hid"), vol.alias("hv"), "truth")
-    near = nearest_k(q, h, "id", "qv", "hid", "hv", PEERS).join(h, "hid").join(q, "id")
-    n = F.count(F.lit(1))
-    return near.groupBy("series_id", "week").agg(F.round(F.count_if(F.col("truth") == "DOWN") / n, 6).alias("p_down"), F.round(F.count_if(F.col("truth") == "UP") / n, 6).alias("p_up"))
 
+    def fit(train: DataFrame, cal: DataFrame, test: DataFrame) -> DataFrame:
+        q = test.select(key.alias("id"), "fold", "series_id", "week", vol.alias("qv"))
+        h = train.unionByName(cal).select(key.alias("hid"), vol.alias("hv"), "truth")
+        near = nearest_k(q, h, "id", "qv", "hid", "hv", PEERS).join(h, "hid").join(q, "id")
+        n = F.count(F.lit(1))
+        return near.groupBy("fold", "series_id", "week").agg(F.round(F.count_if(F.col("truth") == "DOWN") / n, 6).alias("p_down"), F.round(F.count_if(F.col("truth") == "UP") / n, 6).alias("p_up"))
 
-FOLDS = [1998, 1999, 2000]
-FEATURES = ["r", "abs_r"]
-
-
-def folds(t: Tables) -> DataFrame:
-    """Weekly rows with two features in the roles of each fold; a label is known a week after the next one ends."""
-    from ..operators.datasets import walk_forward
-
-    rows = moves(t).withColumns({"abs_r": F.abs("r"), "known": F.date_add("week", 14)})
-    return walk_forward(rows, FOLDS, "week", "known")
+    return fc.per_fold(folds(t), fit)
 
 
 @query("m6_logistic")
