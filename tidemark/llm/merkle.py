@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from .base import cut
 
 #: Levels that one round builds and one step of the climb ascends, so a group has 2 ** LEVELS nodes at most.
-LEVELS = 10
-#: The tree above the subroots.
-TOP = -1
+LEVELS = 12
+#: The `tree` of what has reached the root.
+ROOT = -1
 #: Rows of a table of places that are sent to every task; more are joined by a shuffle.
 SMALL_ROWS = 100_000
 
@@ -26,10 +27,10 @@ aggregate(sequence(1, steps), array(base), (levels, k) -> concat(levels, array(t
 _SIBLINGS = """
 transform(levels[0], (own, at) -> struct(at, transform(sequence(0, steps - 1), k -> coalesce(unhex(get(levels[k], shiftright(at, k) ^ 1)), X'')) AS siblings))
 """
-#: What becomes of the digest `folded` of node `idx` over the levels whose neighbours are `siblings`.
+#: What becomes of the digest `folded` over the levels whose neighbours are `siblings`; bit k of `turns` is set where that of level k is on the left.
 _FOLDED = """
-unhex(aggregate(sequence(0, size(siblings) - 1), lower(hex(folded)), (d, k) -> sha2(
-  if(shiftright(idx, k) % 2 = 1, concat(lower(hex(siblings[k])), d), concat(d, lower(hex(siblings[k])))), 256)))
+unhex(aggregate(if(size(siblings) = 0, CAST(array() AS ARRAY<INT>), sequence(0, size(siblings) - 1)), lower(hex(folded)), (d, k) -> sha2(
+  if(shiftright(turns, k) % 2 = 1, concat(lower(hex(siblings[k])), d), concat(d, lower(hex(siblings[k])))), 256)))
 """
 
 
@@ -69,74 +70,74 @@ def ordered_leaves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(numbered.select("doc_id", "tree", (F.col("before") + F.col("at") - F.col("first")).alias("idx"), "leaf", "changed")), trees
 
 
-def _rounds(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Builds trees from nodes (tree, idx, digest, height) up: the link rows of each round, and the last node of each tree (tree, digest).
+def _rounds(nodes: DataFrame, height: int) -> tuple[list[DataFrame], DataFrame]:
+    """Builds trees from nodes (tree, idx, digest, height) up, `height` being the greatest: the link rows of each round, and the last node of each tree (tree, digest).
 
-    A round takes 2 ** LEVELS nodes that follow each other as one group. The
-    rounds are as many as LEVELS goes into the greatest height.
+    A round takes 2 ** LEVELS nodes that follow each other as one group, so
+    its rounds are as many as LEVELS goes into the greatest height. A link row
+    (tree, level, idx, siblings, turns, up_idx, last) leads LEVELS levels up,
+    or to the top of its tree.
     """
-    height, level, links, ended = nodes.agg(F.max("height")).first()[0] or 0, 0, [], []
-    ended.append(nodes.where("height = 0").select("tree", "digest"))
-    while level < height:
+    lone = nodes.where("height = 0")
+    links = [lone.select("tree", F.lit(0).alias("level"), "idx", F.array().cast("array<binary>").alias("siblings"), F.lit(0).cast("bigint").alias("turns"), F.lit(0).cast("bigint").alias("up_idx"), F.lit(True).alias("last"))]
+    ended = [lone.select("tree", "digest")]
+    for level in range(0, height, LEVELS):
         group = nodes.where(F.col("height") > level).groupBy("tree", "height", F.shiftright("idx", LEVELS).alias("group")).agg(F.array_sort(F.collect_list(F.struct("idx", "digest"))).alias("rows"))
         group = group.select("tree", "height", "group", F.transform("rows", lambda r: F.lower(F.hex(r["digest"]))).alias("base"), F.least(F.lit(LEVELS), F.col("height") - level).cast("int").alias("steps"))
         built = cut(group.select("tree", "height", "group", "steps", F.expr(_BUILT).alias("levels")))
-        each = built.select("tree", "height", "group", "steps", F.inline(F.expr(_SIBLINGS)).alias("at", "siblings"))
-        done = F.col("height") <= level + LEVELS  # the node above is a subroot, which is a leaf of the top tree
-        links.append(
-            each.select(
-                "tree", F.lit(level).alias("level"), (F.col("group") * (1 << LEVELS) + F.col("at")).alias("idx"), "siblings",
-                F.when(done, F.lit(TOP).cast("long")).otherwise(F.col("tree")).alias("up_tree"), F.when(done & (F.col("tree") == TOP), F.lit(level) + F.col("steps")).when(done, F.lit(0)).otherwise(F.lit(level + LEVELS)).alias("up_level"),
-                F.when(done & (F.col("tree") != TOP), F.col("tree")).otherwise(F.col("group")).alias("up_idx"),
-            )
-        )
+        each = built.select("tree", "height", "group", F.inline(F.expr(_SIBLINGS)).alias("at", "siblings"))
+        place = F.col("at").cast("bigint")
+        links.append(each.select("tree", F.lit(level).alias("level"), (F.col("group") * (1 << LEVELS) + place).alias("idx"), "siblings", place.alias("turns"), F.col("group").alias("up_idx"), (F.col("height") <= level + LEVELS).alias("last")))
         above = built.select("tree", F.col("group").alias("idx"), F.unhex(F.element_at("levels", -1)[0]).alias("digest"), "height")
         ended.append(above.where(F.col("height") <= level + LEVELS).select("tree", "digest"))
-        nodes, level = above.where(F.col("height") > level + LEVELS), level + LEVELS
-    tops = ended[0]
-    for t in ended[1:]:
-        tops = tops.unionByName(t)
-    return links, tops
+        nodes = above.where(F.col("height") > level + LEVELS)
+    return links, reduce(DataFrame.unionByName, ended)
 
 
 def _height(n: Column) -> Column:
-    """Levels above n nodes: how often a run of two must be hashed until one is left."""
+    """Levels above n nodes: how often runs of two must be hashed until one is left."""
     return F.when(n <= 1, 0).otherwise(F.length(F.bin(n - 1))).cast("int")
 
 
 def build(leaves: DataFrame, trees: DataFrame) -> tuple[DataFrame, DataFrame, str | None]:
-    """Node rows that name their parent (tree, level, idx, siblings, up_tree, up_level, up_idx), subroots (tree, subroot), and the root as hex.
+    """Node rows that name their parent (tree, level, idx, siblings, turns, up_idx, last), subroots (tree, subroot), and the root as hex.
 
-    A row is stored for each node of every LEVELS-th level; its parent is
-    LEVELS above (or the subroot or root), and `siblings` holds the levels between.
+    A row is stored for each node of every LEVELS-th level, `siblings` holds
+    the levels up to its parent's. The last row of a language leads over its
+    subroot to the root.
     """
-    spark = leaves.sparkSession
+    most = max(0, (trees.agg(F.max("n")).first()[0] or 0) - 1).bit_length()
     sized = leaves.join(_sent(trees.select("tree", _height(F.col("n")).alias("height"))), "tree")
-    links, tops = _rounds(sized.select("tree", "idx", F.col("leaf").alias("digest"), "height"))
+    links, tops = _rounds(sized.select("tree", "idx", F.col("leaf").alias("digest"), "height"), most)
     subroots = cut(tops.withColumnRenamed("digest", "subroot"))
-    top = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), F.col("subroot").alias("digest"), _height(F.lit(subroots.count())).alias("height"))
-    upper, root = _rounds(top)
-    nodes = spark.createDataFrame([], "tree long, level int, idx long, siblings array<binary>, up_tree long, up_level int, up_idx long")
-    for x in links + upper:
-        nodes = nodes.unionByName(x)
+    count = subroots.count()
+    height = max(0, count - 1).bit_length()
+    (lone, *upper), root = _rounds(subroots.select(F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("idx"), F.col("subroot").alias("digest"), F.lit(height).alias("height")), height)
+    way = (upper or [lone])[0].select(F.col("idx").alias("tree"), "siblings", "turns", F.col("up_idx").alias("at"))
+    for more in upper[1:]:
+        up = more.select(F.col("idx").alias("at"), F.col("siblings").alias("more"), F.col("turns").alias("more_turns"), "up_idx")
+        way = way.join(up, "at").select("tree", F.concat("siblings", "more").alias("siblings"), F.expr("turns | shiftleft(more_turns, size(siblings))").alias("turns"), F.col("up_idx").alias("at"))
+    over = _sent(cut(way.select("tree", F.col("siblings").alias("over"), F.col("turns").alias("over_turns"))))
+    nodes = reduce(DataFrame.unionByName, links)
+    ends = nodes.where("last").join(over, "tree").withColumns({"siblings": F.concat("siblings", "over"), "turns": F.expr("turns | shiftleft(over_turns, size(siblings))")}).drop("over", "over_turns")
     last = root.first()
-    return cut(nodes), subroots, bytes(last.digest).hex() if last else None
+    return cut(nodes.where("not last").unionByName(ends)), subroots, bytes(last.digest).hex() if last else None
 
 
 #: A row for each leaf and step. The engine shuffles and keeps the rows of every step, so a step ascends LEVELS levels.
 _CLIMB = f"""
 WITH RECURSIVE climb(doc_id, own, leaf, tree, level, idx, folded, proof) AS (
-  SELECT doc_id, tree, leaf, if(n = 1, {TOP}L, tree), 0, if(n = 1, tree, idx), coalesce(changed, leaf), X'' FROM {{leaves}}
+  SELECT doc_id, tree, leaf, tree, 0, idx, coalesce(changed, leaf), X'' FROM {{leaves}}
   UNION ALL
-  SELECT doc_id, own, leaf, up_tree, up_level, up_idx, {_FOLDED.replace("idx", "c.idx")}, aggregate(siblings, proof, (a, s) -> concat(a, s))
-  FROM climb c JOIN {{nodes}} n ON n.tree = c.tree AND n.level = c.level AND n.idx = c.idx
+  SELECT doc_id, own, leaf, if(last, {ROOT}L, n.tree), n.level + {{levels}}, up_idx, {_FOLDED}, aggregate(siblings, proof, (a, s) -> concat(a, s))
+  FROM climb c JOIN {{nodes}} n ON n.tree = c.tree AND n.level = c.level AND n.idx = c.idx WHERE c.tree <> {ROOT}
 )
-SELECT doc_id, own AS tree, leaf, folded, proof FROM climb WHERE tree = {TOP} AND level = {{height}}
+SELECT doc_id, own AS tree, leaf, folded, proof FROM climb WHERE tree = {ROOT}
 """
 
 
-def climb(leaves: DataFrame, nodes: DataFrame, height: int) -> DataFrame:
-    """Every leaf (doc_id, tree, n, idx, leaf, changed) to the root, `height` levels above the subroots: doc_id, tree, leaf, folded, proof. A written table.
+def climb(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every leaf (doc_id, tree, idx, leaf, changed) to the root: doc_id, tree, leaf, folded, proof. A written table.
 
     Siblings are appended and the tampered digest is folded on the way. The
     recursive query runs in a session of its own, whose limit of rows is
@@ -152,7 +153,7 @@ def climb(leaves: DataFrame, nodes: DataFrame, height: int) -> DataFrame:
     leaves.createGlobalTempView(names["leaves"])
     nodes.createGlobalTempView(names["nodes"])
     try:
-        return cut(own.sql(_CLIMB.format(**{k: f"global_temp.{v}" for k, v in names.items()}, height=height)), session=spark)
+        return cut(own.sql(_CLIMB.format(**{k: f"global_temp.{v}" for k, v in names.items()}, levels=LEVELS)), session=spark)
     finally:
         for v in names.values():
             spark.catalog.dropGlobalTempView(v)
@@ -169,9 +170,7 @@ def prove(docs: DataFrame) -> DataFrame:
     """
     leaves, trees = ordered_leaves(docs)
     nodes, subroots, root = build(leaves, trees)
-    sized = leaves.join(_sent(trees.select("tree", "n")), "tree")
-    height = max(0, subroots.count() - 1).bit_length()
-    ended = climb(sized, nodes, height).join(_sent(subroots), "tree")
+    ended = climb(leaves, nodes).join(_sent(subroots), "tree")
     text = lambda c: F.lower(F.hex(c)).alias(c)
     whole = F.lit(root).cast("string")
     return ended.select("doc_id", text("leaf"), text("subroot"), whole.alias("root"), F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), text("folded").alias("folded_root"), (F.lower(F.hex("folded")) == whole).alias("verified"))
