@@ -36,8 +36,10 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 #: Power that length and punctuation of a path keep in the element that is most likely the article.
 LEAST_POWER = 0.2
-#: Power that length and punctuation of a path keep in the element that is most likely the article.
-LEAST_POWER = 0.2
+#: What text of an element with a telling class, id or role counts; what a mark (article, main) multiplies the evidence of an element with.
+CLASS_WEIGHT, MARK_WEIGHT = 0.05, 25.0
+#: Power of a side's share of the evidence. Least score of a path. Share of link text in the element up to which linked blocks are part of it. Characters to a punctuation mark in plain sentences.
+SIDE_POWER, LEAST_SCORE, LINK_SHARE, SENTENCE = 4, 0.2, 0.1, 100
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that wrap whole pages: their class words say nothing about a part of the page.
 WHOLE = frozenset("html body".split())
@@ -58,12 +60,12 @@ def _named(attributes: str) -> tuple[bool, bool, bool]:
 
 
 class Node:
-    """A stretch of text between tags: number of its path of blocks from the root, block, whether that is apart, the marked element it is in (0: none), and the form (0: none)."""
+    """A stretch of text between tags: number of its path of blocks from the root, block, whether that is apart by its tags, whether a class word speaks against it, the marked element it is in (0: none), and the form (0: none)."""
 
-    __slots__ = ("path", "block", "text", "apart", "main", "link", "form")
+    __slots__ = ("path", "block", "text", "apart", "classed", "main", "link", "form")
 
-    def __init__(self, path: int, block: int, text: str, apart: bool, main: int, link: bool, form: int) -> None:
-        self.path, self.block, self.text, self.apart, self.main, self.link, self.form = path, block, text, apart, main, link, form
+    def __init__(self, path: int, block: int, text: str, apart: bool, classed: bool, main: int, link: bool, form: int) -> None:
+        self.path, self.block, self.text, self.apart, self.classed, self.main, self.link, self.form = path, block, text, apart, classed, main, link, form
 
 
 def text_nodes(page: str) -> list[Node]:
@@ -78,10 +80,6 @@ def text_nodes(page: str) -> list[Node]:
     nodes: list[Node] = []
     block, at, n, marked, forms = 0, 0, len(page), 0, 0
 
-    def close(i: int) -> None:
-        opened.subtract(x[0] for x in stack[i:])
-        del stack[i:]
-
     def close(i: int) -> None:
         opened.subtract(x[0] for x in stack[i:])
         del stack[i:]
@@ -89,7 +87,7 @@ def text_nodes(page: str) -> list[Node]:
     def add(text: str) -> None:
         if text:
             _, path, hard, soft, main, link, form = stack[-1]
-            nodes.append(Node(path, block, text, hard or soft, main, link, form))
+            nodes.append(Node(path, block, text, hard, soft, main, link, form))
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -152,7 +150,7 @@ def _within_forms(nodes: list[Node]) -> list[Node]:
     """A form is apart, unless it wraps the page: it holds more of the text that is not apart than all that is outside it."""
     size: dict[int, int] = {}
     for x in nodes:
-        if not x.apart:
+        if not x.apart and not x.classed:
             size[x.form] = size.get(x.form, 0) + len(x.text.strip())
     total = sum(size.values())
     for x in nodes:
@@ -161,26 +159,31 @@ def _within_forms(nodes: list[Node]) -> list[Node]:
 
 
 def content_paths(nodes: list[Node]) -> set[tuple[int, bool, int]]:
-    """Tag paths (with apart and the marked element) whose fused ratio passes the threshold.
+    """Tag paths (with the class words' verdict and the marked element) whose fused ratio passes the threshold.
 
     Paths end at the innermost block, so that inline tags and links of a
     sentence count with it. Text length and punctuation are summed per path and
     divided by the number of its blocks; both ratios are smoothed along the page
-    over neighbouring paths, and fused by their product; the share of link text
-    weighs against a path. Paths apart from the main text never pass. The
-    threshold is the deviation of the ratios.
-
-    A mark is a prior. Each marked element, and all text outside of them, holds
-    a share s of the evidence (length by punctuation, less links) of the one
-    that holds most. In a marked element length and punctuation count with the
-    power (1 - s)^2, but LEAST_POWER at least: in the one that holds most a path needs
-    little of them, a teaser gets no favour. Outside, ratios are weighted by s.
+    over neighbouring paths of their kind, and fused by their product; the share of link text
+    weighs against a path, less so where an element holds few links. The
+    threshold is the deviation of the ratios, LEAST_SCORE at least.
+
+    Marks and class words are weights of what the ratios say. Class words cut a
+    path down to CLASS_WEIGHT of its ratio. The evidence of an element is its
+    text, by how much it is made of sentences, less links. That of a marked
+    element counts MARK_WEIGHT times, so a short article stands against a long
+    unmarked block, and a mere teaser does not; marked elements on the one
+    side and all unmarked text on the other are weighted by a power of their
+    share of the greater evidence, and each side has ratios of its own. In a marked element that holds a share s of
+    the evidence of the greatest marked one, length and punctuation count with
+    the power (1 - s)^2, but LEAST_POWER at least: in the article itself a path
+    needs little of them, in a card beside it much.
     """
     sums: dict[tuple[int, bool, int], list] = {}
     for x in nodes:
         text = x.text.strip()
         if text and not x.apart:
-            s = sums.setdefault((x.path, x.apart, x.main), [0.0, 0.0, set(), 0.0])
+            s = sums.setdefault((x.path, x.classed, x.main), [0.0, 0.0, set(), 0.0])
             s[0] += len(text)
             s[1] += len(PUNCTUATION.findall(text))
             s[2].add(x.block)
@@ -189,21 +192,38 @@ def content_paths(nodes: list[Node]) -> set[tuple[int, bool, int]]:
         return set()
     keys = list(sums)
     length, marks, count, links = np.array([(a, b, len(c), d) for a, b, c, d in sums.values()]).T
+    classed, main = np.array([k[1] for k in keys]), np.array([k[2] > 0 for k in keys])
+    weight = np.where(classed, CLASS_WEIGHT, 1.0)
     kernel = np.array([0.25, 0.5, 0.25])
-    smooth = lambda v: np.convolve(np.pad(v, 1, "edge"), kernel, "valid")
-    plain = 1 - links / length
-    fused = 0.5 * (length / count) * (1 + marks / count) + 0.5 * smooth(length / count) * smooth(1 + marks / count)
-    top = (fused * plain).max()
-    if top <= 0:
-        return set()
+
+    def smooth(v: np.ndarray) -> np.ndarray:
+        out = np.empty(len(v))
+        for kind in (classed & main, classed & ~main, ~classed & main, ~classed & ~main):
+            if kind.any():
+                out[kind] = np.convolve(np.pad(v[kind], 1, "edge"), kernel, "valid")
+        return out
+
     _, place = np.unique([k[2] for k in keys], return_inverse=True)
-    evidence = np.bincount(place, length * (1 + marks / count) * plain)
-    share = (evidence / evidence.max())[place]
-    ratio = np.minimum(fused / top, 1) * plain
-    main = np.array([k[2] > 0 for k in keys])
-    score = np.where(main, np.minimum(fused / top, 1) ** np.maximum((1 - share) ** 2, LEAST_POWER) * plain, ratio * share)
-    least = min(ratio[ratio > 0].std(), 0.9) if (ratio > 0).sum() > 1 else 0.0
-    return {k for k, x in zip(keys, score) if x > 0 and x >= least}
+    total = lambda v: np.bincount(place, v)[place]
+    plain = 1 - links / length * np.minimum(1, total(links) / total(length) / LINK_SHARE)
+    fused = (0.5 * (length / count) * (1 + marks / count) + 0.5 * smooth(length / count) * smooth(1 + marks / count)) * weight
+    if (fused * plain).max() <= 0:
+        return set()
+    evidence = total(length * (0.25 + 0.75 * np.minimum(1, marks * SENTENCE / length)) * plain * weight)
+    marked, unmarked = evidence[main].max(initial=0) * MARK_WEIGHT, evidence[~main].max(initial=0)
+    side = (np.where(main, marked, unmarked) / max(marked, unmarked)) ** SIDE_POWER
+    share = evidence / (evidence[main].max(initial=0) or 1)
+    ratio = np.zeros(len(keys))
+    for kind in (main, ~main):
+        if (top := (fused * plain)[kind].max(initial=0)) > 0:
+            ratio[kind] = np.minimum(fused[kind] / top, 1) * plain[kind]
+    power = np.where(main, np.maximum((1 - share.clip(0, 1)) ** 2, LEAST_POWER), 1.0)
+    score = np.where(classed, ratio, ratio**power) * side
+    kept = ratio[(ratio > 0) & (side == 1)]
+    least = max(kept.std(), LEAST_SCORE)
+    if not (score >= least).any():  # all text has a telling class, or hardly any is there
+        return {k for k, x in zip(keys, score) if x == score.max() > 0}
+    return {k for k, x in zip(keys, score) if x >= least}
 
 
 def main_text(page: str) -> str:
@@ -213,7 +233,7 @@ def main_text(page: str) -> str:
     blocks: list[list[str]] = []
     last = None
     for x in nodes:
-        if (x.path, x.apart, x.main) in good:
+        if not x.apart and (x.path, x.classed, x.main) in good:
             if x.block != last:
                 blocks.append([])
                 last = x.block
