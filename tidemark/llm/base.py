@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, ship
 
-#: Rows of an Arrow batch: with long texts, Spark's default of 10,000 would fill a worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: with long texts, Spark's default of 10,000 rows would fill a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 #: Characters that one numpy pass works on; a longer text makes passes of its own.
 CHUNK_CHARS = 1 << 17
 SHINGLE_WORDS = 5
@@ -37,6 +37,7 @@ def cut(df: DataFrame, rows: int | None = None, session: SparkSession | None = N
 def small_batches(spark: SparkSession) -> None:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_batches(df: DataFrame, f: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:
@@ -186,3 +187,20 @@ def signed(x: np.ndarray) -> np.ndarray:
 def only(df: DataFrame, ids: DataFrame, key: str, limit: int = 2_000_000) -> DataFrame:
     """Rows of df whose key is in ids (distinct). The ids are sent to every task up to `limit` of them (16 MB); more are joined by a shuffle."""
     return df.join(F.broadcast(ids) if ids.count() <= limit else ids, key, "left_semi")
+
+
+#: Rows of one key that one task joins with a large row of the other side.
+ROWS_PER_SALT = 20_000
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, _parts): keys that more than ROWS_PER_SALT rows have, at most one for that many rows, and the salts that each needs. To be broadcast."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROWS_PER_SALT)
+    return F.broadcast(cut(n.select(key, (F.floor(F.col("_n") / ROWS_PER_SALT) + 1).cast("int").alias("_parts"))))
+
+
+def join_hot(rows: DataFrame, big: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """rows joined on key with big, which has one large row a key: rows of a hot key are dealt over its salts by the column `by`, and its row of big is repeated for each."""
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    spread = big.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(spread, [key, "_salt"]).drop("_salt")

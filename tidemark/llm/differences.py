@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, map_batches, only, shingles, signed, small_batches, texts_of
+from .base import cut, hot_keys, join_hot, map_batches, only, shingles, signed, small_batches, texts_of
 
 #: Members whose sets are compared with their leads' at once.
 MEMBER_BATCH = 50
@@ -39,7 +39,7 @@ def differences(members: DataFrame, docs: DataFrame) -> DataFrame:
         yield {"doc_id": batch["doc_id"], "elements": [signed(np.unique(s)) for s in shingles(texts_of(batch["text"]))]}
 
     known = cut(map_batches(only(docs.select("doc_id", "text"), ids, "doc_id"), sets, "doc_id bigint, elements array<bigint>"))
-    both = members.select("lead", "doc_id").join(known.toDF("doc_id", "own"), "doc_id").join(known.toDF("lead", "theirs"), "lead")
+    both = join_hot(members.select("lead", "doc_id"), known.toDF("lead", "theirs"), "lead", "doc_id", hot_keys(members, "lead")).join(known.toDF("doc_id", "own"), "doc_id")
 
     def differ(batch: dict) -> Iterator[dict]:
         lead, doc, own, theirs = batch["lead"].to_numpy(), batch["doc_id"].to_numpy(), batch["own"], batch["theirs"]

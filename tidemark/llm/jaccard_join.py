@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, map_batches, mix, only, runs, shingles, signed, small_batches, texts_of
+from .base import cut, hot_keys, join_hot, map_batches, mix, only, runs, shingles, signed, small_batches, texts_of
 from .components import components
 from .differences import pairs_around_leads
 
@@ -229,7 +229,8 @@ def least_shared(total, empty, dropped):  # noqa: ANN001, ANN201
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of documents whose shingle sets have 100 * intersection >= percent * union."""
     some = only(docs.select("doc_id", "text"), pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "doc_id")
-    both = pairs.join(some.toDF("a", "text_a"), "a").join(some.toDF("b", "text_b"), "b")
+    both = join_hot(pairs, some.toDF("a", "text_a"), "a", "b", hot_keys(pairs, "a"))
+    both = join_hot(both, some.toDF("b", "text_b"), "b", "a", hot_keys(pairs, "b"))
 
     def run(batch: dict) -> Iterator[dict]:
         a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
