@@ -122,7 +122,7 @@ def test_second_write_of_a_key_fails_and_writes_nothing(spark, tmp_path):
     stores.append_snapshot(rows, path, ["k"])
     with pytest.raises(ValueError, match="exists"):
         stores.append_snapshot(rows.union(spark.createDataFrame([(2, "b")], "k int, v string")), path, ["k"])
-    assert spark.read.parquet(path).count() == 1
+    assert stores.read_snapshots(spark, path).count() == 1
 
 
 def test_failed_gate_keeps_the_last_good_version(spark, tmp_path):

@@ -67,7 +67,7 @@ def test_expanding_percentile_over_blocks(spark, block, strict):
     want = []
     for k, at, v in rows:
         old = [o for j, d, o in rows if j == k and d < at and o is not None]
-        share = None if v is None or not old else sum(o < v or not strict and o == v for o in old) / len(old)
+        share = None if not old else sum(v is not None and (o < v or not strict and o == v) for o in old) / len(old)
         want.append((str(k), str(at), str(v), len(old), share))
     got = [(str(r.k), str(r["at"]), str(r.v), r.earlier, r.percentile) for r in expanding_percentile(df, ["k"], "at", "v", strict, block).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)

@@ -37,9 +37,34 @@ def apply_rules(paragraphs: DataFrame, rules: DataFrame, doc: str, order: str, t
     return hit.groupBy(doc).agg(F.min_by(F.struct("rule", F.col(order).alias("paragraph")), F.struct("rule_order", order)).alias("_r")).select(doc, "_r.*")
 
 
-def guarded(text: Column) -> Column:
-    """Whether a paragraph is negated, conditional, historical or commentary."""
-    return F.regexp_like(text, F.lit(r"(?i)\b(?:not|no longer|if|would|could|last year|in my view|analysts? say)\b"))
+#: Words and phrases that keep a paragraph from being a confirmed event of the day, by code.
+GUARDS = {
+    "CONDITIONAL": r"(?i)\b(?:may|might|could|would|expected|plans?|planned|consider|considering|if|potential|threatened)\b",
+    "NEGATED": r"(?i)\b(?:not|never|denied|unconfirmed|yet to)\b",
+    "HISTORICAL": r"(?i)\b(?:last (?:week|month|year|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)|earlier this month|\d+ (?:days?|weeks?|months?) ago|in 20\d{2}|(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2})\b",
+    "COMMENTARY": r"(?i)\b(?:analysts?|strategists?|opinion|commentary|column)\b",
+}
+WEEKDAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
+#: Days that a weekday named in a report may lie back.
+RECENT_DAYS = 2
+
+
+def old_weekday(text: Column, published: Column) -> Column:
+    """Whether the text names a weekday ("on Monday") whose last one lies more than RECENT_DAYS before the day of publication."""
+    named = F.regexp_extract_all(text, F.lit(rf"(?i)\bon ({'|'.join(WEEKDAYS)})\b"), F.lit(1))
+    number = F.create_map(*[x for i, d in enumerate(WEEKDAYS) for x in (F.lit(d), F.lit(i))])
+    return F.exists(named, lambda d: F.pmod(F.dayofweek(published) - 1 - number[F.lower(d)], F.lit(7)) > RECENT_DAYS)
+
+
+def guards(text: Column, published: Column) -> Column:
+    """Codes of the guards that a paragraph meets, in order; none for a null text. Without a day of publication weekdays are not looked at."""
+    found = [F.when(F.regexp_like(text, F.lit(p)), code) for code, p in GUARDS.items()]
+    return F.array_compact(F.array(*found, F.when(old_weekday(text, published), "OLD_WEEKDAY")))
+
+
+def guarded(text: Column, published: Column | None = None) -> Column:
+    """Whether a paragraph is conditional, negated, historical or commentary, or about an old weekday."""
+    return F.size(guards(text, F.lit(None).cast("date") if published is None else published)) > 0
 
 
 def asset_key(text: Column, aliases: dict[str, str]) -> Column:
@@ -97,6 +122,37 @@ def expiry(category: Column, published: Column, days: dict[str, int], until: Col
     return F.coalesce(until, out) if until is not None else out
 
 
+def fresh(checked: Column, now: Column) -> Column:
+    """Whether something was checked within the day before now, and not after it."""
+    return (checked <= now) & (checked > now - F.expr("INTERVAL 1 DAY"))
+
+
+def expiry_by_rule(now: Column) -> Column:
+    """When a signal expires by the rule of its category; null if it does not qualify, or has expired.
+
+    Columns: category, made_at (of the package), event_date, released_on;
+    market_date (of its source's last price); effective_until and
+    policy_checked_at; latest_release, observed_week, next_release_at and
+    inventory_checked_at; china_checked_at.
+    A market price lasts a day from the package if it is the source's last, a
+    supply event three days and a macro one seven from its date, a policy as
+    long as it is in force if it was checked within a day, an inventory until
+    the next release if it is the latest one for its week and that was checked
+    within a day, a price adjustment a day from its check.
+    """
+    day = lambda c, n: c.cast("timestamp_ntz") + F.expr(f"INTERVAL {n} DAY")
+    c, known = F.col, F.col("event_date") <= F.to_date(now)
+    end = (
+        F.when((c("category") == "MARKET") & (c("market_date") == c("event_date")), day(c("made_at"), 1))
+        .when((c("category") == "SUPPLY") & known, day(c("event_date"), 3))
+        .when((c("category") == "MACRO") & known, day(c("event_date"), 7))
+        .when((c("category") == "OPEC_POLICY") & fresh(c("policy_checked_at"), now), c("effective_until").cast("timestamp_ntz"))
+        .when((c("category") == "INVENTORY") & fresh(c("inventory_checked_at"), now) & (c("observed_week") <= c("latest_release")) & (c("latest_release") <= F.to_date(now)) & (c("released_on") == c("latest_release")) & (c("event_date") == c("observed_week")), c("next_release_at"))
+        .when((c("category") == "CHINA_ADJUSTMENT") & fresh(c("china_checked_at"), now), day(c("china_checked_at"), 1))
+    )
+    return F.when(end > now, end)
+
+
 def category_checks(categories: DataFrame, signals: DataFrame, category: str, verified: Column) -> DataFrame:
     """VERIFIED, FAILED or NO_QUALIFIED_SIGNAL for every category."""
     got = signals.groupBy(category).agg(F.count_if(verified).alias("verified"), F.count(F.lit(1)).alias("n"))
@@ -173,6 +229,56 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance
     return both.withColumn("code", code)
 
 
+#: Most that a table may differ from the authority's value, and a rounded figure in prose from the table's.
+AUTHORITY_TOLERANCE, PROSE_TOLERANCE = 0.001, 0.051
+
+
+def reconcile_release(rows: DataFrame, prose: dict[str, tuple[str, str]], unit: float = 1000.0) -> DataFrame:
+    """Every measure of a release by three sources: (period, measure, current, change, code, diagnostics).
+
+    rows: period, measure; authority_current and authority_previous in single
+    units, with has_authority; table_current and table_previous in `unit`s;
+    summary (prose) and landing (markup), null where they could not be read;
+    release_date, prior_release_date, checked_at, next_release_at.
+    prose: for each measure a pattern of (direction, amount) and whether the
+    amount is a "change" or a "level".
+
+    The code is OK or the first conflict: AUTHORITY_WEEK_MISSING,
+    AUTHORITY_VALUE_CONFLICT, SECONDARY_DATE_CONFLICT, SECONDARY_VALUE_CONFLICT.
+    Secondary sources may lag by one release, which is a diagnostic and no
+    conflict; only those of the current period are compared.
+    """
+    c = F.col
+    previous, change = F.date_sub("period", 7), F.round(c("table_current") - c("table_previous"), 3)
+    said = F.try_to_timestamp(F.regexp_extract("summary", r"(?i)week ending ([A-Za-z]+ \d{1,2}, \d{4})", 1), F.lit("MMMM d, yyyy")).cast("date")
+    landed = F.try_to_timestamp(F.regexp_extract("landing", r"archive/\d{4}/(\d{4}_\d{2}_\d{2})/", 1), F.lit("yyyy_MM_dd")).cast("date")
+    amount, conflict = F.lit(None).cast("double"), F.lit(False)
+    for measure, (pattern, kind) in prose.items():
+        own = c("measure") == measure
+        word, number = F.lower(F.regexp_extract("summary", pattern, 1)), F.regexp_extract("summary", pattern, 2).try_cast("double")
+        signed = F.when(word == "decreased", -number).otherwise(number)
+        off = F.abs(signed - change) > PROSE_TOLERANCE if kind == "change" else (F.abs(number - c("table_current")) > PROSE_TOLERANCE) | (F.abs(change) > 1) & ((word == "decreased") != (change < 0))
+        amount, conflict = F.when(own, number).otherwise(amount), F.when(own, off).otherwise(conflict)
+    apart = lambda t, a: F.abs(c(t) * unit - c(a)) > AUTHORITY_TOLERANCE
+    missing = c("authority_current").isNull() | c("authority_previous").isNull() | (c("authority_current") <= 0) | (c("authority_previous") <= 0)
+    code = (
+        F.when(c("has_authority") & missing, "AUTHORITY_WEEK_MISSING")
+        .when(c("has_authority") & (apart("table_current", "authority_current") | apart("table_previous", "authority_previous")), "AUTHORITY_VALUE_CONFLICT")
+        .when(~c("_said").isin("period", "previous", "none") | ~c("_landed").isin("release", "prior", "none"), "SECONDARY_DATE_CONFLICT")
+        .when((c("_said") == "period") & c("_off"), "SECONDARY_VALUE_CONFLICT").otherwise("OK")
+    )
+    summary = F.when(c("summary").isNull(), "SUMMARY_UNAVAILABLE").when(c("_said") == "previous", "SUMMARY_LAGGING_CURRENT_RELEASE").when(c("_said") == "none", "SUMMARY_DATE_UNPARSED").when((c("_said") == "period") & c("_amount").isNotNull(), "SUMMARY_CONFIRMS_CURRENT_RELEASE").when(c("_said") == "period", "SUMMARY_PARTIAL_CONFIRMATION")
+    landing = F.when(c("landing").isNull(), "LANDING_UNAVAILABLE").when(c("_landed") == "prior", "LANDING_LAGGING_CURRENT_RELEASE").when(c("_landed") == "none", "LANDING_DATE_UNPARSED").when(c("_landed") == "release", "LANDING_CONFIRMS_CURRENT_RELEASE")
+    lag = F.when((c("_said") == "previous") | (c("_landed") == "prior"), "SOURCE_PROPAGATION_LAG")
+    waiting = F.when(c("checked_at") >= c("next_release_at"), "AWAITING_NEW_MACHINE_RELEASE")
+    place = lambda d, now, old, names: F.when(d.isNull(), "none").when(d == now, names[0]).when(d == old, names[1]).otherwise("other")
+    read = rows.withColumns({
+        "_said": place(said, c("period"), previous, ("period", "previous")), "_landed": place(landed, c("release_date"), c("prior_release_date"), ("release", "prior")),
+        "_change": change, "_amount": amount, "_off": F.coalesce(conflict, F.lit(False)),
+    })
+    return read.select("period", "measure", c("table_current").alias("current"), c("_change").alias("change"), code.alias("code"), F.array_compact(F.array(summary, landing, lag, waiting)).alias("diagnostics"))
+
+
 def scan_secrets(df: DataFrame, text: str, detectors: list[tuple[str, str]] = DETECTORS) -> Column:
     """Id of the first detector that hits, never the match."""
     out = F.lit(None).cast("string")

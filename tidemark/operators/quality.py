@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,21 @@ def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return counts.unpivot([], list(checks), "check", "violations")
 
 
+def write_counted(df: DataFrame, path: str, checks: dict[str, Column]) -> DataFrame:
+    """Write df and return a row per check with the number of rows that break it: the scan that writes counts, too."""
+    seen = Observation()
+    df.observe(seen, *[F.count_if(bad).alias(name) for name, bad in checks.items()]).write.parquet(path)
+    return df.sparkSession.createDataFrame([(name, seen.get[name]) for name in checks], "check string, violations bigint")
+
+
+def write_asserted(df: DataFrame, path: str, checks: dict[str, Column]) -> DataFrame:
+    """Write df, read it back, and raise if any row breaks a check; a reader should then leave the path alone, as with any write that fails."""
+    broken = [f"{r['check']}: {r.violations}" for r in write_counted(df, path, checks).where("violations > 0").collect()]
+    if broken:
+        raise ValueError(f"rows break {', '.join(broken)}")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def gate(checks: DataFrame) -> DataFrame:
     """PASS or FAIL over (check, passed), with the failed ones."""
     failed = F.array_join(F.sort_array(F.collect_list(F.when(~F.col("passed"), F.col("check")))), ",")

@@ -72,16 +72,17 @@ def rolling_corr(df: DataFrame, keys: list[str], order: str, a: str, b: str, k:
 
 
 def expanding_percentile(df: DataFrame, keys: list[str], order: str, value: str, strict: bool = True, block: int | None = None) -> DataFrame:
-    """Share of strictly earlier rows with a smaller (strict) or no larger value; null without earlier values, and for a null value.
+    """Share of strictly earlier rows with a smaller (strict) or no larger value; null without earlier values.
 
-    Rows without a value do not count as earlier ones. No pairs of rows and no lists are made: see `earlier_and_smaller`.
+    Rows without a value do not count as earlier ones, and none is smaller than a null. No pairs of rows and no lists are made: see `earlier_and_smaller`.
     """
     from .ranks import earlier_and_smaller
 
     # as many are no larger as are not larger, and larger ones are smaller with the sign turned
     asked = df.select(*keys, order, (F.col(value) if strict else -F.col(value)).alias(value))
     got = earlier_and_smaller(asked, keys, order, value, block)
-    share = F.when(F.col("earlier") > 0, (F.col("smaller") if strict else F.col("earlier") - F.col("smaller")) / F.col("earlier"))
+    below = F.coalesce(F.col("smaller") if strict else F.col("earlier") - F.col("smaller"), F.lit(0))
+    share = F.when(F.col("earlier") > 0, below / F.col("earlier"))
     return got.select(*keys, order, (F.col(value) if strict else -F.col(value)).alias(value), "earlier", share.alias("percentile"))
 
 

@@ -40,9 +40,16 @@ def e2(t: Tables) -> DataFrame:
     return ev.apply_rules(paragraphs(t), rules, "page_id", "pos", "text")
 
 
-@query("e3_guards", rf"SELECT page_id, pos, regexp_matches(text, '(?i)\b(?:not|no longer|if|would|could|last year|in my view|analysts? say)\b') AS guarded FROM ({PARAS})")
+# pages have no publication time; the page number stands for hours before the fetch, of which those beyond 72 are too old
+AGE = "page_id % 97"
+_CODES = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{code}' END" for code, p in ev.GUARDS.items())
+_WEEKDAY = f"CASE WHEN len(list_filter(regexp_extract_all(text, '(?i)\\bon ({'|'.join(ev.WEEKDAYS)})\\b', 1), lambda d: (dayofweek({NOW} - to_hours({AGE})) - list_position({list(ev.WEEKDAYS)}, lower(d)) + 1 + 7) % 7 > 2)) > 0 THEN 'OLD_WEEKDAY' END"
+
+
+@query("e3_guards", f"SELECT page_id, pos, array_to_string(list_filter([{_CODES}, {_WEEKDAY}], lambda x: x IS NOT NULL), ',') AS guards FROM ({PARAS})")
 def e3(t: Tables) -> DataFrame:
-    return paragraphs(t).select("page_id", "pos", ev.guarded(F.col("text")).alias("guarded"))
+    published = now() - F.make_dt_interval(hours=(F.col("page_id") % 97).cast("int"))
+    return paragraphs(t).select("page_id", "pos", F.array_join(ev.guards(F.col("text"), F.to_date(published)), ",").alias("guards"))
 
 
 @query("e4_asset_key", "SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), 'ring|bolt') THEN 'fastener' ELSE regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') END AS asset FROM part")
@@ -50,8 +57,6 @@ def e4(t: Tables) -> DataFrame:
     return t["part"].select("p_partkey", ev.asset_key(F.col("p_name"), {"ring|bolt": "fastener"}).alias("asset"))
 
 
-# pages have no publication time; the page number stands for hours before the fetch, of which those beyond 72 are too old
-AGE = "page_id % 97"
 RELEVANT = "(?i)the|der|les|que"
 
 
@@ -97,6 +102,38 @@ def e9(t: Tables) -> DataFrame:
     return t.signals.select("id", e.alias("expires_at"), (e < now()).alias("expired"))
 
 
+#: Categories that the types of events stand for.
+_RULED = "CASE category WHEN 'view' THEN 'MARKET' WHEN 'click' THEN 'SUPPLY' WHEN 'purchase' THEN 'MACRO' WHEN 'signup' THEN 'OPEC_POLICY' WHEN 'error' THEN CASE WHEN user_id % 2 = 0 THEN 'INVENTORY' ELSE 'CHINA_ADJUSTMENT' END END"
+
+
+@query("e9b_expiry_by_rule", f"""
+WITH r AS (SELECT id, {_RULED} AS category, event_date, published_at, user_id, max(event_date) FILTER (event_date <= CAST({NOW} AS DATE)) OVER (PARTITION BY source) AS market_date FROM v_signals),
+x AS (SELECT *, event_date + CAST(user_id % 9 AS INT) AS effective_until, {NOW} - to_hours(CAST(user_id % 31 AS INT)) AS checked, CAST(date_trunc('week', CAST({NOW} AS DATE)) AS DATE) - 5 AS latest_release FROM r),
+e AS (SELECT id, category, CASE
+  WHEN category = 'MARKET' AND market_date = event_date THEN {NOW} - INTERVAL 2 HOUR + INTERVAL 1 DAY
+  WHEN category = 'SUPPLY' AND event_date <= CAST({NOW} AS DATE) THEN CAST(event_date AS TIMESTAMP) + INTERVAL 3 DAY
+  WHEN category = 'MACRO' AND event_date <= CAST({NOW} AS DATE) THEN CAST(event_date AS TIMESTAMP) + INTERVAL 7 DAY
+  WHEN category = 'OPEC_POLICY' AND checked > {NOW} - INTERVAL 1 DAY THEN CAST(effective_until AS TIMESTAMP)
+  WHEN category = 'INVENTORY' AND checked > {NOW} - INTERVAL 1 DAY AND latest_release <= CAST({NOW} AS DATE) AND user_id % 4 = 0 AND event_date = latest_release - 2 THEN CAST(latest_release + 7 AS TIMESTAMP) + INTERVAL 15 HOUR
+  WHEN category = 'CHINA_ADJUSTMENT' AND checked > {NOW} - INTERVAL 1 DAY THEN checked + INTERVAL 1 DAY END AS expires FROM x)
+SELECT id, category, CASE WHEN expires > {NOW} THEN expires END AS expires_at FROM e
+""")
+def e9b(t: Tables) -> DataFrame:
+    """Signals with what the rules ask for: the source's last price date, a policy's end, releases on Wednesdays, and when each was checked."""
+    user = F.col("user_id")
+    kind = F.create_map(*[F.lit(x) for kv in {"view": "MARKET", "click": "SUPPLY", "purchase": "MACRO", "signup": "OPEC_POLICY"}.items() for x in kv])[F.col("category")]
+    kind = F.coalesce(kind, F.when(user % 2 == 0, "INVENTORY").otherwise("CHINA_ADJUSTMENT"))
+    last = F.max(F.when(F.col("event_date") <= F.to_date(now()), F.col("event_date")))
+    prices = t.signals.groupBy("source").agg(last.alias("market_date"))
+    checked, release = now() - F.make_dt_interval(hours=(user % 31).cast("int")), F.date_sub(F.trunc(F.to_date(now()), "week"), 5)
+    rows = t.signals.join(F.broadcast(prices), "source").select(
+        "id", kind.alias("category"), "event_date", "market_date", (now() - F.expr("INTERVAL 2 HOUR")).alias("made_at"), F.date_add("event_date", (user % 9).cast("int")).alias("effective_until"),
+        *[checked.alias(f"{c}_checked_at") for c in ("policy", "inventory", "china")], release.alias("latest_release"), F.date_sub(release, 2).alias("observed_week"),
+        F.when(user % 4 == 0, release).alias("released_on"), (F.date_add(release, 7).cast("timestamp_ntz") + F.expr("INTERVAL 15 HOUR")).alias("next_release_at"),
+    )
+    return rows.select("id", "category", ev.expiry_by_rule(now()).alias("expires_at"))
+
+
 @query("e10_valid_until", f"SELECT event_key, least(max(published_at) + INTERVAL 1 DAY, min({EXPIRES})) AS valid_until FROM v_signals GROUP BY ALL")
 def e10(t: Tables) -> DataFrame:
     e = ev.expiry(F.col("category"), F.col("published_at"), DAYS)
@@ -186,6 +223,51 @@ def e19(t: Tables) -> DataFrame:
     return ev.reconcile(p.where("week < date'2001-01-01'"), b, ["week"], "v", 5)
 
 
+PROSE = {"stocks": (r"(?i)stocks (increased|decreased) ([\d.]+) thousand", "change"), "production": (r"(?i)production (increased|decreased) to ([\d.]+) thousand", "level")}
+_TEXT = "k % 7"  # what the summary of a week is like: 0 absent, 1 a week behind, 2 without a date, 3 right, 4 with other figures, 5 of an old week, 6 on stocks only
+
+
+@query("e19b_reconcile_release", f"""
+WITH p AS (SELECT week, open_interest AS s, long_qty AS l, CAST(datediff('day', DATE '1970-01-05', week) // 7 AS INT) AS k FROM v_positions),
+j AS (SELECT a.week, a.k, a.s, a.l, b.s AS ps, b.l AS pl FROM p a JOIN p b ON b.week = a.week - 7),
+m AS (SELECT week AS period, k, 'stocks' AS measure, s / 1000 AS current, ps / 1000 AS previous FROM j UNION ALL SELECT week, k, 'production', l / 1000, pl / 1000 FROM j),
+x AS (SELECT *, round(current - previous, 3) AS change, {_TEXT} AS t, k % 5 AS n FROM m)
+SELECT period, measure, round(current, 6) AS current, change, CASE
+  WHEN measure = 'stocks' AND k % 11 = 0 THEN 'AUTHORITY_WEEK_MISSING' WHEN measure = 'stocks' AND k % 13 = 0 THEN 'AUTHORITY_VALUE_CONFLICT'
+  WHEN t = 5 OR n = 4 THEN 'SECONDARY_DATE_CONFLICT' WHEN t = 4 THEN 'SECONDARY_VALUE_CONFLICT' ELSE 'OK' END AS code,
+  array_to_string(list_filter([CASE t WHEN 0 THEN 'SUMMARY_UNAVAILABLE' WHEN 1 THEN 'SUMMARY_LAGGING_CURRENT_RELEASE' WHEN 2 THEN 'SUMMARY_DATE_UNPARSED' WHEN 5 THEN NULL ELSE CASE WHEN t = 6 AND measure = 'production' THEN 'SUMMARY_PARTIAL_CONFIRMATION' ELSE 'SUMMARY_CONFIRMS_CURRENT_RELEASE' END END,
+    CASE n WHEN 0 THEN 'LANDING_UNAVAILABLE' WHEN 1 THEN 'LANDING_LAGGING_CURRENT_RELEASE' WHEN 2 THEN 'LANDING_DATE_UNPARSED' WHEN 3 THEN 'LANDING_CONFIRMS_CURRENT_RELEASE' END,
+    CASE WHEN t = 1 OR n = 1 THEN 'SOURCE_PROPAGATION_LAG' END, CASE WHEN k % 3 = 0 THEN 'AWAITING_NEW_MACHINE_RELEASE' END], lambda x: x IS NOT NULL), ',') AS diagnostics
+FROM x
+""")
+def e19b(t: Tables) -> DataFrame:
+    """Releases of weekly positions: the authority has stocks, the table both measures, and a summary and a landing page of each week agree, lag, lack a date, or do not fit."""
+    from ..operators.asof import calendar_lag
+
+    p = calendar_lag(t.positions.select("week", "open_interest", "long_qty"), [], "week", ["open_interest", "long_qty"], 1).where("open_interest_lag1 is not null")
+    k = F.floor(F.datediff("week", F.lit("1970-01-05").cast("date")) / 7).cast("int")
+    both = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), (F.col(c) / 1000).alias("table_current"), (F.col(f"{c}_lag1") / 1000).alias("table_previous")) for m, c in (("stocks", "open_interest"), ("production", "long_qty"))]))
+    rows = p.select("*", k.alias("k"), both.alias("m")).select("*", "m.*").withColumn("period", F.col("week"))
+    text, off = F.col("k") % 7, F.when(F.col("k") % 7 == 4, 0.2).otherwise(0.0)
+    of = lambda c: F.round((F.col(c) - F.col(f"{c}_lag1")) / 1000, 3)
+    figure = lambda x: F.format_string("%.1f", x)
+    way = lambda x: F.when(x < 0, "decreased").otherwise("increased")
+    ended = F.date_format(F.when(text == 1, F.date_sub("week", 7)).when(text == 5, F.date_sub("week", 14)).otherwise(F.col("week")), "MMMM d, yyyy")
+    stocks = F.concat(F.lit("stocks "), way(of("open_interest")), F.lit(" "), figure(F.abs(of("open_interest")) + off), F.lit(" thousand."))
+    production = F.when(text == 6, F.lit("")).otherwise(F.concat(F.lit(" Production "), way(of("long_qty")), F.lit(" to "), figure(F.col("long_qty") / 1000 + off), F.lit(" thousand a day.")))
+    summary = F.when(text == 0, None).otherwise(F.concat(F.when(text == 2, F.lit("This week, ")).otherwise(F.concat(F.lit("For the week ending "), ended, F.lit(", "))), stocks, production))
+    landing, release = F.col("k") % 5, F.date_add("week", 9)
+    shown = F.date_format(F.when(landing == 1, F.date_sub(release, 7)).when(landing == 4, F.date_sub(release, 21)).otherwise(release), "yyyy_MM_dd")
+    page = F.when(landing == 0, None).when(landing == 2, F.lit("<a href=/archive/latest/>latest</a>")).otherwise(F.concat(F.lit("<a href=/archive/"), F.substring(shown, 1, 4), F.lit("/"), shown, F.lit("/report>")))
+    authority = lambda c, bad: F.when(bad, F.col(c) + 10).otherwise(F.col(c))
+    ready = rows.select(
+        "period", "measure", "table_current", "table_previous", (F.col("measure") == "stocks").alias("has_authority"), F.when(F.col("k") % 11 != 0, authority("open_interest", F.col("k") % 13 == 0)).alias("authority_current"), F.col("open_interest_lag1").alias("authority_previous"),
+        summary.alias("summary"), page.alias("landing"), release.alias("release_date"), F.date_sub(release, 7).alias("prior_release_date"), F.date_add("week", 16).alias("next_release_at"), F.date_add("week", F.when(F.col("k") % 3 == 0, 16).otherwise(15)).alias("checked_at"),
+    )
+    got = ev.reconcile_release(ready, PROSE)
+    return got.select("period", "measure", F.round("current", 6).alias("current"), "change", "code", F.array_join("diagnostics", ",").alias("diagnostics"))
+
+
 @query("e20_measure_signals", "SELECT p.week, CASE WHEN p.spread_qty > q.spread_qty THEN 'DOWN' WHEN p.spread_qty < q.spread_qty THEN 'UP' WHEN p.spread_qty = q.spread_qty THEN 'NEUTRAL' END AS impact FROM v_positions p LEFT JOIN v_positions q ON q.week = p.week - 7")
 def e20(t: Tables) -> DataFrame:
     from ..operators.asof import calendar_lag

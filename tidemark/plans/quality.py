@@ -11,6 +11,7 @@ from ..functions.probability import classify
 from ..operators import quality as q
 from ..session import shared_dir
 from ..sources import scans, stores
+from .functions import TO_TEXT
 from .registry import Tables, query
 
 
@@ -114,6 +115,32 @@ def s9_sitemap(t: Tables) -> DataFrame:
     return items_in_order(t, 200)
 
 
+def feeds(t: Tables) -> DataFrame:
+    """A feed and a sitemap for each page, with an item for each of its paragraphs: titles by turns in CDATA and escaped, addresses with an ampersand."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    inner = F.regexp_extract_all("html", F.lit(r"(?s)<p[^>]*>(.*?)</p>"), F.lit(1))
+    title = lambda x, i: F.when(i % 2 == 0, F.concat(F.lit("<![CDATA["), x, F.lit("]]>"))).otherwise(escaped(x))
+    link = lambda i: escaped(F.concat("url", F.lit("?item="), i.cast("string"), F.lit("&from=feed")))
+    item = lambda x, i: F.concat(F.lit("<item><title>"), title(x, i), F.lit("</title>\n<link>"), link(i), F.lit("</link><guid>"), i.cast("string"), F.lit("</guid><pubDate>Day "), i.cast("string"), F.lit("</pubDate></item>"))
+    news = lambda x, i: F.concat(F.lit("<url><loc>"), link(i), F.lit("</loc><news:news><news:publication_date>Day "), i.cast("string"), F.lit("</news:publication_date><news:title>"), title(x, i), F.lit("</news:title></news:news></url>"))
+    rss = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>all</title>'), F.array_join(F.transform(inner, item), ""), F.lit("</channel></rss>"))
+    sitemap = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:news="http://www.google.com/schemas/sitemap-news/0.9">'), F.array_join(F.transform(inner, news), ""), F.lit("</urlset>"))
+    return t["pages"].select("page_id", rss.alias("rss"), sitemap.alias("sitemap"))
+
+
+_FEED = "WITH r AS (SELECT page_id, url, regexp_extract_all(html, '<p[^>]*>(.*?)</p>', 1, 's') AS r FROM pages), i AS (SELECT page_id, url, unnest(range(len(r))) AS i, r FROM r), x AS (SELECT page_id, i, {title} AS title, url || '?item=' || i || '&from=feed' AS link, 'Day ' || i AS published FROM i)".format(title=TO_TEXT.format("r[i + 1]"))
+
+
+@query("s9b_rss_items", f"{_FEED} SELECT page_id, CAST(i AS INT) AS pos, title, link, published FROM x WHERE i < 30")
+def s9b(t: Tables) -> DataFrame:
+    return feeds(t).select("page_id", F.posexplode(scans.rss_items(F.col("rss"))).alias("pos", "item")).select("page_id", "pos", "item.*")
+
+
+@query("s9c_sitemap_urls", f"{_FEED} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS pos, title, link, published FROM x WHERE title <> '' AND link LIKE 'https://%' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i) <= 200")
+def s9c(t: Tables) -> DataFrame:
+    return feeds(t).select("page_id", F.posexplode(scans.sitemap_urls(F.col("sitemap"), "https://")).alias("pos", "item")).select("page_id", "pos", "item.*")
+
+
 @query("s10_recent_context", "WITH r AS (SELECT * FROM v_two WHERE a IS NOT NULL AND b IS NOT NULL ORDER BY obs_date DESC LIMIT 8) SELECT count(*) AS n, min(obs_date) AS first_day, max(obs_date) AS last_day, round(min_by(a, obs_date), 8) AS first_a, round(max_by(a, obs_date), 8) AS last_a, round(min_by(b, obs_date), 8) AS first_b, round(max_by(b, obs_date), 8) AS last_b FROM r HAVING count(*) >= 5")
 def s10(t: Tables) -> DataFrame:
     got = scans.recent_context(t.two, "obs_date", ["a", "b"], 8, 5)
@@ -132,7 +159,7 @@ def s12(t: Tables) -> DataFrame:
     path, early = scratch(t, "snapshots"), F.col("week") < "1998-01-01"
     stores.append_snapshot(t.weekly.where(early), path, ["series_id", "week"])
     stores.append_snapshot(t.weekly.where(~early), path, ["series_id", "week"])
-    return t.spark.read.parquet(path).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    return stores.read_snapshots(t.spark, path).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s13_publish_current", "SELECT series_id, max(week) AS last_week FROM v_weekly GROUP BY ALL")
@@ -207,6 +234,13 @@ def p9(t: Tables) -> DataFrame:
     return q.violations(t.vintage, {"early": F.col("release_date") < F.col("obs_date"), "price": F.col("value") <= 0})
 
 
+@query("p9b_violations_of_a_write", "SELECT 'early' AS \"check\", count(*) FILTER (release_date < obs_date) AS violations, count(*) AS rows FROM v_vintage UNION ALL SELECT 'price', count(*) FILTER (value <= 0), count(*) FROM v_vintage")
+def p9b(t: Tables) -> DataFrame:
+    path = scratch(t, "checked")
+    counts = q.write_counted(t.vintage, path, {"early": F.col("release_date") < F.col("obs_date"), "price": F.col("value") <= 0})
+    return counts.crossJoin(F.broadcast(t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))))
+
+
 @query("p10_gate", "SELECT 'FAIL' AS status, 'early' AS failed, count(*) AS checks FROM (VALUES ('early'), ('price')) v HAVING (SELECT count(*) FROM v_vintage WHERE release_date < obs_date) > 0")
 def p10(t: Tables) -> DataFrame:
     counts = q.violations(t.vintage, {"early": F.col("release_date") < F.col("obs_date"), "price": F.col("value") <= 0})

@@ -18,10 +18,28 @@ def plain(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, k in df.dtypes if k == "timestamp"})
 
 
-@query("st1_freshness", "SELECT event_id, 'EXPIRED_NEWS' AS reason FROM events WHERE ts < TIMESTAMP '2024-01-20' - INTERVAL 72 HOUR")
+#: Events arrive up to four days after they happen, in files by the week of arrival.
+ARRIVALS = 5
+_ARRIVED = "CAST(greatest(0, least({n} - 1, floor((epoch(ts) + event_id * 7919 % 97 * 3600 - (SELECT min(epoch(ts)) FROM events)) / 604800))) AS INT)".format(n=ARRIVALS)
+
+
+def arrivals(t: Tables) -> DataFrame:
+    """Events as a stream of micro-batches, a file of arrivals each; some are late."""
+    e = t["events"]
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    first = e.agg(F.min(seconds(F.col("ts"))).alias("first"))
+    lag = F.col("event_id") * 7919 % 97 * 3600
+    at = F.greatest(F.lit(0), F.least(F.lit(ARRIVALS - 1), F.floor((seconds(F.col("ts")) + lag - F.col("first")) / 604800))).cast("int")
+    path = f"{st.scratch(t.spark)}/arrivals"
+    st.write_arrivals(e.crossJoin(F.broadcast(first)).withColumn("part", at).drop("first"), "part", ARRIVALS, path)
+    return st.read_events(t.spark, path, files=1)
+
+
+@query("st1_freshness", f"WITH b AS (SELECT *, {_ARRIVED} AS part FROM events), m AS (SELECT part, max(ts) AS latest FROM b GROUP BY ALL), w AS (SELECT part, max(latest) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM m) SELECT event_id, CASE WHEN ts < seen - INTERVAL 72 HOUR THEN 'EXPIRED_NEWS' END AS reason FROM b JOIN w USING (part)")
 def st1(t: Tables) -> DataFrame:
-    path = st.with_freshness(events(t), F.lit("2024-01-20").cast("timestamp"), "72 HOURS")
-    return t.spark.read.parquet(f"{path}/excluded").select("event_id", "reason")
+    path = st.with_freshness(arrivals(t), 72)
+    fresh, late = (t.spark.read.parquet(f"{path}/{x}") for x in ("fresh", "excluded"))
+    return late.select("event_id", "reason").unionByName(fresh.select("event_id", F.lit(None).cast("string").alias("reason")))
 
 
 @query("st2_dedup", "SELECT DISTINCT user_id, event_type FROM events")
@@ -29,6 +47,14 @@ def st2(t: Tables) -> DataFrame:
     return st.run_available(st.dedup(events(t), ["user_id", "event_type"], "72 hours")).select("user_id", "event_type")
 
 
+@query("st2b_first_wins")
+def st2b(t: Tables) -> DataFrame:
+    """Greedy over two keys in the order of arrival, with state across micro-batches."""
+    stream = arrivals(t).withColumns({"props_key": F.concat_ws("|", "user_id", "props"), "value_key": F.concat_ws("|", "event_type", "value")})
+    path = st.dedup_first_wins(stream, ["props_key", "value_key"], ["ts", "event_id"], "event_id", 24 * 365)
+    return t.spark.read.parquet(f"{path}/accepted").select("event_id")
+
+
 @query("st3_weekly_bars", "SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS week, event_type, round(avg(value), 6) AS mean_value, count(*) AS n FROM events WHERE date_trunc('week', ts) + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL HAVING count(*) >= 2")
 def st3(t: Tables) -> DataFrame:
     return plain(st.run_available(st.bars(events(t), ["event_type"], "value", "1 hour", 2)).withColumn("mean_value", F.round("mean_value", 6)))
@@ -65,10 +91,13 @@ def st7(t: Tables) -> DataFrame:
 
 @query("st8_freshness_machine")
 def st8(t: Tables) -> DataFrame:
-    from ..session import ship
-
-    ship(t.spark)
-    return plain(st.run_available(st.freshness_machine(events(t).where("event_type = 'view'"), "user_id", "value", 24, "1 hour")))
+    """Views in the order of their time, in micro-batches. A record carries the hash of its content, which for some events does not fit it."""
+    path = f"{st.scratch(t.spark)}/views"
+    views = t["events"].where("event_type = 'view'").withColumn("part", F.floor((F.dayofmonth("ts") - 1) / 8).cast("int"))
+    st.write_arrivals(views, "part", 4, path)
+    record = F.concat_ws("|", "event_id", "props")
+    claimed = F.sha2(F.when(F.col("event_id") % 11 == 0, F.concat(record, F.lit("!"))).otherwise(record), 256)
+    return plain(st.run_available(st.freshness_machine(st.read_events(t.spark, path, 1), "user_id", "value", 24, "1 hour", F.sha2(record, 256) == claimed)))
 
 
 @query("st9_daily_admit", "SELECT DISTINCT CAST(timezone('Asia/Shanghai', timezone('UTC', CAST(ts AS TIMESTAMP))) AS DATE) AS local_date FROM events WHERE CAST(timezone('Asia/Shanghai', timezone('UTC', CAST(ts AS TIMESTAMP))) AS DATE) NOT IN (SELECT event_date FROM v_signals WHERE event_date < DATE '2024-01-10')")

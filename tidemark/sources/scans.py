@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +105,31 @@ def feed_items(html: Column, tag: str, cap: int) -> Column:
     return F.slice(F.transform(found, lambda x: F.regexp_replace(x, r"<!\[CDATA\[|\]\]>", "")), 1, cap)
 
 
+RSS = "channel struct<item: array<struct<title: string, link: string, pubDate: string>>>"
+SITEMAP = "url array<struct<loc: string, news: struct<title: string, publication_date: string>>>"
+
+
+def _items(found: Column, title: str, link: str, published: str) -> Column:
+    """Items with their fields as plain text; a missing field is an empty one."""
+    from ..functions.text import html_to_text
+
+    field = lambda x, name: html_to_text(F.coalesce(reduce(lambda c, n: c[n], name.split("."), x), F.lit("")))
+    every = F.transform(found, lambda x: F.struct(field(x, title).alias("title"), field(x, link).alias("link"), field(x, published).alias("published")))
+    return F.coalesce(every, F.array().cast("array<struct<title: string, link: string, published: string>>"))
+
+
+def rss_items(xml: Column, cap: int = 30) -> Column:
+    """The first `cap` items of an RSS feed as (title, link, published). The parser takes CDATA and references; markup in a field is stripped. What is no XML has none."""
+    parsed = F.from_xml(xml, RSS, {"ignoreNamespace": "true"})
+    return F.slice(_items(parsed["channel"]["item"], "title", "link", "pubDate"), 1, cap)
+
+
+def sitemap_urls(xml: Column, prefix: str, cap: int = 200) -> Column:
+    """The first `cap` news items of a sitemap that have a title and whose address begins with `prefix`, as (title, link, published)."""
+    parsed = F.from_xml(xml, SITEMAP, {"ignoreNamespace": "true"})
+    return F.slice(F.filter(_items(parsed["url"], "news.title", "loc", "news.publication_date"), lambda x: (x["title"] != "") & F.startswith(x["link"], F.lit(prefix))), 1, cap)
+
+
 def recent_context(df: DataFrame, day: str, cols: list[str], n: int, least: int) -> DataFrame:
     """First and last values of the last n rows in which all cols are present; nothing if fewer than `least`."""
     full = df.where(" and ".join(f"{c} is not null" for c in cols)).orderBy(F.desc(day)).limit(n)

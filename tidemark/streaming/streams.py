@@ -8,50 +8,110 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..session import shared_dir
+from ..session import cut, shared_dir
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet events as a stream; `ts` becomes a timestamp with zone, as watermarks need it."""
+def read_events(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Parquet events as a stream, of so many files a batch (all, if not given); `ts` becomes a timestamp with zone, as watermarks need it."""
     schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
     # as a glob the path may name a single file, too
-    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def write_arrivals(df: DataFrame, part: str, parts: int, path: str) -> None:
+    """df as files that arrive one after the other, by the number in `part`; a stream reads them in that order."""
+    for i in range(parts):
+        df.where(F.col(part) == i).drop(part).coalesce(1).write.mode("append").parquet(path)
 
 
 def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run the stream over all available data into a Parquet sink in the shared folder, and read it."""
-    spark, path = stream.sparkSession, scratch(stream.sparkSession)
-    stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/out").trigger(availableNow=True).start().awaitTermination()
+def run_available(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Run the stream over all available data into a Parquet sink in the shared folder, and read it. With a path of an earlier run it goes on from its checkpoint."""
+    spark, path = stream.sparkSession, path or scratch(stream.sparkSession)
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/out").trigger(availableNow=True)
+    with keyed_state(spark):
+        writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int, str], None]) -> str:
-    """Run `each` on every micro-batch; returns the folder it may write to. A batch that is repeated must overwrite its own part."""
-    path = scratch(stream.sparkSession)
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int, str], None], path: str | None = None) -> str:
+    """Run `each` on every micro-batch; returns the folder it may write to, which also holds the checkpoint. A batch that is repeated must overwrite its own part."""
+    path = path or scratch(stream.sparkSession)
     stream.writeStream.foreachBatch(lambda df, i: each(df, i, path)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return path
 
 
-def with_freshness(stream: DataFrame, now: Column, age: str) -> str:
-    """Rows no older than `age` go to fresh/, others to excluded/ with EXPIRED_NEWS, in one pass over each micro-batch."""
+def _parts(path: str, name: str, batch: int, spark: SparkSession, schema) -> DataFrame:  # noqa: ANN001
+    """What the batches before `batch` have written to path/name."""
+    empty = spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{path}/{name}").parquet(*[f"{path}/{name}/batch={i}" for i in range(batch)]) if batch else empty
 
-    def each(df: DataFrame, i: int, path: str) -> None:
-        late = F.col("ts") < now - F.expr(f"INTERVAL {age}")
+
+def with_freshness(stream: DataFrame, hours: int, path: str | None = None) -> str:
+    """Rows go to fresh/, or to excluded/ with EXPIRED_NEWS if they are late: more than `hours` behind the latest time of all batches before theirs.
+
+    That watermark is kept beside the sinks, a row a batch, written before the
+    batch's rows. A batch that is repeated after a failure finds the same one
+    and overwrites its own part, so no row is in both sinks or in one twice.
+    Rows of the first batch are never late. A row without a time is late.
+    Running it again on the same path goes on where it was.
+    """
+
+    def each(df: DataFrame, i: int, at: str) -> None:
+        spark = df.sparkSession
+        seen = _parts(at, "watermark", i, spark, "latest timestamp").agg(F.max("latest")).first()[0]
+        df.agg(F.max("ts").alias("latest")).coalesce(1).write.mode("overwrite").parquet(f"{at}/watermark/batch={i}")
+        late = F.col("ts").isNull() if seen is None else F.coalesce(F.col("ts") < F.lit(seen) - F.make_dt_interval(hours=F.lit(hours)), F.lit(True))
         marked = df.withColumn("reason", F.when(late, "EXPIRED_NEWS")).persist()
-        marked.where("reason is null").drop("reason").write.mode("overwrite").parquet(f"{path}/fresh/batch={i}")
-        marked.where("reason is not null").write.mode("overwrite").parquet(f"{path}/excluded/batch={i}")
+        marked.where("reason is null").drop("reason").write.mode("overwrite").parquet(f"{at}/fresh/batch={i}")
+        marked.where("reason is not null").write.mode("overwrite").parquet(f"{at}/excluded/batch={i}")
         marked.unpersist()
 
-    return run_batches(stream, each)
+    return run_batches(stream, each, path)
+
+
+def dedup_first_wins(stream: DataFrame, keys: list[str], order: list[str], id_col: str, hours: int, path: str | None = None) -> str:
+    """Rows that share none of several keys with an earlier accepted row go to accepted/, others to excluded/ with the keys that they share.
+
+    A row that is excluded does not take its keys; in a batch rows come by
+    `order`. The state is the keys of accepted rows with their time, a part
+    for each batch; those that are `hours` behind the latest time of the
+    batches before are forgotten, which bounds it. Null keys match nothing. A
+    batch that is repeated overwrites its own parts.
+    """
+    from ..operators.evidence import dedup_multi
+
+    def each(df: DataFrame, i: int, at: str) -> None:
+        spark = df.sparkSession
+        df = df.persist()
+        old = _parts(at, "keys", i, spark, "key string, ts timestamp")
+        latest = old.agg(F.max("ts")).first()[0]
+        live = old if latest is None else old.where(F.col("ts") >= F.lit(latest) - F.make_dt_interval(hours=F.lit(hours)))
+        by_key = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{n}:"), F.col(k).cast("string"))) for n, k in enumerate(keys)]))
+        pairs = df.select(id_col, F.explode(by_key).alias("key"))
+        known = cut(pairs.join(live.select("key").distinct(), "key", "left_semi").select(id_col).distinct())
+        ids = cut(dedup_multi(df.join(known, id_col, "left_anti"), keys, order, id_col).select(F.col("id").alias("_id")))
+        won = F.col(id_col).eqNullSafe(F.col("_id"))
+        accepted = df.groupBy(id_col).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_r")).select("_r.*").join(ids, won, "left_semi")
+        accepted.write.mode("overwrite").parquet(f"{at}/accepted/batch={i}")
+        df.join(ids, won, "left_anti").write.mode("overwrite").parquet(f"{at}/excluded/batch={i}")
+        accepted.select(F.explode(by_key).alias("key"), "ts").write.mode("overwrite").parquet(f"{at}/keys/batch={i}")
+        df.unpersist()
+
+    return run_batches(stream, each, path)
 
 
 def dedup(stream: DataFrame, keys: list[str], delay: str) -> DataFrame:
@@ -92,39 +152,91 @@ def outcomes(forecasts: DataFrame, results: DataFrame, key: str, due: str, toler
 FRESHNESS = "key bigint, at timestamp, status string, value double"
 
 
-def freshness_machine(stream: DataFrame, key: str, value: str, hours: int, delay: str) -> DataFrame:
-    """LIVE at each verified value, STALE when `hours` pass without another; the last good value is kept with the state.
+class FreshnessMachine(StatefulProcessor):
+    """The last good value of a key, and a timer at its expiry, and later at the end of its keeping."""
+
+    def __init__(self, hours: int, keep_hours: int, reasons: bool) -> None:
+        self.span, self.keep, self.columns = hours * 3_600_000_000, keep_hours * 3_600_000_000, ["key", "at", "status", "value", "reason"][: 4 + reasons]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.good = handle, handle.getValueState("good", "at bigint, value double, live boolean")
+
+    def _rows(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["key", "at", "status", "value", "reason"]).astype({"at": "datetime64[us]", "value": float})[self.columns]
+
+    def _timer(self, due: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(due // 1000 + 1)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        p = pd.concat(list(rows)).sort_values(["ts", "value"])
+        at, held, live = self.good.get() if self.good.exists() else (None, None, False)
+        out, before = [], (at, live)
+        for t, value, verified in zip(p["ts"].to_numpy("datetime64[us]").astype("int64"), p["value"], p["verified"]):
+            t = int(t)
+            if at is not None and t < at:
+                continue  # older than what is known
+            if live and at + self.span < t:
+                out.append((key[0], at + self.span, "STALE", held, "EXPIRED"))
+                live = False
+            if not verified:
+                if len(self.columns) > 4:
+                    out.append((key[0], t, "LIVE" if live else "UNAVAILABLE" if at is None else "STALE", held, "HASH_MISMATCH"))
+                continue
+            if not live:
+                out.append((key[0], t, "LIVE", float(value), None))
+            at, held, live = t, float(value), True
+        if at is not None and (at, live) != before:
+            self.good.update((at, held, live))
+            self._timer(at + self.span if live else at + self.span + self.keep)
+        yield self._rows(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        at, held, live = self.good.get()
+        if live:
+            self.good.update((at, held, False))
+            self._timer(at + self.span + self.keep)
+            yield self._rows([(key[0], at + self.span, "STALE", held, "EXPIRED")])
+        else:
+            self.good.clear()
+            yield self._rows([])
+
+    def close(self) -> None:
+        pass
+
 
-    State per key is its last time and value; a timer at their expiry reports STALE once the watermark gets there.
+def freshness_machine(stream: DataFrame, key: str, value: str, hours: int, delay: str, verified: Column | None = None, keep_hours: int = 24 * 365) -> DataFrame:
+    """The status of each key as it changes (key, at, status, value), with `verified` also its reason.
+
+    LIVE at a good value; STALE once `hours` have passed without another, with
+    the last good value. A value that is null or fails its verification never
+    takes the good one's place: it is reported with HASH_MISMATCH under the
+    status that stays, which is UNAVAILABLE as long as there is no good value.
+    Rows older than the good value are passed over, so results do not depend
+    on how batches cut a key's rows as long as these arrive in order.
+    `keep_hours` after it has expired a key is forgotten.
     """
-    span = pd.Timedelta(hours=hours)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        out: list[tuple] = []
-        if state.hasTimedOut:
-            last, held, live = state.get
-            if live:
-                out.append((k[0], pd.Timestamp(last, unit="us") + span, "STALE", held))
-            state.update((last, held, False))
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", value])
-            last, held, live = state.get if state.exists else (None, None, False)
-            for at, x in zip(rows["ts"], rows[value]):
-                at = pd.Timestamp(at)
-                if last is not None and at - pd.Timestamp(last, unit="us") > span and live:
-                    out.append((k[0], pd.Timestamp(last, unit="us") + span, "STALE", held))
-                    live = False
-                if not live:
-                    out.append((k[0], at, "LIVE", x))
-                last, held, live = at.value // 1000, float(x), True
-            state.update((last, held, live))
-            due = (pd.Timestamp(last, unit="us") + span).value // 1_000_000
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
-        yield pd.DataFrame(out, columns=["key", "at", "status", "value"])
-
-    keyed = stream.withWatermark("ts", delay).select(F.col(key).cast("bigint").alias("key"), "ts", F.col(value).alias(value))
-    return keyed.groupBy("key").applyInPandasWithState(step, FRESHNESS, "last bigint, held double, live boolean", "append", "EventTimeTimeout")
+    from ..session import ship
+
+    ship(stream.sparkSession)
+    good = F.col(value).isNotNull() & (F.lit(True) if verified is None else F.coalesce(verified, F.lit(False)))
+    rows = stream.withWatermark("ts", delay).select(F.col(key).cast("bigint").alias("key"), "ts", F.col(value).cast("double").alias("value"), good.alias("verified")).where("ts is not null")
+    return rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=FreshnessMachine(hours, keep_hours, verified is not None), outputStructType=FRESHNESS + ", reason string" * (verified is not None), outputMode="Append", timeMode="EventTime"
+    )
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Processors with state of their own need the RocksDB store; the session's setting comes back when the stream has run."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def daily_admit(stream: DataFrame, history: DataFrame, zone: str, delay: str) -> DataFrame:
