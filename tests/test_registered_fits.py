@@ -13,7 +13,7 @@ DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
 
-@pytest.mark.parametrize("name", ["m6_logistic", "m7_linear", "m9_hurdle"])
+@pytest.mark.parametrize("name", ["m6_logistic", "m7_linear", "m9_hurdle", "m29_quantile_boosting"])
 def test_fits_of_every_fold(spark, name):
     got = QUERIES[name](spark, DIR).collect()
     asked = {(r.fold, r.series_id, r.week) for r in folds(Tables(spark, DIR)).where("role = 'TEST'").collect()}

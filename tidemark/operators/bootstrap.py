@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .ranks import SMALL_GROUPS, distribution, sent
+
 #: Fixed values of the generator.
 A, B, C, M = 1103515245, 12345, 2654435761, 2147483648
 
@@ -19,7 +22,12 @@ def pick(draw: Column, place: Column, n: Column) -> Column:
 
 
 def _numbered(blocks: DataFrame, order: str) -> DataFrame:
-    return blocks.withColumn("_i", (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint"))
+    """Blocks with their number in order, from 0: few in one window, more by ranges. To be broadcast if they are few."""
+    blocks = cut(blocks)
+    if (n := blocks.count()) <= SMALL_GROUPS:
+        return sent(blocks.withColumn("_i", (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint")), n)
+    places = distribution(blocks, [], order).select(F.col(order).alias("_o"), F.col("before").alias("_i"))
+    return blocks.join(places, F.col(order) == F.col("_o")).drop("_o")
 
 
 def _draws(blocks: DataFrame, draws: int, places: Column) -> DataFrame:
@@ -37,7 +45,7 @@ def cluster(blocks: DataFrame, order: str, total: str, n: str, draws: int) -> Da
     """Interval of sum(total) / sum(n) over clusters drawn with replacement, as many as there are."""
     numbered = _numbered(blocks, order)
     drawn = _draws(blocks, draws, F.col("_n") - 1).withColumn("_i", pick(F.col("draw"), F.col("place"), F.col("_n")))
-    stats = drawn.join(F.broadcast(numbered), "_i").groupBy("draw").agg((F.sum(total) / F.sum(n)).alias("s"))
+    stats = drawn.join(numbered, "_i").groupBy("draw").agg((F.sum(total) / F.sum(n)).alias("s"))
     return _interval(stats, "s")
 
 
@@ -49,5 +57,5 @@ def moving(blocks: DataFrame, order: str, value: str, width: int, draws: int, ci
     runs = starts.withColumn("_s", pick(F.col("draw"), F.col("place"), range_n)).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     place = F.col("place") * width + F.col("_o")
     kept = runs.where(place < F.col("_n")).withColumn("_i", F.pmod(F.col("_s") + F.col("_o"), F.col("_n")))
-    stats = kept.join(F.broadcast(numbered), "_i").groupBy("draw").agg(F.avg(value).alias("s"))
+    stats = kept.join(numbered, "_i").groupBy("draw").agg(F.avg(value).alias("s"))
     return _interval(stats, "s")

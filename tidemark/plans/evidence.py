@@ -303,10 +303,11 @@ def e24(t: Tables) -> DataFrame:
     return ev.verify_history(d, index, "doc_id", "text")
 
 
-@query("e25_fuzz_grid", "WITH k AS (SELECT o_orderkey % 101 AS down, o_custkey % 101 AS flat, count(*) AS orders FROM orders GROUP BY ALL) SELECT CAST(a.i AS BIGINT) AS down, CAST(b.i AS BIGINT) AS flat, CAST(100 - a.i - b.i AS BIGINT) AS up, coalesce(k.orders, 0) AS orders, a.i + b.i <= 100 AS valid FROM range(101) a(i) CROSS JOIN range(101) b(i) LEFT JOIN k ON k.down = a.i AND k.flat = b.i")
+@query("e25_fuzz_grid", "WITH r AS (SELECT CAST(round(100 * p_down) AS BIGINT) AS down, CAST(round(100 * p_flat) AS BIGINT) AS flat, CAST(round(100 * p_up) AS BIGINT) AS up FROM v_probs), k AS (SELECT down, flat, count(*) AS forecasts, count(*) FILTER (down + flat + up = 100) AS whole FROM r GROUP BY ALL) SELECT CAST(a.i AS BIGINT) AS down, CAST(b.i AS BIGINT) AS flat, CAST(100 - a.i - b.i AS BIGINT) AS up, coalesce(k.forecasts, 0) AS forecasts, coalesce(k.whole, 0) AS whole, a.i + b.i <= 100 AS valid FROM range(101) a(i) CROSS JOIN range(101) b(i) LEFT JOIN k ON k.down = a.i AND k.flat = b.i")
 def e25(t: Tables) -> DataFrame:
-    """All triples from 0 to 100, the 5,151 valid ones and the others, with the orders that ask for them."""
-    asked = t["orders"].groupBy((F.col("o_orderkey") % 101).alias("down"), (F.col("o_custkey") % 101).alias("flat")).agg(F.count(F.lit(1)).alias("orders"))
+    """All triples from 0 to 100, the 5,151 valid ones and the others, with the forecasts whose percentages round to their first two, and those of them that sum to 100."""
+    ps = [F.round(100 * F.col(p)).cast("bigint") for p in ("p_down", "p_flat", "p_up")]
+    asked = t.probs.groupBy(ps[0].alias("down"), ps[1].alias("flat")).agg(F.count(F.lit(1)).alias("forecasts"), F.count_if(ps[0] + ps[1] + ps[2] == 100).alias("whole"))
     every = t.spark.range(101).withColumnRenamed("id", "down").withColumn("flat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(100).cast("bigint"))))
-    grid = every.join(asked, ["down", "flat"], "left").select("down", "flat", (100 - F.col("down") - F.col("flat")).alias("up"), F.coalesce("orders", F.lit(0)).alias("orders"))
+    grid = every.join(asked, ["down", "flat"], "left").select("down", "flat", (100 - F.col("down") - F.col("flat")).alias("up"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("forecasts", "whole")])
     return grid.withColumn("valid", valid_percentages(["down", "flat", "up"]))

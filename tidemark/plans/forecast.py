@@ -139,6 +139,21 @@ def m7(t: Tables) -> DataFrame:
     return fc.per_fold(folds(t), fit)
 
 
+#: Levels of the quantiles that are boosted.
+LEVELS = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
+
+
+@query("m29_quantile_boosting")
+def m29(t: Tables) -> DataFrame:
+    """Quantiles of the next return, boosted in each fold on what was known before it, and read as class probabilities."""
+    from ..functions.probability import cdf_to_classes
+    from ..operators.boosting import fit_quantiles
+
+    rows = fc.cut(folds(t))
+    got = fit_quantiles(rows.where("role in ('TRAIN', 'CAL')"), rows.where("role = 'TEST'").select("fold", "series_id", "week", *FEATURES), ["fold"], FEATURES, "y", LEVELS)
+    return got.select("fold", "series_id", "week", *[p.alias(name) for p, name in zip(cdf_to_classes(F.col("quantiles"), LEVELS, 0.05), PS)])
+
+
 def moved(df: DataFrame) -> DataFrame:
     return df.withColumns({"moved": (F.col("truth") != "FLAT").cast("int"), "up": F.when(F.col("truth") != "FLAT", (F.col("truth") == "UP").cast("int"))})
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import probability as prob
 from ..functions import text as tx
+from ..operators.ranks import quantiles
 from .registry import Tables, query
 
 NOW = "2024-01-03"
@@ -179,7 +180,7 @@ def f24(t: Tables) -> DataFrame:
     from ..operators.asof import calendar_lag
 
     r = calendar_lag(t.weekly, ["series_id"], "week", ["value"], 1).where("value_lag1 is not null").withColumn("r", F.log(F.col("value") / F.col("value_lag1")))
-    q = r.groupBy("series_id").agg(F.percentile("r", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
+    q = quantiles(r, ["series_id"], "r", [0.1, 0.5, 0.9]).select("series_id", F.array("q10", "q50", "q90").alias("q"))
     down, _, up = prob.cdf_to_classes(F.col("q"), [0.1, 0.5, 0.9], 0.02)
     return q.select("series_id", F.round(down, 6).alias("down"), F.round(up, 6).alias("up"))
 
