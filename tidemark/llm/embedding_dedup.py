@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,29 +26,27 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def usable(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Places and double vectors of the rows that can link: not null, not zero, all components finite."""
-    at, rows = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v and None not in v:
-            x = np.array(v, float)
-            if np.isfinite(x).all() and x.any():
-                at.append(i)
-                # by a power of two, which is exact, so that squares neither overflow nor vanish
-                rows.append(np.ldexp(x, -np.frexp(np.abs(x).max())[1]))
-    return np.array(at, int), rows
+def usable(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By length, the places and double vectors (as rows) of those that can link: not null, not zero, all components there and finite."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    values = pc.cast(column.flatten(), pa.float64()).to_numpy(zero_copy_only=False)  # a null component is NaN
+    starts = np.cumsum(lengths) - lengths
+    for d in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == d)
+        x = values[starts[at][:, None] + np.arange(d)]
+        good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+        if good.any():
+            at, x = at[good], x[good]
+            # by a power of two, which is exact, so that squares neither overflow nor vanish
+            yield at, np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
 def second_moments(vectors: DataFrame) -> dict[int, np.ndarray]:
     """By dimension, the summed outer products of the unit vectors; Spark adds them up, d * d numbers come back."""
 
     def run(batch: dict) -> Iterator[dict]:
-        sums: dict[int, np.ndarray] = {}
-        for x in usable(batch["embedding"])[1]:
-            u = x / np.sqrt(x @ x)
-            sums.setdefault(len(x), []).append(u)
-        for d, rows in sums.items():
-            u = np.array(rows)
+        for _, x in usable(batch["embedding"]):
+            u, d = unit(x), x.shape[1]
             yield {"d": [d] * (d * d), "cell": np.arange(d * d), "v": (u.T @ u).ravel()}
 
     got = map_batches(vectors.select("embedding"), run, "d int, cell int, v double").groupBy("d", "cell").agg(F.sum("v").alias("v")).toPandas()
@@ -68,7 +67,7 @@ def group_of(tile: str) -> Column:
     return F.shiftright(tile, GROUP_TILES_LOG2)
 
 
-TILE = "label int, d int, tile bigint, low double, high double, n int, ids binary, vectors binary"
+TILE = "label string, d int, tile bigint, low double, high double, n int, ids binary, vectors binary"
 #: Classes of equal vectors whose members may be joined by sending the classes to every task (40 bytes each).
 FEW_CLASSES = 500_000
 
@@ -84,18 +83,11 @@ def placed_vectors(vectors: DataFrame, basis: dict[int, np.ndarray]) -> DataFram
     kind = number_type(vectors)
 
     def place(batch: dict) -> Iterator[dict]:
-        at, rows = usable(batch["embedding"])
-        label, ids = batch["label"].to_pylist(), batch["vec_id"].to_pylist()
-        at = [(i, x) for i, x in zip(at, rows) if label[i] is not None]
-        yield {
-            "label": [label[i] for i, _ in at],
-            "d": [len(x) for _, x in at],
-            "first": [float(x @ basis[len(x)][:, 0] / np.sqrt(x @ x)) for _, x in at],
-            "vec_id": [ids[i] for i, _ in at],
-            "vector": [x.astype(kind).tobytes() for _, x in at],
-        }
-
-    placed = map_batches(vectors.select("vec_id", "label", "embedding"), place, "label int, d int, first double, vec_id bigint, vector binary")
+        for at, x in usable(batch["embedding"]):
+            d = x.shape[1]
+            yield {"label": batch["label"].take(pa.array(at)), "d": [d] * len(at), "first": unit(x) @ basis[d][:, 0], "vec_id": batch["vec_id"].take(pa.array(at)), "vector": [v.tobytes() for v in x.astype(kind)]}
+
+    placed = map_batches(vectors.where("label is not null").select("vec_id", "label", "embedding"), place, "label string, d int, first double, vec_id bigint, vector binary")
     return cut(placed.withColumn("digest", F.sha2("vector", 256)))
 
 
@@ -124,7 +116,7 @@ def tiles(classes: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         names = ("label", "d", "tile", "low", "high", "n", "ids", "vectors")
-        kinds = pa.schema([("label", pa.int32()), ("d", pa.int32()), ("tile", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("n", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
+        kinds = pa.schema([("label", pa.string()), ("d", pa.int32()), ("tile", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("n", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
         made = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
 
@@ -206,8 +198,8 @@ def compare(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarray,
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding, label).
 
-    Rows link if their labels are equal and not null and their cosine is at
-    least threshold. Rows whose embedding is null, zero, or holds null or
+    Rows link if their labels, of any type that casts to a string, are equal
+    as strings and not null and their cosine is at least threshold. Rows whose embedding is null, zero, or holds null or
     non-finite components link with nothing, nor do embeddings of different
     lengths. Equal vectors of a label are compared as one class with their number.
     Rows of one vec_id are other vectors, but one node of the links: each of
@@ -215,7 +207,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     have no component and are kept. An empty table gives no rows; other columns
     are not read.
     """
-    vectors = vectors.select("vec_id", F.col("label").cast("int").alias("label"), "embedding")
+    vectors = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
     basis = bases(second_moments(vectors))
     classes, members = classes_of(placed_vectors(vectors.where("vec_id is not null"), basis))
     blocks = cut(tiles(classes))
