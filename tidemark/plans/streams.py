@@ -111,3 +111,14 @@ def st10(t: Tables) -> DataFrame:
     path = st.metrics(events(t), ["user_id", "event_type"])
     got = t.spark.read.parquet(f"{path}/out").agg(F.sum("rows").alias("rows"), F.sum("repeated").alias("repeated"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
     return plain(got)
+
+
+@query("st10b_observed", f"WITH b AS (SELECT *, {_ARRIVED} AS part FROM events), n AS (SELECT part, count(*) AS rows, count(*) FILTER (value < 0) AS negative, count(*) FILTER (value > 20) AS large, min(ts) AS first_ts, max(ts) AS last_ts FROM b GROUP BY ALL) SELECT part AS batch, rows, negative, large, first_ts, last_ts, (SELECT count(*) FROM events) AS written FROM n")
+def st10b(t: Tables) -> DataFrame:
+    """Counts of every micro-batch from the scan that writes it, beside the rows that were written."""
+    value = F.col("value")
+    counts = {"rows": F.count(F.lit(1)), "negative": F.count_if(value < 0), "large": F.count_if(value > 20), "first_ts": F.min("ts"), "last_ts": F.max("ts")}
+    out, seen = st.run_observed(arrivals(t), counts)
+    rows = [(batch, *[m[k] for k in counts]) for batch, m in sorted(seen.items()) if m["rows"]]
+    got = t.spark.createDataFrame(rows, "batch int, rows bigint, negative bigint, large bigint, first_ts timestamp, last_ts timestamp")
+    return plain(got.crossJoin(F.broadcast(out.agg(F.count(F.lit(1)).alias("written")))))

@@ -6,6 +6,7 @@ Each takes a streaming DataFrame with a `timestamp` column `ts` and returns one;
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -13,7 +14,7 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ..session import cut, shared_dir
 
@@ -47,6 +48,48 @@ def run_available(stream: DataFrame, mode: str = "append", path: str | None = No
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+class Observed(StreamingQueryListener):
+    """The observed metrics of every batch of the queries of a session, by query and batch."""
+
+    def __init__(self) -> None:
+        self.metrics: dict[tuple[str, int], dict] = {}
+        self.ended: set[str] = set()
+        self.news = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        with self.news:
+            for row in event.progress.observedMetrics.values():
+                self.metrics[(str(event.progress.id), event.progress.batchId)] = row.asDict()
+
+    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        with self.news:
+            self.ended.add(str(event.id))
+            self.news.notify_all()
+
+
+def run_observed(stream: DataFrame, metrics: dict[str, Column], path: str | None = None) -> tuple[DataFrame, dict[int, dict]]:
+    """As `run_available`, with `metrics` (aggregates) of every batch by its number, taken by the scan that writes the batch: no job of their own."""
+    spark, path = stream.sparkSession, path or scratch(stream.sparkSession)
+    seen = Observed()
+    spark.streams.addListener(seen)
+    try:
+        watched = stream.observe("metrics", *[c.alias(k) for k, c in metrics.items()])
+        with keyed_state(spark):
+            query = watched.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/out").trigger(availableNow=True).start()
+            query.awaitTermination()
+        with seen.news:  # events come after the query has ended
+            seen.news.wait_for(lambda: str(query.id) in seen.ended, timeout=60)
+    finally:
+        spark.streams.removeListener(seen)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out"), {batch: m for (own, batch), m in seen.metrics.items() if own == str(query.id)}
+
+
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int, str], None], path: str | None = None) -> str:
     """Run `each` on every micro-batch; returns the folder it may write to, which also holds the checkpoint. A batch that is repeated must overwrite its own part."""
     path = path or scratch(stream.sparkSession)
