@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import base, features, fingerprints, html_text, jaccard_join, language_id, quality, sharding
 
@@ -71,48 +72,76 @@ def test_next_documents_of_repeated_and_null_ids(spark):
 
 
 def plain_paths(nodes):
-    """The ratios of html_text.content_paths by loops."""
-    keys, length, marks, blocks, links = [], {}, {}, {}, {}
+    """The ratios of content_paths, path by path."""
+    own, keys = {}, []
     for x in nodes:
-        t, k = x.text.strip(), (x.path, x.apart, x.main)
-        if t and not x.apart:
-            if k not in length:
+        k, text = (x.path, x.classed, x.main), x.text.strip()
+        if text and not x.apart:
+            if k not in own:
+                own[k] = []
                 keys.append(k)
-                length[k], marks[k], blocks[k], links[k] = 0, 0, set(), 0
-            length[k] += len(t)
-            marks[k] += sum(c in ".,;:!?…。、，！？" for c in t)
-            blocks[k].add(x.block)
-            links[k] += len(t) * x.link
-    per = [length[k] / len(blocks[k]) for k in keys]
-    punct = [1 + marks[k] / len(blocks[k]) for k in keys]
-    smooth = lambda v, i: 0.25 * v[max(i - 1, 0)] + 0.5 * v[i] + 0.25 * v[min(i + 1, len(v) - 1)]
-    plain = [1 - links[k] / length[k] for k in keys]
-    fused = [0.5 * per[i] * punct[i] + 0.5 * smooth(per, i) * smooth(punct, i) for i in range(len(keys))]
-    top = max((f * p for f, p in zip(fused, plain)), default=0)
-    if top <= 0:
+            own[k].append((text, x.block, x.link))
+    if not keys:
         return set()
-    held = {}
-    for i, k in enumerate(keys):
-        held[k[2]] = held.get(k[2], 0) + length[k] * punct[i] * plain[i]
-    share = [held[k[2]] / max(held.values()) for k in keys]
-    ratio = [min(f / top, 1) * p for f, p in zip(fused, plain)]
-    some = [r for r in ratio if r > 0]
-    least = min(float(np.std(some)), 0.9) if len(some) > 1 else 0.0
-    score = [min(fused[i] / top, 1) ** max((1 - share[i]) ** 2, html_text.LEAST_POWER) * plain[i] if k[2] else ratio[i] * share[i] for i, k in enumerate(keys)]
-    return {k for k, s in zip(keys, score) if s > 0 and s >= least - 1e-12}
+    length = {k: sum(len(t) for t, _, _ in own[k]) for k in keys}
+    marks = {k: sum(len(html_text.PUNCTUATION.findall(t)) for t, _, _ in own[k]) for k in keys}
+    count = {k: len({b for _, b, _ in own[k]}) for k in keys}
+    links = {k: sum(len(t) for t, _, is_link in own[k] if is_link) for k in keys}
+    weight = {k: html_text.CLASS_WEIGHT if k[1] else 1.0 for k in keys}
+    kind = lambda k: (k[1], k[2] > 0)
+    of = lambda k: [j for j in keys if j[2] == k[2]]
+    share_of_links = {k: sum(links[j] for j in of(k)) / sum(length[j] for j in of(k)) for k in keys}
+    plain = {k: 1 - links[k] / length[k] * min(1, share_of_links[k] / html_text.LINK_SHARE) for k in keys}
+
+    def smooth(v, k):
+        row = [j for j in keys if kind(j) == kind(k)]
+        i = row.index(k)
+        return 0.25 * v[row[max(i - 1, 0)]] + 0.5 * v[k] + 0.25 * v[row[min(i + 1, len(row) - 1)]]
+
+    long, dense = {k: length[k] / count[k] for k in keys}, {k: 1 + marks[k] / count[k] for k in keys}
+    fused = {k: (0.5 * long[k] * dense[k] + 0.5 * smooth(long, k) * smooth(dense, k)) * weight[k] for k in keys}
+    if max(fused[k] * plain[k] for k in keys) <= 0:
+        return set()
+    worth = {k: length[k] * (0.25 + 0.75 * min(1, marks[k] * html_text.SENTENCE / length[k])) * plain[k] * weight[k] for k in keys}
+    evidence = {k: sum(worth[j] for j in of(k)) for k in keys}
+    marked = max([evidence[k] for k in keys if k[2]], default=0)
+    sides = {True: marked * html_text.MARK_WEIGHT, False: max([evidence[k] for k in keys if not k[2]], default=0)}
+    side = {k: (sides[k[2] > 0] / max(sides.values())) ** html_text.SIDE_POWER for k in keys}
+    top = {m: max([fused[k] * plain[k] for k in keys if (k[2] > 0) == m], default=0) for m in (True, False)}
+    ratio = {k: min(fused[k] / top[k[2] > 0], 1) * plain[k] if top[k[2] > 0] > 0 else 0.0 for k in keys}
+    score = {}
+    for k in keys:
+        power = max((1 - min(evidence[k] / (marked or 1), 1)) ** 2, html_text.LEAST_POWER) if k[2] and not k[1] else 1
+        score[k] = ratio[k] ** power * side[k]
+    some = [ratio[k] for k in keys if ratio[k] > 0 and side[k] == 1]
+    least = max(float(np.std(some)), html_text.LEAST_SCORE)
+    if max(score.values()) < least:
+        return {k for k in keys if score[k] == max(score.values()) > 0}
+    return {k for k in keys if score[k] >= least - 1e-12}
 
 
 def test_ratios_against_loops():
     rng = random.Random(8)
     differ = 0
     for _ in range(200):
-        nodes = [html_text.Node(p := rng.randrange(6), 10 * p + rng.randrange(3), " ".join(rng.choices(WORDS, k=rng.choice([1, 3, 30]))), rng.random() < 0.1, rng.choice([0, 0, 1, 2]), rng.random() < 0.2, 0) for _ in range(rng.randint(0, 25))]
+        nodes = [html_text.Node(p := rng.randrange(6), 10 * p + rng.randrange(3), " ".join(rng.choices(WORDS, k=rng.choice([1, 3, 30]))), rng.random() < 0.1, rng.choice([0, 0, 1, 2]), rng.random() < 0.2, 0, rng.random() < 0.2) for _ in range(rng.randint(0, 25))]
         got = html_text.content_paths(nodes)
         assert got == plain_paths(nodes)
-        differ += got != {(x.path, x.apart, x.main) for x in nodes if x.main and not x.apart}
+        differ += got != {(x.path, x.classed, x.main) for x in nodes if x.main and not x.apart}
     assert differ > 100  # not simply what is marked
 
 
 @pytest.mark.parametrize("page", ["<div>" * 50_000 + "text", "<div>" * 50_000 + "</section>" * 50_000 + "text", "<div><p>" * 30_000 + "text" + "</p></div>" * 30_000])
 def test_deep_pages_stay_linear(page):
     assert html_text.main_text(page) == "text"
+
+
+def test_batches_of_many_long_texts_are_bounded_in_bytes(spark):
+    """300 texts of a megabyte fall within the bound on rows; the bytes of a batch are bounded as well."""
+    docs = spark.range(0, 300, 1, 1).select("id", F.repeat(F.lit("long "), 200_000).alias("text"))
+
+    def size(batch):
+        yield {"rows": [len(batch["text"])], "bytes": [batch["text"].nbytes]}
+
+    got = base.map_batches(docs.select("text"), size, "rows bigint, bytes bigint").collect()
+    assert sum(r["rows"] for r in got) == 300 and max(r["bytes"] for r in got) < 80 << 20 and len(got) >= 4

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, ship
 
-#: Rows and bytes of an Arrow batch: with long texts, Spark's default of 10,000 rows would fill a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+#: Rows of an Arrow batch: with long texts, Spark's default of 10,000 would fill a worker's memory. Spark itself ends a batch at 64 MB.
+BATCH_ROWS = 1000
 #: Characters that one numpy pass works on; a longer text makes passes of its own.
 CHUNK_CHARS = 1 << 17
 SHINGLE_WORDS = 5
@@ -37,7 +37,6 @@ def cut(df: DataFrame, rows: int | None = None, session: SparkSession | None = N
 def small_batches(spark: SparkSession) -> None:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_batches(df: DataFrame, f: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:

@@ -60,12 +60,12 @@ def _named(attributes: str) -> tuple[bool, bool, bool]:
 
 
 class Node:
-    """A stretch of text between tags: number of its path of blocks from the root, block, whether that is apart by its tags, whether a class word speaks against it, the marked element it is in (0: none), and the form (0: none)."""
+    """A stretch of text between tags: number of its path of blocks from the root, block, whether that is apart by its tags, the marked element it is in (0: none), the form (0: none), and whether a class word speaks against it."""
 
-    __slots__ = ("path", "block", "text", "apart", "classed", "main", "link", "form")
+    __slots__ = ("path", "block", "text", "apart", "main", "link", "form", "classed")
 
-    def __init__(self, path: int, block: int, text: str, apart: bool, classed: bool, main: int, link: bool, form: int) -> None:
-        self.path, self.block, self.text, self.apart, self.classed, self.main, self.link, self.form = path, block, text, apart, classed, main, link, form
+    def __init__(self, path: int, block: int, text: str, apart: bool, main: int, link: bool, form: int, classed: bool = False) -> None:
+        self.path, self.block, self.text, self.apart, self.main, self.link, self.form, self.classed = path, block, text, apart, main, link, form, classed
 
 
 def text_nodes(page: str) -> list[Node]:
@@ -87,7 +87,7 @@ def text_nodes(page: str) -> list[Node]:
     def add(text: str) -> None:
         if text:
             _, path, hard, soft, main, link, form = stack[-1]
-            nodes.append(Node(path, block, text, hard, soft, main, link, form))
+            nodes.append(Node(path, block, text, hard, main, link, form, soft))
 
     while at < n:
         m = TOKEN.search(page, at)
