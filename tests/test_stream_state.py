@@ -75,7 +75,8 @@ def test_a_repeated_batch_overwrites_its_part(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(f"{out}/fresh").collect()) == [1, 3]
 
 
-def test_first_wins_over_several_keys_equals_the_batch_operator(spark, tmp_path):
+def test_first_wins_over_several_keys_equals_the_batch_operator(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "BATCHES_PER_SNAPSHOT", 2)
     rng = random.Random(6)
     key = lambda n: None if rng.random() < 0.1 else f"k{rng.randrange(n)}"
     rows = [(i, BASE + hours(i), key(30), key(40), key(25)) for i in range(120)]
@@ -97,7 +98,9 @@ def test_first_wins_over_several_keys_equals_the_batch_operator(spark, tmp_path)
     assert sorted(accepted + [r.id for r in spark.read.parquet(f"{out}/excluded").collect()]) == list(range(120))
 
 
-def test_first_wins_forgets_old_keys(spark, tmp_path):
+@pytest.mark.parametrize("snapshot", [1, 20])
+def test_first_wins_forgets_old_keys(spark, tmp_path, monkeypatch, snapshot):
+    monkeypatch.setattr(st, "BATCHES_PER_SNAPSHOT", snapshot)
     rows = [(1, BASE, "x"), (2, BASE + hours(50), "y"), (3, BASE + hours(60), "x"), (4, BASE + hours(61), "y")]
     path, _ = files(spark, tmp_path, [[r] for r in rows], "id int, ts timestamp, a string")
     out = st.dedup_first_wins(st.read_events(spark, path, 1), ["a"], ["ts", "id"], "id", 24)

@@ -97,17 +97,20 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int, str], None],
     return path
 
 
-def _parts(path: str, name: str, batch: int, spark: SparkSession, schema) -> DataFrame:  # noqa: ANN001
-    """What the batches before `batch` have written to path/name."""
-    empty = spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", f"{path}/{name}").parquet(*[f"{path}/{name}/batch={i}" for i in range(batch)]) if batch else empty
+#: Batches after which the keys that are still alive are gathered in one part, so that a batch reads no more parts than this and one.
+BATCHES_PER_SNAPSHOT = 20
+
+
+def _parts(path: str, names: list[str], spark: SparkSession, schema: str) -> DataFrame:
+    """What earlier batches have written to path/name, for each of names."""
+    return spark.read.schema(schema).parquet(*[f"{path}/{x}" for x in names]) if names else spark.createDataFrame([], schema)
 
 
 def with_freshness(stream: DataFrame, hours: int, path: str | None = None) -> str:
     """Rows go to fresh/, or to excluded/ with EXPIRED_NEWS if they are late: more than `hours` behind the latest time of all batches before theirs.
 
-    That watermark is kept beside the sinks, a row a batch, written before the
-    batch's rows. A batch that is repeated after a failure finds the same one
+    That watermark is kept beside the sinks, a row a batch that holds all
+    batches so far, written before the batch's rows. A batch that is repeated after a failure finds the same one
     and overwrites its own part, so no row is in both sinks or in one twice.
     Rows of the first batch are never late. A row without a time is late.
     Running it again on the same path goes on where it was.
@@ -115,8 +118,9 @@ def with_freshness(stream: DataFrame, hours: int, path: str | None = None) -> st
 
     def each(df: DataFrame, i: int, at: str) -> None:
         spark = df.sparkSession
-        seen = _parts(at, "watermark", i, spark, "latest timestamp").agg(F.max("latest")).first()[0]
-        df.agg(F.max("ts").alias("latest")).coalesce(1).write.mode("overwrite").parquet(f"{at}/watermark/batch={i}")
+        before = _parts(at, [f"watermark/batch={i - 1}"] if i else [], spark, "latest timestamp")
+        seen = before.agg(F.max("latest")).first()[0]
+        df.select(F.col("ts").alias("latest")).unionByName(before).agg(F.max("latest").alias("latest")).coalesce(1).write.mode("overwrite").parquet(f"{at}/watermark/batch={i}")
         late = F.col("ts").isNull() if seen is None else F.coalesce(F.col("ts") < F.lit(seen) - F.make_dt_interval(hours=F.lit(hours)), F.lit(True))
         marked = df.withColumn("reason", F.when(late, "EXPIRED_NEWS")).persist()
         marked.where("reason is null").drop("reason").write.mode("overwrite").parquet(f"{at}/fresh/batch={i}")
@@ -127,12 +131,13 @@ def with_freshness(stream: DataFrame, hours: int, path: str | None = None) -> st
 
 
 def dedup_first_wins(stream: DataFrame, keys: list[str], order: list[str], id_col: str, hours: int, path: str | None = None) -> str:
-    """Rows that share none of several keys with an earlier accepted row go to accepted/, others to excluded/ with the keys that they share.
+    """Rows that share none of several keys with an earlier accepted row go to accepted/, others to excluded/.
 
-    A row that is excluded does not take its keys; in a batch rows come by
+    Rows of one id in a batch count once, as the first of them. A row that is excluded does not take its keys; in a batch rows come by
     `order`. The state is the keys of accepted rows with their time, a part
     for each batch; those that are `hours` behind the latest time of the
-    batches before are forgotten, which bounds it. Null keys match nothing. A
+    batches before are forgotten, which bounds it, and every
+    BATCHES_PER_SNAPSHOT batches the rest is gathered. Null keys match nothing. A
     batch that is repeated overwrites its own parts.
     """
     from ..operators.evidence import dedup_multi
@@ -140,9 +145,12 @@ def dedup_first_wins(stream: DataFrame, keys: list[str], order: list[str], id_co
     def each(df: DataFrame, i: int, at: str) -> None:
         spark = df.sparkSession
         df = df.persist()
-        old = _parts(at, "keys", i, spark, "key string, ts timestamp")
-        latest = old.agg(F.max("ts")).first()[0]
-        live = old if latest is None else old.where(F.col("ts") >= F.lit(latest) - F.make_dt_interval(hours=F.lit(hours)))
+        kind, turn = "key string, ts timestamp", i // BATCHES_PER_SNAPSHOT * BATCHES_PER_SNAPSHOT
+        alive = lambda old: old if (latest := old.agg(F.max("ts")).first()[0]) is None else old.where(F.col("ts") >= F.lit(latest) - F.make_dt_interval(hours=F.lit(hours)))
+        since = lambda start, end: [f"snapshot/batch={start}"] * (start > 0) + [f"keys/batch={k}" for k in range(start, end)]
+        if i and i == turn:
+            alive(_parts(at, since(i - BATCHES_PER_SNAPSHOT, i), spark, kind)).write.mode("overwrite").parquet(f"{at}/snapshot/batch={i}")
+        live = alive(_parts(at, since(turn, i), spark, kind))
         by_key = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{n}:"), F.col(k).cast("string"))) for n, k in enumerate(keys)]))
         pairs = df.select(id_col, F.explode(by_key).alias("key"))
         known = cut(pairs.join(live.select("key").distinct(), "key", "left_semi").select(id_col).distinct())
