@@ -140,7 +140,7 @@ def verify_manifest(now: DataFrame, frozen: DataFrame) -> DataFrame:
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row that stands for all rows of df in any order: their number and the sum of their hashes."""
     h = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])), 1, 12), 16, 10).cast("bigint")
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).cast("decimal(38,0)").cast("string").alias("hash_sum"))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(20,0)")).cast("string").alias("hash_sum"))  # a long overflows at about 65,000 rows
 
 
 def check_freeze(df: DataFrame, frozen: DataFrame) -> DataFrame:
