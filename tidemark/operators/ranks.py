@@ -50,11 +50,12 @@ def quantiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -> Data
     A mergeable sketch brackets the ranks of each quantile, a pass counts what
     lies below and inside every bracket, and only what is inside is sorted.
     Where a sketch missed its ranks, which the counts show, all of the group
-    is inside.
+    is inside. The values are written once: computed anew for every pass, sums
+    of doubles may differ in their last bit, and a bracket then lacks its ends.
     """
     names = [f"q{round(q * 100)}" for q in qs]
     edges = [min(1.0, max(0.0, q + d)) for q in qs for d in (-2 / ACCURACY, 2 / ACCURACY)]
-    rows = df.select(*by, F.col(value).cast("double").alias("_v"))
+    rows = cut(df.select(*by, F.col(value).cast("double").alias("_v")))
     groups = cut(rows.groupBy(*by).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", F.array(*map(F.lit, edges)), F.lit(ACCURACY)).alias("_e")))
     few = groups.count()
     both = rows.where("_v is not null").alias("r").join(sent(groups, few).alias("g"), same("r", "g", by)).select(*[F.col(f"r.{c}").alias(c) for c in by], "_v", "_n", "_e")

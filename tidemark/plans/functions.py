@@ -179,7 +179,7 @@ SELECT series_id, round(max(p) FILTER (t < 0), 6) AS down, round(1 - max(p) FILT
 def f24(t: Tables) -> DataFrame:
     from ..operators.asof import calendar_lag
 
-    r = calendar_lag(t.weekly, ["series_id"], "week", ["value"], 1).where("value_lag1 is not null").withColumn("r", F.log(F.col("value") / F.col("value_lag1")))
+    r = calendar_lag(t.written.weekly, ["series_id"], "week", ["value"], 1).where("value_lag1 is not null").withColumn("r", F.log(F.col("value") / F.col("value_lag1")))
     q = quantiles(r, ["series_id"], "r", [0.1, 0.5, 0.9]).select("series_id", F.array("q10", "q50", "q90").alias("q"))
     down, _, up = prob.cdf_to_classes(F.col("q"), [0.1, 0.5, 0.9], 0.02)
     return q.select("series_id", F.round(down, 6).alias("down"), F.round(up, 6).alias("up"))

@@ -9,6 +9,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -77,13 +79,20 @@ class Tables:
     def daily(self) -> DataFrame:
         return self.pit.groupBy("series_id", "obs_date").agg(F.avg("value").alias("value"), F.max("available_at").alias("available_at"))
 
+    @cached_property
+    def written(self) -> Tables:
+        """These tables with `daily` written, which `weekly` and `spine` follow from: for plans that read them more than once, which would join the vintages each time and may find means that differ in their last bit."""
+        out = Tables(self.spark, self.sf_dir)
+        out.daily, out.written = cut(self.daily), out
+        return out
+
     @cached_property
     def weekly(self) -> DataFrame:
         return self.daily.groupBy("series_id", week_start("obs_date").alias("week")).agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"), F.max("available_at").alias("available_at"))
 
     @cached_property
     def spine(self) -> DataFrame:
-        return self.pit.select("series_id", F.trunc("obs_date", "month").alias("day")).distinct()
+        return self.daily.select("series_id", F.trunc("obs_date", "month").alias("day")).distinct()
 
     @cached_property
     def panel(self) -> DataFrame:
