@@ -29,8 +29,9 @@ def r9(df: DataFrame, digits: int = 9) -> DataFrame:
 
 def moves(t: Tables) -> DataFrame:
     """Weekly log returns, those of the next week, and the classes of both."""
-    w = calendar_lag(t.weekly.select("series_id", "week", "value"), ["series_id"], "week", ["value"], 1)
-    after = t.weekly.select("series_id", F.date_sub("week", 7).alias("week"), F.col("value").alias("next_value"))
+    weekly = t.written.weekly
+    w = calendar_lag(weekly.select("series_id", "week", "value"), ["series_id"], "week", ["value"], 1)
+    after = weekly.select("series_id", F.date_sub("week", 7).alias("week"), F.col("value").alias("next_value"))
     got = w.join(after, ["series_id", "week"]).where("value_lag1 is not null")
     r, y = F.log(F.col("value") / F.col("value_lag1")), F.log(F.col("next_value") / F.col("value"))
     return got.select("series_id", "week", F.year("week").alias("year"), r.alias("r"), y.alias("y"), classify(r, 0.05).alias("now"), classify(y, 0.05).alias("truth"))
