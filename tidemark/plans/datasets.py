@@ -20,7 +20,7 @@ JOIN v_spine s ON s.series_id = a.series_id AND s.day = a.day WHERE a.day - a.ob
 
 
 def labels(t: Tables) -> DataFrame:
-    return ds.build_labels(t.spine, t.daily, KEY, 7, 7, 4)
+    return ds.build_labels(t.written.spine, t.written.daily, KEY, 7, 7, 4)
 
 
 @query("d1_build_labels", f"SELECT series_id, day, start_date, end_date, round(label_return, 6) AS label_return, label_known_at FROM ({LABELS})")
@@ -30,7 +30,7 @@ def d1(t: Tables) -> DataFrame:
 
 @query("d2_snapshots", f"SELECT s.series_id, s.day, CASE WHEN l.day IS NULL THEN 'NO_LABEL' WHEN year(s.day) < 1996 THEN 'WARM_UP' WHEN abs(l.label_return) > 0.5 THEN 'OUTLIER' END AS reason FROM v_spine s LEFT JOIN ({LABELS}) l ON l.series_id = s.series_id AND l.day = s.day")
 def d2(t: Tables) -> DataFrame:
-    joined = t.spine.join(labels(t), ["series_id", "day"], "left")
+    joined = t.written.spine.join(labels(t), ["series_id", "day"], "left")
     reason = ds.exclusion([("NO_LABEL", F.col("label_return").isNull()), ("WARM_UP", F.year("day") < 1996), ("OUTLIER", F.abs("label_return") > 0.5)])
     return joined.select("series_id", "day", reason.alias("reason"))
 
