@@ -11,8 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
@@ -30,9 +29,9 @@ def read_events(spark: SparkSession, path: str, files: int | None = None) -> Dat
 
 
 def write_arrivals(df: DataFrame, part: str, parts: int, path: str) -> None:
-    """df as files that arrive one after the other, by the number in `part`; a stream reads them in that order."""
+    """df as files that arrive one after the other, by the number in `part`; a stream reads them in that order. All tasks scan, one writes a file."""
     for i in range(parts):
-        df.where(F.col(part) == i).drop(part).coalesce(1).write.mode("append").parquet(path)
+        df.where(F.col(part) == i).drop(part).repartition(1).write.mode("append").parquet(path)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -200,58 +199,56 @@ def outcomes(forecasts: DataFrame, results: DataFrame, key: str, due: str, toler
     return f.join(r, on).select("forecast_id", "outcome_id", F.col("f_key").alias(key), "made", "seen")
 
 
-FRESHNESS = "key bigint, at timestamp, status string, value double"
+FRESHNESS = "key bigint, at bigint, status string, value double"
 
 
 class FreshnessMachine(StatefulProcessor):
-    """The last good value of a key, and a timer at its expiry, and later at the end of its keeping."""
+    """The last good value of a key, and a timer at its expiry, and later at the end of its keeping. Times are in microseconds."""
 
     def __init__(self, hours: int, keep_hours: int, reasons: bool) -> None:
-        self.span, self.keep, self.columns = hours * 3_600_000_000, keep_hours * 3_600_000_000, ["key", "at", "status", "value", "reason"][: 4 + reasons]
+        self.span, self.keep, self.width = hours * 3_600_000_000, keep_hours * 3_600_000_000, 4 + reasons
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.good = handle, handle.getValueState("good", "at bigint, value double, live boolean")
 
-    def _rows(self, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["key", "at", "status", "value", "reason"]).astype({"at": "datetime64[us]", "value": float})[self.columns]
+    def _row(self, *values) -> Row:  # noqa: ANN002
+        return Row(**dict(zip(("key", "at", "status", "value", "reason")[: self.width], values)))
 
-    def _timer(self, due: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(due // 1000 + 1)
+    def _due(self, at: int, live: bool) -> int:
+        """When the timer of a state goes off; a key has that one only."""
+        return (at + self.span if live else at + self.span + self.keep) // 1000 + 1
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        p = pd.concat(list(rows)).sort_values(["ts", "value"])
-        at, held, live = self.good.get() if self.good.exists() else (None, None, False)
-        out, before = [], (at, live)
-        for t, value, verified in zip(p["ts"].to_numpy("datetime64[us]").astype("int64"), p["value"], p["verified"]):
-            t = int(t)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        old = self.good.get()
+        at, held, live = old if old is not None else (None, None, False)
+        before = (at, live)
+        for t, none, value, verified in sorted((r["at"], r["value"] is None, r["value"], r["verified"]) for r in rows):
             if at is not None and t < at:
                 continue  # older than what is known
             if live and at + self.span < t:
-                out.append((key[0], at + self.span, "STALE", held, "EXPIRED"))
+                yield self._row(key[0], at + self.span, "STALE", held, "EXPIRED")
                 live = False
             if not verified:
-                if len(self.columns) > 4:
-                    out.append((key[0], t, "LIVE" if live else "UNAVAILABLE" if at is None else "STALE", held, "HASH_MISMATCH"))
+                if self.width > 4:
+                    yield self._row(key[0], t, "LIVE" if live else "UNAVAILABLE" if at is None else "STALE", held, "HASH_MISMATCH")
                 continue
             if not live:
-                out.append((key[0], t, "LIVE", float(value), None))
-            at, held, live = t, float(value), True
+                yield self._row(key[0], t, "LIVE", value, None)
+            at, held, live = t, value, True
         if at is not None and (at, live) != before:
+            if before[0] is not None:
+                self.handle.deleteTimer(self._due(*before))
             self.good.update((at, held, live))
-            self._timer(at + self.span if live else at + self.span + self.keep)
-        yield self._rows(out)
+            self.handle.registerTimer(self._due(at, live))
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
         at, held, live = self.good.get()
         if live:
             self.good.update((at, held, False))
-            self._timer(at + self.span + self.keep)
-            yield self._rows([(key[0], at + self.span, "STALE", held, "EXPIRED")])
+            self.handle.registerTimer(self._due(at, False))
+            yield self._row(key[0], at + self.span, "STALE", held, "EXPIRED")
         else:
             self.good.clear()
-            yield self._rows([])
 
     def close(self) -> None:
         pass
@@ -272,10 +269,11 @@ def freshness_machine(stream: DataFrame, key: str, value: str, hours: int, delay
 
     ship(stream.sparkSession)
     good = F.col(value).isNotNull() & (F.lit(True) if verified is None else F.coalesce(verified, F.lit(False)))
-    rows = stream.withWatermark("ts", delay).select(F.col(key).cast("bigint").alias("key"), "ts", F.col(value).cast("double").alias("value"), good.alias("verified")).where("ts is not null")
-    return rows.groupBy("key").transformWithStateInPandas(
+    rows = stream.withWatermark("ts", delay).select(F.col(key).cast("bigint").alias("key"), "ts", F.unix_micros("ts").alias("at"), F.col(value).cast("double").alias("value"), good.alias("verified")).where("ts is not null")
+    got = rows.groupBy("key").transformWithState(
         statefulProcessor=FreshnessMachine(hours, keep_hours, verified is not None), outputStructType=FRESHNESS + ", reason string" * (verified is not None), outputMode="Append", timeMode="EventTime"
     )
+    return got.withColumn("at", F.timestamp_micros("at"))
 
 
 @contextmanager
